@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op08_hosts
+from . import op08_hosts, op10_mixture
 
 QUERIES = {
     "op8_host_reputation": op08_hosts.op8_host_reputation,
+    "op10_mixture": op10_mixture.op10_mixture,
 }
 
 ORACLE_SQL = {

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import op08_hosts, op10_mixture
+from . import op08_hosts, op09_secrets, op10_mixture
 
 QUERIES = {
     "op8_host_reputation": op08_hosts.op8_host_reputation,
+    "op9_secret_ownership": op09_secrets.op9_secret_ownership,
     "op10_mixture": op10_mixture.op10_mixture,
 }
 
 ORACLE_SQL = {
     "op8_host_reputation": op08_hosts.SQL,
+    "op9_secret_ownership": op09_secrets.SQL,
 }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import op08_hosts, op09_secrets, op10_mixture
+from . import op06_minhash, op08_hosts, op09_secrets, op10_mixture
 
 QUERIES = {
+    "op6_minhash_bayes": op06_minhash.op6_minhash_bayes,
     "op8_host_reputation": op08_hosts.op8_host_reputation,
     "op9_secret_ownership": op09_secrets.op9_secret_ownership,
     "op10_mixture": op10_mixture.op10_mixture,
 }
 
 ORACLE_SQL = {
+    "op6_minhash_bayes": op06_minhash.SQL,
     "op8_host_reputation": op08_hosts.SQL,
     "op9_secret_ownership": op09_secrets.SQL,
 }

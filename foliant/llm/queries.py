@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op06_minhash, op08_hosts, op09_secrets, op10_mixture
+from . import op03_fertility, op06_minhash, op07_packing, op08_hosts, op09_secrets, op10_mixture
 
 QUERIES = {
+    "op3_tokenizer_fertility": op03_fertility.op3_tokenizer_fertility,
     "op6_minhash_bayes": op06_minhash.op6_minhash_bayes,
+    "op7_hilbert_packing": op07_packing.op7_hilbert_packing,
     "op8_host_reputation": op08_hosts.op8_host_reputation,
     "op9_secret_ownership": op09_secrets.op9_secret_ownership,
     "op10_mixture": op10_mixture.op10_mixture,

@@ -44,3 +44,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def crc_share(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key alone."""
     return (F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))).cast("double")
+
+
+#: Session settings that keep what passes between Spark and Python small, whatever the texts' length.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the Arrow batch limits, where the session still has Spark's defaults."""
+    for key, (default, ours) in ARROW.items():
+        if str(spark.conf.get(key, default)).rstrip("bB") in (default, "64MB", "64m"):
+            spark.conf.set(key, ours)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 U = np.uint64
 _M = 0x9E3779B97F4A7C15 | 1
 _M_INV = pow(_M, -1, 1 << 64)

@@ -40,7 +40,7 @@ SYMBOLS = b"#*$%&|<>"
 class Fertility:
     """Parameters of the method."""
 
-    byte_level: str = "byte_bpe_50k.json"
+    byte_level: str = "byte_bpe_50k.tiktoken"
     byte_fallback: str = "piece_bpe_32k.model"
     folder: str | None = None  # of the vocabularies, where not the installed ones
     least_words: int = 50

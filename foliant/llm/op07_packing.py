@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .shared import small_batches, table
-from .wordtokens import WordTokens, encoder
+from .wordtokens import WordTokens, unit_encoder, word_units
 
 
 @dataclass(frozen=True)
@@ -159,15 +159,15 @@ def pack(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordTokens(encoder(p.vocabulary, p.folder))
+        cache = WordTokens(unit_encoder(p.vocabulary, p.folder))
         stream = _Stream(p, TaskContext.get().partitionId() << 40)
         rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
             for i, texts in tk.pieces(batch.column(1)):
-                w = texts.words()
-                ids, per_word = cache.tokens(texts, w, texts.hashes(w))
-                doc = np.repeat(w.doc, per_word)
+                lowered, units = word_units(texts)
+                ids, per_unit = cache.tokens(lowered, units, lowered.hashes(units))
+                doc = np.repeat(units.doc, per_unit)
                 size = np.bincount(doc, minlength=texts.n) + 1
                 every = np.full(int(size.sum()), p.end_id, np.uint32)
                 every[np.arange(len(ids)) + doc] = ids  # one end token for each document before

@@ -1,20 +1,25 @@
-"""Public tokenizers applied word by word, each distinct word encoded once per worker.
+"""Public tokenizers applied unit by unit, each distinct unit encoded once per worker.
 
 The vocabularies used here never merge across ASCII white space, so a text's
-tokens are its words' tokens one after the other.  A worker keeps the tokens of
-the words that it has seen, by 64-bit hash, up to a number of words; then it
-starts afresh.
+tokens are its words' tokens one after the other.  For the lower-casing word
+vocabulary the units are finer: runs of letters, digits and runs of symbols,
+where these are plain to see in the bytes, and whole words elsewhere.  A worker
+keeps the tokens of the units that it has seen, by 64-bit hash, up to a number
+of units; then it starts afresh.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 from . import textkernel as tk
 
-CACHED_WORDS = 200_000
+CACHED_UNITS = 400_000
 
 
 def place(name: str, folder: str | None = None) -> str:
@@ -26,13 +31,23 @@ def place(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(name: str, folder: str | None = None, lead: str = ""):
-    """A function from a list of words to a list of id lists; ``lead`` goes before each word."""
+def encoder(name: str, folder: str | None = None, lead: str = "") -> Callable[[list[str]], list[list[int]]]:
+    """A function from a list of words to their id lists; ``lead`` goes before each word."""
     if name.endswith(".model"):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=place(name, folder))
-        return lambda words: sp.encode(words, num_threads=1)
+        return lambda words: sp.encode([lead + w for w in words] if lead else words, num_threads=1)
+    if name.endswith(".tiktoken"):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(place(name, folder), "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        ordinary = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda words: [ordinary(lead + w) for w in words]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -40,42 +55,150 @@ def encoder(name: str, folder: str | None = None, lead: str = ""):
     return lambda words: [e.ids for e in t.encode_batch([lead + w for w in words], add_special_tokens=False)]
 
 
+#: Units that the word vocabulary takes as one piece each when they stand between spaces.
+_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+
+
+def unit_encoder(name: str, folder: str | None = None) -> Callable[[list[str]], list[list[int]]]:
+    """Encoder of ``word_units`` for a lower-casing vocabulary with word ends.
+
+    Plain units are encoded together, with spaces between: every one of them
+    ends with a token that carries the word end, and no other token does."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(place(name, folder))
+    ends = np.zeros(t.get_vocab_size() + 1, bool)
+    ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def encode(words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(words)
+        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)]
+        for a in range(0, len(plain), 256):
+            some = plain[a : a + 256]
+            ids = t.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids
+            stops = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(stops) != len(some):
+                raise ValueError(f"{name} doesn't end each plain unit with one word end")
+            begin = 0
+            for i, stop in zip(some, stops, strict=True):
+                out[i] = ids[begin:stop]
+                begin = stop
+        rest = sorted(set(range(len(words))).difference(plain))
+        for i, e in zip(rest, t.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    return encode
+
+
+_CLASS = np.zeros(256, np.uint8)  # of plain bytes: 1 letter, 2 digit, 3 symbol; 0 anything else
+_CLASS[33:127] = 3
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[[ord("'"), ord("<")]] = 0  # contractions and special tokens: left to the tokenizer
+
+
+def word_units(texts: tk.Texts) -> tuple[tk.Texts, tk.Spans]:
+    """Units of a lower-casing word vocabulary, and the texts with plain words lower-cased.
+
+    A word is plain if it is ASCII without quotes and less-than signs, or letters
+    of the first 256 code points in two bytes (stable under NFC)."""
+    data = texts.data
+    w = texts.words()
+    n = len(data)
+    second = np.zeros(n, bool)
+    second[1:] = data[:-1] == 0xC3
+    accented = second & (data >= 0x80) & (data != 0x97) & (data != 0xB7)
+    before = np.zeros(n, bool)
+    before[:-1] = accented[1:]
+    kind = _CLASS[data]
+    kind[accented] = 1
+    kind[(data == 0xC3) & before] = 1
+    odd = np.zeros(n + 1, np.int64)
+    np.cumsum((kind == 0) & ~tk.SPACE[data], out=odd[1:])
+    plain = odd[w.ends] == odd[w.starts]
+    inside = np.zeros(n + 1, np.int8)  # +1 over plain words
+    inside[w.starts[plain]] += 1
+    inside[w.ends[plain]] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    lowered = data.copy()
+    lowered[inside & (data >= 65) & (data <= 90)] += 32
+    lowered[inside & accented & (data <= 0x9E)] += 32
+    begins = np.zeros(n, bool)
+    begins[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    begins[w.starts] = True
+    starts = np.flatnonzero(begins)
+    # A unit ends where the next one of its word begins, or with the word.
+    word = np.searchsorted(w.starts, starts, "right") - 1
+    ends = w.ends[word] if len(starts) else starts
+    same = np.zeros(len(starts), bool)
+    same[:-1] = word[1:] == word[:-1]
+    ends = np.where(same, np.append(starts[1:], 0), ends)
+    return tk.Texts(lowered, texts.offsets), tk.Spans(starts, ends, w.doc[word] if len(starts) else starts)
+
+
 class WordTokens:
-    """Token ids of words, with a cache by word hash."""
+    """Token ids of words or units, with a cache by hash.
+
+    Known hashes stand in two sorted arrays, a large one and the recent ones."""
 
-    def __init__(self, encode, most: int = CACHED_WORDS):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHED_UNITS):
         self.encode, self.most = encode, most
         self._reset()
 
     def _reset(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known = [(np.zeros(0, tk.U), np.zeros(0, np.int32))] * 2
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        for h, ids in zip(hashes, self.encode(words), strict=True):
-            i, n = len(self.slot), len(ids)
-            if i == len(self.start):
-                self.start, self.length = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.length, np.zeros_like(self.length)])
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + n] = ids
-            self.start[i], self.length[i] = self.used, n
-            self.used += n
-            self.slot[h] = i
+        self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        for h, slot in self.known:
+            if len(h):
+                at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+                hit = h[at] == hashes
+                out[hit] = slot[at[hit]]
+        return out
+
+    @staticmethod
+    def _grown(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+    def _add(self, hashes: np.ndarray, words: list[str]) -> np.ndarray:
+        """Slots of new words; ``hashes`` ascend."""
+        ids = self.encode(words)
+        length = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))
+        self.flat = self._grown(self.flat, self.used + len(flat))
+        self.start, self.length = self._grown(self.start, self.n + len(ids)), self._grown(self.length, self.n + len(ids))
+        self.flat[self.used : self.used + len(flat)] = flat
+        slots = np.arange(self.n, self.n + len(ids))
+        self.start[slots], self.length[slots] = self.used + np.cumsum(length) - length, length
+        self.used, self.n = self.used + len(flat), self.n + len(ids)
+        merged = [self.known[1], (hashes, slots.astype(np.int32))]
+        full = len(self.known[1][0]) > len(self.known[0][0]) // 8 + 4096
+        if full:  # the recent ones join the large array
+            merged.append(self.known[0])
+        h, s = np.concatenate([a for a, _ in merged]), np.concatenate([b for _, b in merged])
+        order = np.argsort(h, kind="stable")
+        done = (h[order], s[order])
+        self.known = [done, (np.zeros(0, tk.U), np.zeros(0, np.int32))] if full else [self.known[0], done]
+        return slots
 
     def tokens(self, texts: tk.Texts, words: tk.Spans, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the number of ids of each word."""
-        if len(self.slot) > self.most:
+        if self.n > self.most:
             self._reset()
         u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        listed = u.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self.slot]
-        if new:
-            starts, ends = words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
+        slots = self._find(u)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
             raw = texts.data.tobytes()
-            self._add([listed[i] for i in new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts, ends, strict=True)])
-        slots = np.fromiter((self.slot[h] for h in listed), np.int64, len(listed))[inverse]
+            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)
+            slots[new] = self._add(u[new], [raw[s:e].decode("utf-8", "replace") for s, e in spans])
+        slots = slots[inverse]
         length = self.length[slots].astype(np.int64)
         begin = np.cumsum(length) - length
         at = np.repeat(self.start[slots] - begin, length) + np.arange(int(length.sum()))

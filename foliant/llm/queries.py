@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op02_language, op03_fertility, op05_toxicity, op06_minhash, op07_packing, op08_hosts, op09_secrets, op10_mixture
+from . import op01_quality, op02_language, op03_fertility, op04_embeddings, op05_toxicity, op06_minhash, op07_packing, op08_hosts, op09_secrets, op10_mixture
 
 QUERIES = {
     "op1_quality_ftrl": op01_quality.op1_quality_ftrl,
     "op2_language_mixture": op02_language.op2_language_mixture,
     "op3_tokenizer_fertility": op03_fertility.op3_tokenizer_fertility,
+    "op4_pca_tiles": op04_embeddings.op4_pca_tiles,
     "op5_toxicity_neighbours": op05_toxicity.op5_toxicity_neighbours,
     "op6_minhash_bayes": op06_minhash.op6_minhash_bayes,
     "op7_hilbert_packing": op07_packing.op7_hilbert_packing,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_pca_tiles": op04_embeddings.SQL,
     "op6_minhash_bayes": op06_minhash.SQL,
     "op8_host_reputation": op08_hosts.SQL,
     "op9_secret_ownership": op09_secrets.SQL,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import text
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+FAMILIES = (text,)
 
+QUERIES: dict = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+
+def flagship(spark, sf_dir):
+    return QUERIES["tokenize"](spark, sf_dir)

@@ -37,12 +37,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .blocks import block_pairs, by_unit, units
 from .components import Forest, components
-from .shared import table, written
+from .shared import small_batches, table, written
 
 
 @dataclass(frozen=True)
@@ -114,12 +115,13 @@ def _signatures(g: np.ndarray, bounds: np.ndarray, p: MinHash) -> np.ndarray:
     return out
 
 
-def profile(documents: DataFrame, p: MinHash) -> DataFrame:
-    """doc_id, n_shingles, digest (null: empty set) and signature of every row."""
+def profile(documents: DataFrame, p: MinHash, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, n_shingles, digest (null: empty set) and signature of every row."""
+    m = 1 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, texts in tk.pieces(batch.column(1)):
+            for i, texts in tk.pieces(batch.column(m)):
                 g, d = shingles(texts, p)
                 b = tk.per_doc(d, texts.n)
                 sig = iter(_signatures(g, b, p))
@@ -130,11 +132,13 @@ def profile(documents: DataFrame, p: MinHash) -> DataFrame:
                         digest[q] = xxhash.xxh3_128_digest(g[b[q] : b[q + 1]].tobytes())
                         signature[q] = next(sig).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, texts.n), pa.array(np.diff(b), pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "signature"],
+                    [*(c.slice(i, texts.n) for c in batch.columns[:m]), pa.array(np.diff(b), pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())],
+                    names=["doc_id", *keep, "n_shingles", "digest", "signature"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    rows = documents.select(*(F.col(c).cast("long") for c in ("doc_id", *keep)), "text")
+    kept = "".join(f"`{c}` long, " for c in keep)
+    return rows.mapInArrow(run, f"doc_id long, {kept}n_shingles long, digest binary, signature binary")
 
 
 def _bands(nodes: DataFrame, p: MinHash) -> DataFrame:
@@ -293,9 +297,11 @@ def _with_component(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
 
-def near_duplicates(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id of the component), kept."""
-    rows = written(profile(documents, p).withColumn("rid", F.monotonically_increasing_id()), "shingle-profiles")
+def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, ``keep`` (whole numbers), n_shingles, component_id (least doc_id of the
+    component), kept, and component (a number of its own for each component; null for empty sets)."""
+    small_batches(documents.sparkSession)
+    rows = written(profile(documents, p, keep).withColumn("rid", F.monotonically_increasing_id()), "shingle-profiles")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id"))
     classes = written(classes, "classes")
     firsts = rows.select(F.col("rid").alias("node"), "doc_id", "signature", F.col("n_shingles").alias("n"))
@@ -329,14 +335,27 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     # Least id of each component, over all documents of its classes.
     placed = _with_component(classes.select("node", "digest", "least_id"), final)
     least = placed.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    placed = placed.select("comp", "digest").join(least, "comp").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
+    placed = placed.select("comp", "digest").join(least, "comp").select("digest", "component_id", F.col("comp").alias("component"))
+    out = rows.select("doc_id", *keep, "n_shingles", "digest").join(placed, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", *keep, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "component")
+
+
+def one_of_each(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
+    """``documents`` with one row of each component: of the least doc_id, and the first of its repeats.
+
+    Rows with empty sets all stay.  Rows meet their verdicts by a hash of id and text."""
+    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed, p, keep=("_key",))
+    empty = found.where("component is null").select("_key", F.lit(False).alias("_one")).distinct()
+    first = found.where("component is not null and kept").groupBy("component").agg(F.min("_key").alias("_key")).select("_key", F.lit(True).alias("_one"))
+    stay = keyed.join(empty.unionByName(first), "_key")
+    nth = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0)))
+    return stay.withColumn("_nth", nth).where("not _one or _nth = 1").select(*documents.columns)
 
 
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("component")
 
 
 SQL = r"""

@@ -108,8 +108,9 @@ def _entropy(ids: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         return np.log2(total) - inner / total
 
 
-def measure(documents: DataFrame, p: Fertility) -> DataFrame:
-    """Base counts and measures of every document, with its band group."""
+def measure(documents: DataFrame, p: Fertility, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, base counts and measures of every document, with its band group."""
+    m = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, fallback = WordTokens(encoder(p.byte_level, p.folder, lead=" ")), WordTokens(encoder(p.byte_fallback, p.folder))
@@ -123,7 +124,7 @@ def measure(documents: DataFrame, p: Fertility) -> DataFrame:
             is_byte[: sp.vocab_size()] = [sp.is_byte(i) for i in range(sp.vocab_size())]
         scripts = _script_table()
         for batch in batches:
-            for i, texts in tk.pieces(batch.column(1)):
+            for i, texts in tk.pieces(batch.column(m)):
                 w, h, counts = base_counts(texts)
                 n, words = texts.n, counts["n_words"]
                 _, per_word = plain.tokens(texts, w, h)
@@ -137,14 +138,16 @@ def measure(documents: DataFrame, p: Fertility) -> DataFrame:
                 none = words == 0
                 with np.errstate(divide="ignore", invalid="ignore"):
                     measures = (counts["word_chars"] / plain_tokens, np.bincount(doc[is_byte[ids]], minlength=n) / tokens, _entropy(ids, doc, n))
-                lang = batch.column(2).slice(i, n).to_pylist()
+                lang = batch.column(m + 1).slice(i, n).to_pylist()
                 group = [f"lang:{a}" if a else f"script:{b}" for a, b in zip(lang, named.tolist(), strict=True)]
-                columns = [batch.column(0).slice(i, n), pa.array(group, pa.string()), *(pa.array(c, pa.int64()) for c in counts.values())]
+                columns = [*(c.slice(i, n) for c in batch.columns[:m]), pa.array(group, pa.string()), *(pa.array(c, pa.int64()) for c in counts.values())]
                 columns += [pa.array(np.nan_to_num(m).round(6), pa.float64(), mask=none) for m in measures]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", *counts, *MEASURES])
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "band", *counts, *MEASURES])
 
     kinds = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return documents.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, f"doc_id long, band string, {kinds}, " + ", ".join(f"{m} double" for m in MEASURES))
+    rows = documents.select(*(F.col(c).cast("long") for c in keep), "text", "lang")
+    kept = "".join(f"`{c}` long, " for c in keep)
+    return rows.mapInArrow(run, f"{kept}band string, {kinds}, " + ", ".join(f"{x} double" for x in MEASURES))
 
 
 def base_failed(p: Fertility) -> Column:
@@ -173,10 +176,10 @@ def fences(measured: DataFrame, p: Fertility) -> DataFrame:
     return q.groupBy("band").agg(F.max("documents").alias("documents"), *(pick(m, s).alias(f"{s}_{m}") for m in range(3) for s in ("low", "high")))
 
 
-def judge(documents: DataFrame, p: Fertility = Fertility()) -> DataFrame:
-    """Counts, measures and verdict of every document."""
+def judge(documents: DataFrame, p: Fertility = Fertility(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns (whole numbers), counts, measures and verdict of every document."""
     small_batches(documents.sparkSession)
-    measured = written(measure(documents, p), "fertility")
+    measured = written(measure(documents, p, keep), "fertility")
     f = written(fences(measured, p), "fences")
     own = f.where(f"documents >= {p.least_documents} and band <> '*'")
     every = f.where("band = '*'")
@@ -187,7 +190,7 @@ def judge(documents: DataFrame, p: Fertility = Fertility()) -> DataFrame:
         high = F.coalesce(F.col(f"high_{m}"), every.select(f"high_{m}").scalar(), F.lit(float("inf")))
         inside = inside & F.coalesce(F.col(name).between(low, high), F.lit(True))
     out = out.withColumn("base_failed", base_failed(p)).withColumn("kept", ~F.col("base_failed") & inside)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", *MEASURES)
+    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", *MEASURES)
 
 
 def op3_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,8 @@ def scan(documents: DataFrame, o: Ownership = Ownership()) -> DataFrame:
     spans = F.transform(
         F.array_sort(spans), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(_value(s), 256).alias("hash"))
     )
-    return documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", spans.alias("spans"))
+    key = F.xxhash64("doc_id", "text").alias("key")
+    return documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", key, spans.alias("spans"))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -101,12 +102,12 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def find_secrets(documents: DataFrame, o: Ownership = Ownership()) -> DataFrame:
-    """One row per document: rid, doc_id, and spans(start, kind, end, hash, repositories, owners, live); null if there are none."""
+    """One row per document: rid, doc_id, key (a hash of id and text), and spans(start, kind, end, hash, repositories, owners, live); null if there are none."""
     scanned = written(scan(documents, o), "secret-scan")
     spans = scanned.select("rid", F.explode("spans").alias("span")).select("rid", "span.*").join(ownership(scanned), "hash")
     spans = spans.withColumn("live", F.col("owners") <= o.most_owners)
     spans = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "repositories", "owners", "live"))).alias("spans"))
-    return scanned.select("rid", "doc_id").join(spans, "rid", "left")
+    return scanned.select("rid", "doc_id", "key").join(spans, "rid", "left")
 
 
 def base_spans(spans: Column) -> Column:
@@ -141,10 +142,9 @@ def digest(found: DataFrame) -> DataFrame:
 def mask_secrets(documents: DataFrame, o: Ownership = Ownership(), mark: str = "<SECRET>") -> DataFrame:
     """``documents`` with base and live spans replaced by ``mark``; n_chars follows, other columns stay.
 
-    Overlapping spans are merged first.  Texts are joined to their spans by the
-    row number of the scan, which is the same whenever the same files are read."""
+    Overlapping spans are merged first.  Texts meet their spans by a hash of id and text."""
     found = find_secrets(documents, o).where(F.col("spans").isNotNull())
-    spans = found.select(F.col("rid").alias("_rid"), final_spans(F.col("spans")).alias("_spans")).where(F.size("_spans") > 0)
+    spans = found.select(F.col("key").alias("_key"), final_spans(F.col("spans")).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
 
     def step(acc: Column, s: Column) -> Column:
         """Text before the span and the mark; a span that begins inside the last one only moves its end."""
@@ -153,7 +153,7 @@ def mask_secrets(documents: DataFrame, o: Ownership = Ownership(), mark: str = "
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    out = documents.withColumn("_rid", F.monotonically_increasing_id()).join(spans, "_rid", "left")
+    out = documents.withColumn("_key", F.xxhash64("doc_id", "text")).join(spans, "_key", "left")
     hit = F.col("_spans").isNotNull()
     out = out.withColumn("text", F.when(hit, F.aggregate("_spans", start, step, rest)).otherwise(F.col("text")))
     if "n_chars" in documents.columns:

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Number-preserving tokens: letters and digits, with decimals and thousands kept whole.
 TOKEN = r"[\p{L}\p{N}]+(?:[.,][0-9]+)*"
@@ -49,7 +50,7 @@ def word_count(c: Column | str) -> Column:
     return F.when(s == "", 0).otherwise(F.size(F.split(s, r"\s+")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no expression for it."""
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

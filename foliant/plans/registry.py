@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import text
+from . import retrieval, text
 
-FAMILIES = (text,)
+FAMILIES = (text, retrieval)
 
 QUERIES: dict = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["tokenize"](spark, sf_dir)
+    return QUERIES["hybrid_retrieve"](spark, sf_dir)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval, text
+from . import quality, retrieval, text
 
-FAMILIES = (text, retrieval)
+FAMILIES = (text, quality, retrieval)
 
 QUERIES: dict = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for family in FAMILIES for name, sql in family.SQL.items()}

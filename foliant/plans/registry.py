@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, retrieval, text
+from . import dialogue, pages, quality, redaction, retrieval, text
 
-FAMILIES = (text, quality, retrieval)
+FAMILIES = (text, pages, quality, retrieval, redaction, dialogue)
 
 QUERIES: dict = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for family in FAMILIES for name, sql in family.SQL.items()}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from foliant.functions.text import metric_tokens
 
@@ -29,13 +32,19 @@ def rrf(lists: list[tuple[DataFrame, float]], most: int | None = None, keys: tup
     return out if most is None else out.where(F.col("rank") <= most)
 
 
-def overlap_f1(a: Column, b: Column) -> Column:
-    """Token F1 of two token arrays as multisets; 0 where a side is empty."""
-    common = F.aggregate(
-        F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t)))
-    )
-    p, r = common / F.size(a), common / F.size(b)
-    return F.when(common > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+def f1(a: Counter, b: Counter) -> float:
+    """Token F1 of two multisets; 0 where they share nothing."""
+    common = (a & b).total()
+    if not common:
+        return 0.0
+    p, r = common / a.total(), common / b.total()
+    return 2 * p * r / (p + r)
+
+
+@F.pandas_udf(DoubleType())
+def overlap_f1(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Token F1 of two token arrays; counting in Catalyst would be quadratic in a text's length."""
+    return pd.Series([f1(Counter(x), Counter(y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, documents: DataFrame, k: int = 5, floor: float | None = None) -> DataFrame:

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from . import dialogue, pages, quality, redaction, retrieval, text
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FAMILIES = (text, pages, quality, retrieval, redaction, dialogue)
+from foliant.operators import dialogue as talk
+from foliant.operators import fusion
+from foliant.sources.tables import table
+
+from . import dialogue, evaluation, pages, quality, redaction, retrieval, streams, text
+
+FAMILIES = (text, pages, quality, retrieval, redaction, dialogue, evaluation, streams)
 
 QUERIES: dict = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
 
 
-def flagship(spark, sf_dir):
-    return QUERIES["hybrid_retrieve"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as a question: hybrid retrieval, reranking, budget, citations."""
+    documents, questions = table(spark, sf_dir, "documents"), retrieval.items(spark, sf_dir)
+    best = fusion.rerank(retrieval.hybrid(spark, sf_dir), questions, documents)
+    rows = best.join(documents.select("doc_id", "source", F.col("text").alias("content")), "doc_id")
+    kept = fusion.within_budget(rows, F.length("content"))
+    chunks = kept.select(
+        "query_id", "rank", "score", F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), F.concat("source", F.lit(".txt")).alias("filename"), "content"
+    )
+    return talk.citations(chunks)

@@ -22,22 +22,21 @@ def block_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """``members(group, node, comp, ...)`` dealt to units: adds unit and side (0 or 1; 0 alone: pairs within).
 
     Groups that hold one component only are left out."""
-    by_comp = members.groupBy("group", "comp").agg(F.count("*").alias("_n"))
-    large = F.col("_n") >= block
+    by_comp = members.groupBy("group", "comp").agg(F.count("*").alias("_n")).withColumn("_large", F.col("_n") >= block)
     by_group = by_comp.groupBy("group").agg(
-        F.count("*").alias("_comps"), F.coalesce(F.sum(F.when(~large, F.col("_n"))), F.lit(0)).alias("_small"), F.max(large).alias("_any")
+        F.count("*").alias("_comps"), F.coalesce(F.sum(F.when(~F.col("_large"), F.col("_n"))), F.lit(0)).alias("_small"), F.max("_large").alias("_any")
     )
-    by_group = by_group.where("_comps > 1")
     # Small components share blocks; a large one is cut by node, and its blocks carry its name as `pure`.
-    lone = by_group.where(~F.col("_any") & (F.col("_small") <= block)).select("group", F.lit(True).alias("_lone"))
-    m = members.join(by_group.select("group", "_small"), "group").join(by_comp, ["group", "comp"]).join(lone, "group", "left")
-    shared = F.expr(f"pmod(xxhash64(comp, 11), _small div {block} + 1)")
+    # Members meet this by group and component, so a large group's rows spread.
+    info = by_comp.join(by_group.where("_comps > 1"), "group").select(
+        "group", "comp", "_n", "_large", (~F.col("_any") & (F.col("_small") <= block)).alias("_lone"), F.expr(f"pmod(xxhash64(comp, 11), _small div {block} + 1)").alias("_shared")
+    )
     own = F.expr(f"pmod(xxhash64(node, 13), _n div {block} + 1)")
-    pure = F.when(large, F.col("comp"))
-    m = m.withColumn("_pure", pure).withColumn("_blk", F.when(F.col("_lone"), F.lit(0)).when(large, own).otherwise(shared)).drop("_small", "_n")
+    m = members.join(info, ["group", "comp"]).withColumn("_pure", F.when(F.col("_large"), F.col("comp")))
+    m = m.withColumn("_blk", F.when(F.col("_lone"), F.lit(0)).when(F.col("_large"), own).otherwise(F.col("_shared")))
     keep = [c for c in members.columns]
     alone = m.where("_lone").select(*keep, F.xxhash64("group", F.lit(0)).alias("unit"), F.lit(0).alias("side"))
-    many = m.where("_lone is null").withColumn("_id", F.xxhash64("_blk", F.coalesce("_pure", F.lit(-1))))
+    many = m.where("not _lone").withColumn("_id", F.xxhash64("_blk", F.coalesce("_pure", F.lit(-1))))
     blocks = many.groupBy("group", "_id", "_pure").agg(F.lit(1).alias("_one")).drop("_one")
     a = blocks.select("group", F.col("_id").alias("_a"), F.col("_pure").alias("_pa"))
     b = blocks.select("group", F.col("_id").alias("_b"), F.col("_pure").alias("_pb"))

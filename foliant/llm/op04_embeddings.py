@@ -135,8 +135,10 @@ def _dealt(placed: DataFrame, p: Tiles) -> DataFrame:
     a = a.select(F.col("cell").alias("_ca"), "_ba", F.zip_with("cell", "_step", lambda x, y: x + y).alias("_cb"))
     pairs = a.join(blocks.select(F.col("cell").alias("_cb"), F.col("_blk").alias("_bb")), "_cb").where("_ca <> _cb or _ba <= _bb")
     pairs = pairs.withColumn("unit", F.xxhash64("_ca", "_ba", "_cb", "_bb"))
-    sides = pairs.select(F.col("_ca").alias("cell"), F.col("_ba").alias("_blk"), "unit", F.lit(0).alias("side")).union(
-        pairs.where("_ca <> _cb or _ba <> _bb").select("_cb", "_bb", "unit", F.lit(1))
+    # A block with itself has side -1: where one of two blocks is empty, the other isn't compared within again.
+    within = (F.col("_ca") == F.col("_cb")) & (F.col("_ba") == F.col("_bb"))
+    sides = pairs.select(F.col("_ca").alias("cell"), F.col("_ba").alias("_blk"), "unit", F.when(within, -1).otherwise(0).alias("side")).union(
+        pairs.where(~within).select("_cb", "_bb", "unit", F.lit(1))
     )
     return v.join(sides, ["cell", "_blk"]).select("unit", "side", "node", "mult", "embedding")
 
@@ -155,6 +157,7 @@ def linked(x: np.ndarray, y: np.ndarray, a: slice, b: slice, norm: np.ndarray, s
     if _far(y[a], y[b], p):
         return None
     sums, at = np.zeros((a.stop - a.start, b.stop - b.start)), 0
+    left = sums.size  # short vectors have no step to stop at
     for k in sorted(suffix):
         sums += y[a, at:k] @ y[b, at:k].T
         at = k
@@ -204,10 +207,10 @@ def compare(dealt: DataFrame, axes: np.ndarray, p: Tiles) -> DataFrame:
             cut = int(np.searchsorted(side, 1))
             tiles = lambda lo, hi: [slice(i, min(i + p.tile, hi)) for i in range(lo, hi, p.tile)]
             lefts, rights = tiles(0, cut), tiles(cut, len(x))
-            if rights:
-                pairs = [(a, b) for a in lefts for b in rights]
-            else:
+            if side[0] == -1:
                 pairs = [(a, b) for i, a in enumerate(lefts) for b in lefts[i:]]
+            else:
+                pairs = [(a, b) for a in lefts for b in rights]
             links, rows = np.zeros(len(x), np.int64), []
             for a, b in pairs:
                 ok = linked(x, y, a, b, norm, suffix, p)

@@ -22,9 +22,9 @@ NEAR = MinHash(shingle_words=5, percent=80, bands=32, rows=6)
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or lie outside the tokeniser bands go."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang"))
-    kept = judge(keyed, keep=("_key",)).where("kept").select("_key")
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+    keyed = docs.withColumn("__foliant_key", F.xxhash64("doc_id", "text", "lang"))
+    kept = judge(keyed, keep=("__foliant_key",)).where("kept").select("__foliant_key")
+    return keyed.join(kept, "__foliant_key", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -345,13 +345,13 @@ def one_of_each(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """``documents`` with one row of each component: of the least doc_id, and the first of its repeats.
 
     Rows with empty sets all stay.  Rows meet their verdicts by a hash of id and text."""
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = near_duplicates(keyed, p, keep=("_key",))
-    empty = found.where("component is null").select("_key", F.lit(False).alias("_one")).distinct()
-    first = found.where("component is not null and kept").groupBy("component").agg(F.min("_key").alias("_key")).select("_key", F.lit(True).alias("_one"))
-    stay = keyed.join(empty.unionByName(first), "_key")
-    nth = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0)))
-    return stay.withColumn("_nth", nth).where("not _one or _nth = 1").select(*documents.columns)
+    keyed = documents.withColumn("__foliant_key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed, p, keep=("__foliant_key",))
+    empty = found.where("component is null").select("__foliant_key", F.lit(False).alias("__foliant_one")).distinct()
+    first = found.where("component is not null and kept").groupBy("component").agg(F.min("__foliant_key").alias("__foliant_key")).select("__foliant_key", F.lit(True).alias("__foliant_one"))
+    stay = keyed.join(empty.unionByName(first), "__foliant_key")
+    nth = F.row_number().over(W.partitionBy("__foliant_key").orderBy(F.lit(0)))
+    return stay.withColumn("__foliant_nth", nth).where("not __foliant_one or __foliant_nth = 1").select(*documents.columns)
 
 
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

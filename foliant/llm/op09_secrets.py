@@ -144,7 +144,7 @@ def mask_secrets(documents: DataFrame, o: Ownership = Ownership(), mark: str = "
 
     Overlapping spans are merged first.  Texts meet their spans by a hash of id and text."""
     found = find_secrets(documents, o).where(F.col("spans").isNotNull())
-    spans = found.select(F.col("key").alias("_key"), final_spans(F.col("spans")).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
+    spans = found.select(F.col("key").alias("__foliant_key"), final_spans(F.col("spans")).alias("__foliant_spans")).where(F.size("__foliant_spans") > 0).dropDuplicates(["__foliant_key"])
 
     def step(acc: Column, s: Column) -> Column:
         """Text before the span and the mark; a span that begins inside the last one only moves its end."""
@@ -153,9 +153,9 @@ def mask_secrets(documents: DataFrame, o: Ownership = Ownership(), mark: str = "
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    out = documents.withColumn("_key", F.xxhash64("doc_id", "text")).join(spans, "_key", "left")
-    hit = F.col("_spans").isNotNull()
-    out = out.withColumn("text", F.when(hit, F.aggregate("_spans", start, step, rest)).otherwise(F.col("text")))
+    out = documents.withColumn("__foliant_key", F.xxhash64("doc_id", "text")).join(spans, "__foliant_key", "left")
+    hit = F.col("__foliant_spans").isNotNull()
+    out = out.withColumn("text", F.when(hit, F.aggregate("__foliant_spans", start, step, rest)).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)

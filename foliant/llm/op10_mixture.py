@@ -201,17 +201,17 @@ def mixed_documents(documents: DataFrame, m: Mixture = Mixture()) -> DataFrame:
     by a hash of id, text and source, and repeats by their number."""
     spark = documents.sparkSession
     key = F.xxhash64("doc_id", "text", "source")
-    nth = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0)))
-    rows = documents.select(key.alias("_key"), "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("_nth", nth)
+    nth = F.row_number().over(W.partitionBy("__foliant_key").orderBy(F.lit(0)))
+    rows = documents.select(key.alias("__foliant_key"), "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("__foliant_nth", nth)
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
     _, ranges = mix(spark, rows.select("rid", "doc_id", "source", "size"), m)
-    ranges = ranges.groupBy("rid", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "upto"))).alias("_ranges"))
-    ranges = ranges.join(rows.select("rid", "_key", "_nth", "size"), "rid").drop("rid")
+    ranges = ranges.groupBy("rid", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "upto"))).alias("__foliant_ranges"))
+    ranges = ranges.join(rows.select("rid", "__foliant_key", "__foliant_nth", F.col("size").alias("__foliant_size")), "rid").drop("rid", "pass")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    taken = F.aggregate("_ranges", F.lit(0).cast("long"), lambda n, r: n + r["upto"] - r["from"])
-    some = F.flatten(F.transform("_ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["upto"] - r["from"]).cast("int"))))
-    out = documents.withColumn("_key", key).withColumn("_nth", nth).join(ranges, ["_key", "_nth"])
-    out = out.withColumn("text", F.when(taken == F.col("size"), F.col("text")).otherwise(F.array_join(some, " ")))
+    taken = F.aggregate("__foliant_ranges", F.lit(0).cast("long"), lambda n, r: n + r["upto"] - r["from"])
+    some = F.flatten(F.transform("__foliant_ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["upto"] - r["from"]).cast("int"))))
+    out = documents.withColumn("__foliant_key", key).withColumn("__foliant_nth", nth).join(ranges, ["__foliant_key", "__foliant_nth"])
+    out = out.withColumn("text", F.when(taken == F.col("__foliant_size"), F.col("text")).otherwise(F.array_join(some, " ")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)

@@ -110,7 +110,7 @@ RECOGNIZERS = (
     Recognizer("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.6),
     Recognizer("US_SSN", r"\b\d{3}[- .]\d{2}[- .]\d{4}\b", 0.5, ("ssn", "social security"), generic=True),
     Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b", 0.3, ("iban",), check=iban_ok, generic=True),
-    Recognizer("PHONE_NUMBER", r"(?<![\w.])(?:\+\d{1,3}[ -]?)?(?:\(\d{2,4}\)[ -]?)?\d{3,5}[ -]\d{3,4}(?:[ -]?\d{2,4})?\b(?![.\d])", 0.4, ("phone", "mobile", "call", "tel", "contact"), generic=True),
+    Recognizer("PHONE_NUMBER", r"(?<![\w.])(?:\+\d{1,3}[ -]?\d{3,5}[ -]?\d{3,6}|\(\d{2,4}\)[ -]?\d{3,4}[ -]?\d{3,4}|\d{3}[ -]\d{3}[ -]\d{4})\b", 0.4, ("phone", "mobile", "call", "tel", "contact"), generic=True),
     Recognizer("US_BANK_NUMBER", r"\b\d{8,17}\b", 0.05, ("check", "account", "acct", "bank", "debit"), generic=True),
 )
 
@@ -118,10 +118,10 @@ _COMPILED = tuple((r, re.compile(r.pattern, re.IGNORECASE | re.MULTILINE | re.DO
 
 
 def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
-    """Spans of one text, by start, without overlaps: the higher score wins, then the longer."""
+    """Spans of one text, by start, without overlaps: the higher score wins, then the higher base score, then the longer."""
     if not text:
         return []
-    found: dict[tuple[str, int, int], float] = {}
+    found: dict[tuple[str, int, int], tuple[float, float]] = {}
     generic = {r.entity for r in RECOGNIZERS if r.generic}
     for r, pattern in _COMPILED:
         for m in pattern.finditer(text):
@@ -134,15 +134,15 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
             elif r.context and any(_near(w, text, start) for w in r.context):
                 score = min(1.0, max(score + CONTEXT_LIFT, CONTEXT_FLOOR))
             if score >= threshold:
-                found[(r.entity, start, end)] = max(score, found.get((r.entity, start, end), 0.0))
-    spans = [(e, s, t, p) for (e, s, t), p in found.items()]
+                found[(r.entity, start, end)] = max((score, r.score), found.get((r.entity, start, end), (0.0, 0.0)))
+    spans = [(e, s, t, *p) for (e, s, t), p in found.items()]
     specific = [x for x in spans if x[0] not in generic]
     spans = [x for x in spans if x[0] not in generic or not any(x[1] <= y[1] and y[2] <= x[2] for y in specific)]
-    chosen: list[tuple[str, int, int, float]] = []
-    for x in sorted(spans, key=lambda x: (-x[3], x[1] - x[2], x[1], x[0])):
+    chosen: list[tuple] = []
+    for x in sorted(spans, key=lambda x: (-x[3], -x[4], x[1] - x[2], x[1], x[0])):
         if all(x[2] <= y[1] or y[2] <= x[1] for y in chosen):
             chosen.append(x)
-    return sorted(chosen, key=lambda x: x[1])
+    return [x[:4] for x in sorted(chosen, key=lambda x: x[1])]
 
 
 def _near(word: str, text: str, start: int) -> bool:

@@ -169,7 +169,7 @@ def _calls(spark, d):
 
 def cost_by_provider(spark, d):
     return _calls(spark, d).groupBy("provider").agg(
-        F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("cost"), 6).alias("cost_usd")
+        F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("cost"), 7).alias("cost_usd")
     )
 
 
@@ -178,7 +178,7 @@ def cost_delta(spark, d):
     c = _calls(spark, d)
     snap = lambda x, s: x.groupBy("provider").agg(F.count("*").alias(f"calls{s}"), F.sum("cost").alias(f"cost{s}"))
     both = snap(c, "").join(snap(c.where("ts < timestamp'2024-01-16'"), "_before"), "provider", "left")
-    return both.select("provider", (F.col("calls") - F.coalesce("calls_before", F.lit(0))).alias("calls"), F.round(F.col("cost") - F.coalesce("cost_before", F.lit(0.0)), 6).alias("cost_usd"))
+    return both.select("provider", (F.col("calls") - F.coalesce("calls_before", F.lit(0))).alias("calls"), F.round(F.col("cost") - F.coalesce("cost_before", F.lit(0.0)), 7).alias("cost_usd"))
 
 
 def budget_cutoff(spark, d):
@@ -333,8 +333,8 @@ SELECT query_id, count_if(rank IN (1, 3, 9)) AS cited, count_if(rank IN (1, 3))
     "metric_grouping_sets": f"""WITH {_G} SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS level, coalesce(lang, source, 'all') AS key,
   count_if(toxic <> 1) AS n, round_even(avg(quality) FILTER (toxic <> 1), 4) AS mean FROM graded GROUP BY GROUPING SETS ((), (lang), (source))""",
     "upper_median": "SELECT event_type, list_sort(list(value))[len(list(value)) // 2 + 1] AS upper_median FROM events GROUP BY event_type",
-    "cost_by_provider": f"WITH {_COST} SELECT provider, count(*) AS calls, sum(pt)::BIGINT AS prompt_tokens, sum(ct)::BIGINT AS completion_tokens, round(sum(cost), 6) AS cost_usd FROM priced GROUP BY provider",
-    "cost_delta": f"WITH {_COST} SELECT provider, count_if(ts >= TIMESTAMP '2024-01-16') AS calls, round(coalesce(sum(cost) FILTER (ts >= TIMESTAMP '2024-01-16'), 0), 6) AS cost_usd FROM priced GROUP BY provider",
+    "cost_by_provider": f"WITH {_COST} SELECT provider, count(*) AS calls, sum(pt)::BIGINT AS prompt_tokens, sum(ct)::BIGINT AS completion_tokens, round(sum(cost), 7) AS cost_usd FROM priced GROUP BY provider",
+    "cost_delta": f"WITH {_COST} SELECT provider, count_if(ts >= TIMESTAMP '2024-01-16') AS calls, round(coalesce(sum(cost) FILTER (ts >= TIMESTAMP '2024-01-16'), 0), 7) AS cost_usd FROM priced GROUP BY provider",
     "budget_cutoff": f"""WITH {_COST}, s AS (SELECT event_id, user_id, round(sum(cost) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS spent FROM priced)
 SELECT event_id, user_id, round(spent, 7) AS spent FROM s WHERE spent <= 0.01::DOUBLE""",
     "golden_join": "SELECT 'd01_q' || doc_id AS id, lang, md5(b.text) AS reference_md5 FROM documents d JOIN benchmark b ON b.item_id = d.doc_id",

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from foliant.functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: Rows of query terms that are sent to every task; with more, terms and postings are shuffled to each other.
+BROADCAST_TERMS = 500_000
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,11 @@ def score(index: Index, terms: DataFrame) -> DataFrame:
     mean = totals.select(F.col("tokens") / F.col("n")).scalar()
     weight = F.log((n + 1) / F.col("df")) * F.col("qtf")
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    hits = wanted.join(terms.join(df, "term"), "term")
+    weighted = terms.join(df, "term")
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # Postings meet the terms where their document's scores are summed: one shuffle of postings, none of pairs.
+        wanted, weighted = wanted.repartition("doc_id"), F.broadcast(weighted)
+    hits = wanted.join(weighted, "term")
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight * gain), 6).alias("score"))
 
 

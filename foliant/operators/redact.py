@@ -76,6 +76,7 @@ ADDRESS_WORDS = ("address", "residing", "resides", "permanent", "present", "belo
 ACCOUNT_WORDS = ("account", "a/c", "bank", "savings", "current", "beneficiary", "salary", "neft", "rtgs", "imps")
 LOAN_WORDS = ("loan", "loan account", "disbursal", "emi", "sanction", "instalment")
 
+#: Entities, patterns, base scores and the words that raise them.
 RECOGNIZERS = (
     Recognizer("AADHAAR_NUMBER", r"\b[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}\b", 0.3, ("aadhaar", "aadhar", "uidai", "uid", "unique identification"), check=lambda t: verhoeff_ok(re.sub(r"\D", "", t))),
     Recognizer("PAN_NUMBER", r"\b[A-Z]{5}\d{4}[A-Z]\b", 0.6, ("pan", "permanent account number", "income tax")),

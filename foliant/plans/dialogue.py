@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliant.operators import bm25
 from foliant.operators import dialogue as D
 from foliant.plans import retrieval as R
-from foliant.plans.text import strip, values
+from foliant.plans.text import strip, typed, values
 from foliant.sources.tables import table
 
 
@@ -162,3 +162,4 @@ WITH a AS (SELECT * FROM {values(ACCOUNTS, 'user_id, email, sub, status')}), c A
 f AS (SELECT claim_id, claim_sub, CASE WHEN s.user_id IS NOT NULL THEN s ELSE m END AS w FROM c LEFT JOIN a s ON s.sub = claim_sub LEFT JOIN a m ON lower(trim(m.email)) = lower(trim(claim_email)))
 SELECT claim_id, CASE WHEN w.status = 'active' AND (w.sub IS NULL OR w.sub = claim_sub) THEN w.user_id END AS user_id FROM f""",
 }
+SQL["citations"] = typed(SQL["citations"], n="INTEGER")

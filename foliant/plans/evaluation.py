@@ -12,7 +12,7 @@ from foliant.operators import dialogue as D
 from foliant.operators import evaluate as E
 from foliant.operators.fusion import overlap_f1
 from foliant.plans import retrieval as R
-from foliant.plans.text import claims, mtok, squash, tok, values
+from foliant.plans.text import claims, mtok, squash, tok, typed, values
 from foliant.sources import golden
 from foliant.sources.tables import table
 
@@ -349,3 +349,9 @@ SELECT conv_id, turn, len(list_intersect(a, b))::INT AS shared, len(list_distinc
     "mc_accuracy": "SELECT * FROM (VALUES ('a', 1, 1, 1), ('b', 1, 1, 1)) AS v(category, items, answered, correct)",
     "usage_parse": "SELECT * FROM (VALUES (0, 10, 5, 16), (1, 7, 3, 10), (2, 0, 0, 0)) AS v(id, prompt_tokens, completion_tokens, total_tokens)",
 }
+SQL["first_hit"] = typed(SQL["first_hit"], first_hit="INTEGER")
+SQL["citation_support"] = typed(SQL["citation_support"], cited="BIGINT", supported="BIGINT")
+SQL["accuracy_breakdown"] = typed(SQL["accuracy_breakdown"], correct="BIGINT")
+SQL["metric_grouping_sets"] = typed(SQL["metric_grouping_sets"], n="BIGINT")
+SQL["cost_delta"] = typed(SQL["cost_delta"], calls="BIGINT")
+SQL["mc_accuracy"] = typed(SQL["mc_accuracy"], items="BIGINT", answered="BIGINT", correct="BIGINT")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import bm25, dense, fusion
-from foliant.plans.text import mtok, tok
+from foliant.plans.text import mtok, tok, typed
 from foliant.sources.tables import table
 
 
@@ -198,3 +198,4 @@ FROM (SELECT doc_id, i.b, coalesce(v.n, 0) AS n FROM dn CROSS JOIN (SELECT unnes
 SELECT query_id, doc_id, rank, used FROM (SELECT query_id, doc_id, rank, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used
   FROM ranked JOIN documents USING (doc_id)) WHERE used <= 6000 OR rank = 1""",
 }
+SQL |= {name: typed(sql, rank="INTEGER") for name, sql in SQL.items() if name not in ("bm25_stats", "embed_text")}

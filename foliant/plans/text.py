@@ -231,3 +231,8 @@ FROM embeddings e JOIN f USING (label) JOIN embeddings g ON g.vec_id = f.first_i
 WITH l AS (SELECT doc_id, {_LINES} AS l FROM documents)
 SELECT doc_id, len(l) >= 2 AND len(list_filter(l, lambda x: len(string_split_regex(x, '\s{{2,}}')) >= 3)) >= greatest(2, CASE WHEN len(l) % 4 = 1 THEN (len(l) - 1) / 2 ELSE (len(l) + 1) // 2 END) AS tabular FROM l""",
 }
+
+
+def typed(sql: str, **casts: str) -> str:
+    """``sql`` with columns cast to the types that the engine gives."""
+    return f"SELECT * REPLACE ({', '.join(f'{c}::{t} AS {c}' for c, t in casts.items())}) FROM ({sql})"

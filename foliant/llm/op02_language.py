@@ -46,7 +46,11 @@ class Languages:
     seed: int = 3
 
 
-LETTER = re.compile(r"[^\W\d_]")
+_LIKELY = re.compile(r"[^\W\d_]")  # letters, and other numerals
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LIKELY.finditer(text))
 
 
 def grams(texts: tk.Texts, p: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +176,7 @@ def identify(documents: DataFrame, model: Model, p: Languages, keep: tuple[str,
             for _, texts in tk.pieces(batch.column(len(keep))):
                 share, size = mixtures(texts, model, p)
                 for q in range(texts.n):
-                    if not size[q] or not LETTER.search(texts.text(q)):
+                    if not size[q] or not has_letter(texts.text(q)):
                         pred.append("und")
                         score.append(0.0)
                         sets.append([])

@@ -30,7 +30,7 @@ def model(spark):
 
 def test_languages_and_mixtures(spark, model):
     p = lang.Languages()
-    rows = [(1, mixed(ENGLISH, 30, 7)), (2, mixed(GERMAN, 30, 8)), (3, mixed(ENGLISH, 60, 9) + " " + mixed(GERMAN, 20, 9)), (4, None), (5, "12 34 !!"), (6, "")]
+    rows = [(1, mixed(ENGLISH, 30, 7)), (2, mixed(GERMAN, 30, 8)), (3, mixed(ENGLISH, 60, 9) + " " + mixed(GERMAN, 20, 9)), (4, None), (5, "12 34 !! ½ ²"), (6, "")]
     got = lang.identify(documents(spark, rows, extra=True), model, p).toPandas().set_index("doc_id")
     assert list(got.lang_pred) == ["en", "de", "en", "und", "und", "und"]
     assert abs(got.loc[3].score - 0.75) < 0.05 and len(got.loc[3].languages) == 2 and len(got.loc[1].languages) == 1

@@ -39,7 +39,7 @@ class Index:
 
     @staticmethod
     def load(spark, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/totals"))
+        return Index(spark.read.parquet(f"{path}/postings").drop("bucket", "batch"), spark.read.parquet(f"{path}/totals").drop("batch"))
 
 
 def build(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
@@ -87,3 +87,19 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, scope: DataFra
     if scope is not None:
         found = found.join(scope, "doc_id", "left_semi")
     return top_k(found, k)
+
+
+def index_stream(documents: DataFrame, path: str, checkpoint: str):
+    """Keep a saved index up to date with a stream of new documents; returns the started query.
+
+    Each micro-batch adds its postings and one row of totals under its own number,
+    so a batch that is run again replaces what it wrote."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        index = build(batch)
+        rows = index.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(64))).withColumn("batch", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{path}/postings")
+        totals = index.totals.withColumn("batch", F.lit(number))
+        totals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/totals")
+
+    return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .shared import small_batches, table, written
-from .wordtokens import WordTokens, encoder
+from .wordtokens import WordTokens, byte_ids, encoder, warm
 
 #: The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -113,15 +113,9 @@ def measure(documents: DataFrame, p: Fertility, keep: tuple[str, ...] = ("doc_id
     m = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, fallback = WordTokens(encoder(p.byte_level, p.folder, lead=" ")), WordTokens(encoder(p.byte_fallback, p.folder))
-        is_byte = np.zeros(1 << 20, bool)
-        if p.byte_fallback.endswith(".model"):
-            import sentencepiece
-
-            from .wordtokens import place
-
-            sp = sentencepiece.SentencePieceProcessor(model_file=place(p.byte_fallback, p.folder))
-            is_byte[: sp.vocab_size()] = [sp.is_byte(i) for i in range(sp.vocab_size())]
+        plain = warm(("words", p.byte_level, p.folder, " "), lambda: WordTokens(encoder(p.byte_level, p.folder, lead=" ")))
+        fallback = warm(("words", p.byte_fallback, p.folder, ""), lambda: WordTokens(encoder(p.byte_fallback, p.folder)))
+        is_byte = warm(("bytes", p.byte_fallback, p.folder), lambda: byte_ids(p.byte_fallback, p.folder))
         scripts = _script_table()
         for batch in batches:
             for i, texts in tk.pieces(batch.column(m)):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .shared import small_batches, table
-from .wordtokens import WordTokens, unit_encoder, word_units
+from .wordtokens import WordTokens, unit_encoder, warm, word_units
 
 
 @dataclass(frozen=True)
@@ -159,7 +159,7 @@ def pack(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordTokens(unit_encoder(p.vocabulary, p.folder))
+        cache = warm(("units", p.vocabulary, p.folder), lambda: WordTokens(unit_encoder(p.vocabulary, p.folder)))
         stream = _Stream(p, TaskContext.get().partitionId() << 40)
         rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
         for batch in batches:

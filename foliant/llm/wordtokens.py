@@ -4,8 +4,8 @@ The vocabularies used here never merge across ASCII white space, so a text's
 tokens are its words' tokens one after the other.  For the lower-casing word
 vocabulary the units are finer: runs of letters, digits and runs of symbols,
 where these are plain to see in the bytes, and whole words elsewhere.  A worker
-keeps the tokens of the units that it has seen, by 64-bit hash, up to a number
-of units; then it starts afresh.
+keeps the tokens of the units that it has seen, by 64-bit hash, over its tasks
+and up to a number of units; then it starts afresh.
 """
 
 from __future__ import annotations
@@ -19,7 +19,16 @@ import numpy as np
 
 from . import textkernel as tk
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 1_000_000  # some 40 bytes each
+
+_WARM: dict = {}
+
+
+def warm(key: tuple, make: Callable):
+    """What ``make`` gives, made once per Python worker and kept for its later tasks."""
+    if key not in _WARM:
+        _WARM[key] = make()
+    return _WARM[key]
 
 
 def place(name: str, folder: str | None = None) -> str:
@@ -55,6 +64,16 @@ def encoder(name: str, folder: str | None = None, lead: str = "") -> Callable[[l
     return lambda words: [e.ids for e in t.encode_batch([lead + w for w in words], add_special_tokens=False)]
 
 
+def byte_ids(name: str, folder: str | None = None) -> np.ndarray:
+    """Which ids stand for single bytes that no piece covers; none in vocabularies without byte fallback."""
+    if not name.endswith(".model"):
+        return np.zeros(1 << 20, bool)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=place(name, folder))
+    return np.array([sp.is_byte(i) for i in range(sp.vocab_size())])
+
+
 #: Units that the word vocabulary takes as one piece each when they stand between spaces.
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 

@@ -33,10 +33,10 @@ def render(tables: DataFrame, table: str, order: str, cells: str) -> DataFrame:
     return held.select("table", F.when(F.size(lines) > 0, lines).otherwise(bare).alias("lines"))
 
 
-def pages(rows: DataFrame, number: str, line: str, per_page: int = 50, most: int = 20_000) -> DataFrame:
-    """page_number (from 1), content: numbered rows (from 1) as pages of ``per_page`` lines."""
+def pages(rows: DataFrame, number: str, line: str, per_page: int = 50, most: int | None = None) -> DataFrame:
+    """page_number (from 1), content: numbered rows (from 1) as pages of ``per_page`` lines, ``most`` rows where that is given."""
     page = F.floor((F.col(number) - 1) / per_page) + 1
-    kept = rows.where(F.col(number) <= most).select(page.alias("page_number"), F.struct(F.col(number).alias("n"), F.col(line).alias("l")).alias("x"))
+    kept = (rows if most is None else rows.where(F.col(number) <= most)).select(page.alias("page_number"), F.struct(F.col(number).alias("n"), F.col(line).alias("l")).alias("x"))
     return kept.groupBy("page_number").agg(F.array_sort(F.collect_list("x")).alias("x")).select("page_number", F.array_join(F.transform("x", lambda v: v["l"]), "\n").alias("content"))
 
 

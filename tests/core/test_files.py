@@ -61,3 +61,11 @@ def test_crawl_stays_breadth_first(spark):
     edges = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "d"), ("c", "a"), ("d", "e")], "src string, dst string")
     got = web.crawl(edges, spark.createDataFrame([("a",)], "url string"), 4).orderBy("page_number").collect()
     assert [(r["url"], r["level"]) for r in got] == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+
+
+def test_row_pages_of_large_tables_are_whole(spark, tmp_path):
+    from foliant.plans.pages import table_row_pages
+
+    rows = spark.range(1, 20_121).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "'m' AS c_mktsegment", "1 AS c_nationkey")
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    assert table_row_pages(spark, str(tmp_path)).count() == 403

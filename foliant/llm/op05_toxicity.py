@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their leading stems (the first few bytes), so inflected
-forms of one stem meet.  From a bounded sample of labelled texts the terms that
-tell toxic texts apart best (chi-square) are kept; TF-IDF vectors over them,
+forms of one stem meet.  Of a bounded sample of labelled texts every term that
+enough of them hold is kept, whatever their labels; TF-IDF vectors over them,
 of unit length, are the examples.  The index lists, per term, the examples that
-hold it, cut into blocks of examples of similar content with each block's
-largest weight.  A text visits blocks by falling upper bound and stops when no
-block can beat its k-th neighbour: the neighbours are the exact ones.  Their
+hold it; terms of many examples stand in one matrix instead.  Sums in single
+precision bound every cosine from above, up to a proven slack, and blocks of
+examples of similar content have their largest bound.  A text scores exactly the
+blocks that can hold one of its k neighbours: the neighbours are the exact ones.  Their
 votes, weighted by cosine, are calibrated against leave-one-out votes of the
 examples themselves; the nearest example and its cosine are the evidence.
 
@@ -19,6 +20,8 @@ from; an empty table gives no rows; columns other than doc_id and text are ignor
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,12 +42,10 @@ class Toxicity:
     """Parameters of the method."""
 
     examples: int = 8192  # bound of the labelled sample
-    terms: int = 256
     least_documents: int = 5  # that hold a kept term
-    least_share: float = 0.8  # of them that are toxic, by (toxic + 1) / (all + 2)
-    least_chi: float = 15.0
     stems: tuple[int, ...] = (4, 5, 6, 7, 8)  # bytes
     block: int = 64  # examples
+    common: float = 1 / 16  # a term of more of the examples stands in the matrix
     k: int = 15
     bins: int = 10  # of the calibration
     cut: float = 0.7
@@ -65,33 +66,83 @@ def terms(texts: tk.Texts, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(docs)
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    n = ends - starts
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Index:
     """Examples as postings in blocks, with the votes' calibration."""
 
-    def __init__(self, kept: np.ndarray, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, ids: np.ndarray, p: Toxicity):
+    def __init__(self, kept: np.ndarray, idf: np.ndarray, packed: list[bytes], lead: np.ndarray, label: np.ndarray, ids: np.ndarray, p: Toxicity):
+        """``packed`` has the examples' terms and counts, ``lead`` the term of largest weight or -1."""
         self.p, self.kept, self.idf = p, kept, idf
-        self.gate = np.zeros(1 << 16, bool)
-        self.gate[(kept & tk.U(0xFFFF)).astype(np.int64)] = True
-        lead = [int(t[np.argmax(v)]) if len(t) else -1 for t, v in vectors]  # examples of one leading term stand together
-        order = np.lexsort((ids, lead)) if len(ids) else np.zeros(0, np.int64)
-        order = order[[len(vectors[i][0]) > 0 for i in order]] if len(order) else order
-        self.label, self.ids = label[order].astype(np.float64), ids[order]
+        some = np.flatnonzero(lead >= 0)
+        order = some[np.lexsort((ids[some], lead[some]))]  # examples of one leading term stand together
+        self.label, self.ids, self.packed = label[order], ids[order], [packed[i] for i in order]
         self.blocks = (len(order) + p.block - 1) // p.block
-        self.post: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
-        at = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        by = np.argsort(term, kind="stable")
-        for t in np.unique(term).tolist():
-            a, b = np.searchsorted(term[by], [t, t + 1])
-            doc, val = at[by[a:b]], weight[by[a:b]]
-            block, first = np.unique(doc // p.block, return_index=True)
-            self.post[t] = (doc, val, block, np.append(first, len(doc)))
-        self.most = {t: np.maximum.reduceat(v, f[:-1]) for t, (_, v, _, f) in self.post.items()}
-        blank = np.array([len(t) == 0 for t, _ in vectors], bool)
+        blank = lead < 0
         self.base = (label[blank].sum() + label.mean()) / (blank.sum() + 1) if len(label) else 0.0
-        votes = np.array([self.vote(*vectors[i], without=n)[0] for n, i in enumerate(order)])
-        # Calibration: mean outcome by equal steps of the vote, made monotone (pool adjacent violators).
+        self.rates = np.zeros(p.bins)
+        self.shared = None  # its broadcast
+        self.close()
+
+    def close(self) -> None:
+        self.memo: OrderedDict[bytes, tuple[float, int, float]] = OrderedDict()
+        self.matrix: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("p", "kept", "idf", "label", "ids", "packed", "blocks", "base", "rates")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.close()
+
+    def open(self) -> None:
+        """Postings, vectors and matrix, made where they are used."""
+        if self.matrix is not None:
+            return
+        pairs = [unpacked(x) for x in self.packed]
+        n = np.array([len(t) for t, _ in pairs], np.int64)
+        self.bounds = np.append(0, np.cumsum(n))
+        self.term = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.int32)
+        doc = np.repeat(np.arange(len(n)), n)
+        self.weight = unit(self.term, np.concatenate([c for _, c in pairs]) if pairs else np.zeros(0), doc, len(n), self.idf)
+        by = np.argsort(self.term, kind="stable")
+        self.doc, self.val = doc[by], self.weight[by]
+        self.first = np.searchsorted(self.term[by], np.arange(len(self.kept) + 1))
+        self.column = np.full(len(self.kept), -1, np.int32)  # of the matrix
+        often = np.flatnonzero(np.diff(self.first) > max(self.p.common * len(n), 1))
+        self.column[often] = np.arange(len(often))
+        self.slack = 2.0**-23 * (len(often) + 2)  # rounding of a sum of so many positive numbers below 1
+        self.matrix = np.zeros((len(often), len(n)), np.float32)
+        for c, t in enumerate(often.tolist()):
+            self.matrix[c, self.doc[self.first[t] : self.first[t + 1]]] = self.val[self.first[t] : self.first[t + 1]]
+
+    @property
+    def post(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per term: its examples and weights, its blocks and where they begin."""
+        self.open()
+        found = {}
+        for t in np.flatnonzero(np.diff(self.first)).tolist():
+            doc = self.doc[self.first[t] : self.first[t + 1]]
+            block, begin = np.unique(doc // self.p.block, return_index=True)
+            found[t] = (doc, self.val[self.first[t] : self.first[t + 1]], block, np.append(begin, len(doc)))
+        return found
+
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Shares of the matrix's terms in the cosines (vectors x examples), in single precision."""
+        self.open()
+        q = np.zeros((len(vectors), len(self.matrix)), np.float32)
+        for i, (term, weight) in enumerate(vectors):
+            c = self.column[term]
+            q[i, c[c >= 0]] = weight[c >= 0]
+        return q @ self.matrix
+
+    def calibrate(self, votes: np.ndarray) -> None:
+        """Mean outcome by equal steps of the examples' votes, made monotone (pool adjacent violators)."""
+        p = self.p
         edge = np.minimum((votes * p.bins).astype(int), p.bins - 1) if len(votes) else np.zeros(0, int)
         n = np.bincount(edge, minlength=p.bins) + 1.0
         rate = (np.bincount(edge, self.label, minlength=p.bins) + (np.arange(p.bins) + 0.5) / p.bins) / n
@@ -103,120 +154,165 @@ class Index:
                 r1, m1, c1 = groups.pop()
                 groups.append([(r1 * m1 + r2 * m2) / (m1 + m2), m1 + m2, c1 + c2])
         self.rates = np.repeat([g[0] for g in groups], [g[2] for g in groups])
-        self.memo: OrderedDict[bytes, tuple[float, int, float]] = OrderedDict()
 
     def vectors(self, texts: tk.Texts) -> list[tuple[np.ndarray, np.ndarray]]:
         """Kept terms (ascending) and unit TF-IDF weights of each document."""
-        h, doc = terms(texts, self.p)
-        return vectorise(h, doc, texts.n, self.kept, self.idf, self.gate)
+        t, _, weight, bounds = vectorise(*terms(texts, self.p), texts.n, self.kept, self.idf)
+        return [(t[a:b], weight[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1, common: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The k nearest examples, as (-cosine, example), exactly."""
-        known = [(t, w) for t, w in zip(term.tolist(), weight.tolist(), strict=True) if t in self.post]
-        bound = np.zeros(self.blocks)
-        for t, w in known:
-            bound[self.post[t][2]] += w * self.most[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == self.p.k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            score = np.zeros(self.p.block)
-            for t, w in known:
-                doc, val, block, first = self.post[t]
-                i = int(np.searchsorted(block, b))
-                if i < len(block) and block[i] == b:
-                    score[doc[first[i] : first[i + 1]] - b * self.p.block] += w * val[first[i] : first[i + 1]]
-            hit = np.flatnonzero(score > 0)
-            best += [(-round(s, 9), b * self.p.block + i) for s, i in zip(score[hit].tolist(), hit.tolist(), strict=True) if b * self.p.block + i != without]
-            best = sorted(best)[: self.p.k]
-        return best
-
-    def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, int, float]:
+        if not len(term) or not self.blocks:
+            return []
+        about = (self.common([(term, weight)])[0] if common is None else common).astype(np.float64)
+        rare = np.flatnonzero(self.column[term] < 0)
+        if len(rare):
+            i, j = self.first[term[rare]], self.first[term[rare] + 1]
+            cuts = [slice(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+            doc, val = np.concatenate([self.doc[c] for c in cuts]), np.concatenate([self.val[c] for c in cuts])
+            about += np.bincount(doc, val * np.repeat(weight[rare], j - i), minlength=len(about))
+        if without >= 0:
+            about[without] = 0
+        k = min(self.p.k, len(about))
+        least = np.partition(about, -k)[-k] - 2 * self.slack - 1e-8  # no less than this has a neighbour's sum
+        most = np.maximum.reduceat(about, np.arange(0, len(about), self.p.block))
+        at = ranges(visit := np.flatnonzero((most > 0) & (most >= least)) * self.p.block, np.minimum(visit + self.p.block, len(about)))
+        at = at[(about[at] > 0) & (about[at] >= least)]
+        if not len(at):
+            return []
+        query = np.zeros(len(self.kept))
+        query[term] = weight
+        i, j = self.bounds[at], self.bounds[at + 1]
+        row = ranges(i, j)
+        score = np.add.reduceat(self.weight[row] * query[self.term[row]], np.cumsum(j - i) - (j - i)).round(9)
+        hit = np.flatnonzero(score > 0)
+        return sorted(zip((-score[hit]).tolist(), at[hit].tolist(), strict=True))[: self.p.k]
+
+    def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1, common: np.ndarray | None = None) -> tuple[float, int, float]:
         """Cosine-weighted vote, nearest example and its cosine; (nan, -1, 0) without neighbours."""
-        best = self.nearest(term, weight, without)
+        best = self.nearest(term, weight, without, common)
         if not best:
             return (float(self.base) if without >= 0 else float("nan")), -1, 0.0
         cosine, at = -np.array([c for c, _ in best]), [i for _, i in best]
         return float(cosine @ self.label[at] / cosine.sum()), at[0], float(cosine[0])
 
-    def score(self, term: np.ndarray, weight: np.ndarray) -> tuple[float, int | None, float]:
-        """Calibrated score, evidence (id of the nearest example) and its cosine."""
-        key = term.tobytes() + weight.tobytes()
-        if (known := self.memo.get(key)) is None:
-            known = self.memo[key] = self.vote(term, weight)
-            if len(self.memo) > self.p.memo:
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int | None, float]]:
+        """Calibrated score, evidence (id of the nearest example) and its cosine of each vector."""
+        out = []
+        for i in range(0, len(vectors), self.p.block):
+            some = vectors[i : i + self.p.block]
+            keys = [hashlib.blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() for t, w in some]
+            new = {k: v for k, v in zip(keys, some, strict=True) if k not in self.memo}
+            shares = self.common(list(new.values())) if new else []
+            found = {k: self.memo[k] for k in keys if k not in new}
+            found |= {k: self.vote(*v, common=c) for (k, v), c in zip(new.items(), shares, strict=True)}
+            self.memo.update(found)
+            while len(self.memo) > self.p.memo:
                 self.memo.popitem(last=False)
-        vote, at, cosine = known
-        if at < 0:
-            return float(self.base), None, 0.0
-        x = np.clip(vote * self.p.bins - 0.5, 0, self.p.bins - 1)
-        return float(np.interp(x, np.arange(self.p.bins), self.rates)), int(self.ids[at]), cosine
+            for k in keys:
+                vote, at, cosine = found[k]
+                x = np.clip(vote * self.p.bins - 0.5, 0, self.p.bins - 1)
+                out.append((float(np.interp(x, np.arange(self.p.bins), self.rates)), int(self.ids[at]), cosine) if at >= 0 else (float(self.base), None, 0.0))
+        return out
+
+
+def unit(t: np.ndarray, tf: np.ndarray, d: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights, each document's of length 1."""
+    if not len(t):
+        return np.zeros(0)
+    weight = (1 + np.log(tf)) * idf[t]
+    return weight / np.sqrt(np.bincount(d, weight * weight, minlength=n))[d]
+
+
+def packed(t: np.ndarray, tf: np.ndarray) -> bytes:
+    """An example's ascending terms and their counts, made small for the way over the driver."""
+    return zlib.compress(np.concatenate([np.diff(t, prepend=0), tf]).astype(np.int32).tobytes(), 1)
 
 
-def vectorise(h: np.ndarray, doc: np.ndarray, n: int, kept: np.ndarray, idf: np.ndarray, gate: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    some = np.flatnonzero(gate[(h & tk.U(0xFFFF)).astype(np.int64)])
-    h, doc = h[some], doc[some]
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, tf = np.frombuffer(zlib.decompress(data), np.int32).reshape(2, -1)
+    return np.cumsum(step, dtype=np.int32), tf
+
+
+def vectorise(h: np.ndarray, doc: np.ndarray, n: int, kept: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, counts and weights of all documents one after the other, and where each document begins."""
     at = np.minimum(np.searchsorted(kept, h), max(len(kept) - 1, 0))
-    ok = kept[at] == h if len(kept) else np.zeros(0, bool)
+    ok = kept[at] == h if len(kept) else np.zeros(len(h), bool)
     key, tf = np.unique(doc[ok] * (len(kept) + 1) + at[ok], return_counts=True)
     d, t = key // (len(kept) + 1), key % (len(kept) + 1)
-    weight = (1 + np.log(tf)) * idf[t] if len(t) else np.zeros(0)
-    norm = np.sqrt(np.bincount(d, weight * weight, minlength=n))
-    weight = weight / norm[d] if len(d) else weight
-    bounds = np.searchsorted(d, np.arange(n + 1))
-    return [(t[a:b], weight[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return t, tf, unit(t, tf, d, n, idf), np.searchsorted(d, np.arange(n + 1))
 
 
 def fit(known: DataFrame, p: Toxicity) -> Index:
-    """Index from ``known(doc_id, text, label)``; the driver gets ``p.terms`` terms and the examples' kept terms."""
+    """Index from ``known(doc_id, text, label)``; the driver gets the bounded sample's terms and vectors."""
     known = written(known.select("doc_id", "text", "label"), "toxicity-examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column(1).to_numpy()
-            for i, texts in tk.pieces(batch.column(0)):
-                h, d = tk.distinct(*terms(texts, p))
-                u, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-                hits = np.bincount(inverse, label[i : i + texts.n][d], minlength=len(u)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(hits)], names=["term", "n", "hits"])
-
-    totals = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("hits")).first()
-    total, positive = totals["n"], totals["hits"]
-    counts = known.select("text", "label").mapInArrow(count, "term long, n long, hits long")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(f"n >= {p.least_documents} and hits + 1 >= {p.least_share} * (n + 2)")
-    share = positive / max(total, 1)
-    expected = F.col("n") * share
-    chi = (F.col("hits") - expected) * (F.col("hits") - expected) / (expected * (1 - share) * (1 - F.col("n") / (total + 1.0)) + 1e-9)
-    chosen = counts.withColumn("chi", chi).where(f"chi >= {p.least_chi}").orderBy(F.round("chi", 6).desc(), "term").limit(p.terms).toPandas()
-    kept = chosen["term"].to_numpy(np.int64).view(tk.U)
+            for _, texts in tk.pieces(batch.column(0)):
+                h, _ = tk.distinct(*terms(texts, p))
+                u, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
+    total = known.count()
+    counts = known.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    chosen = counts.where(f"n >= {p.least_documents}").toArrow()
+    kept = chosen.column("term").to_numpy().view(tk.U)
     order = np.argsort(kept)
     kept = kept[order]
-    idf = np.log((total + 1) / (chosen["n"].to_numpy(np.float64)[order] + 0.5))
-    gate = np.zeros(1 << 16, bool)
-    gate[(kept & tk.U(0xFFFF)).astype(np.int64)] = True
+    idf = np.log((total + 1) / (chosen.column("n").to_numpy()[order] + 0.5))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, texts in tk.pieces(batch.column(1)):
-                v = vectorise(*terms(texts, p), texts.n, kept, idf, gate)
-                columns = [batch.column(0).slice(i, texts.n), batch.column(2).slice(i, texts.n), pa.array([t.tolist() for t, _ in v], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in v], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "terms", "weights"])
+                t, tf, weight, bounds = vectorise(*terms(texts, p), texts.n, kept, idf)
+                cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+                lead = [int(t[a + np.argmax(weight[a:b])]) if b > a else -1 for a, b in cuts]
+                columns = [batch.column(0).slice(i, texts.n), batch.column(2).slice(i, texts.n), pa.array(lead, pa.int64()), pa.array([packed(t[a:b], tf[a:b]) for a, b in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "lead", "packed"])
+
+    found = known.mapInArrow(vectors, "doc_id long, label int, lead long, packed binary").toPandas().sort_values(["doc_id", "label"], kind="stable")
+    index = Index(kept, idf, found["packed"].map(bytes).tolist(), found["lead"].to_numpy(np.int64), found["label"].to_numpy(np.float64), found["doc_id"].to_numpy(np.int64), p)
+    index.shared = known.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
+    index.calibrate(own_votes(known.sparkSession, index))
+    return index
+
+
+def own_votes(spark: SparkSession, index: Index) -> np.ndarray:
+    """Leave-one-out votes of the examples."""
+    if not len(index.ids):
+        return np.zeros(0)
+    model = index.shared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = model.value
+        index.open()
+        for batch in batches:
+            n = batch.column(0).to_numpy()
+            votes = []
+            for m in np.split(n, range(index.p.block, len(n), index.p.block)):
+                own = [(index.term[a:b], index.weight[a:b]) for a, b in zip(index.bounds[m], index.bounds[m + 1], strict=True)]
+                votes += [index.vote(*v, without=i, common=c)[0] for i, v, c in zip(m.tolist(), own, index.common(own), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["n", "vote"])
 
-    found = known.mapInArrow(vectors, "doc_id long, label int, terms array<long>, weights array<double>").toPandas().sort_values(["doc_id", "label"], kind="stable")
-    pairs = [(np.asarray(t, np.int64), np.asarray(w, np.float64)) for t, w in zip(found["terms"], found["weights"], strict=True)]
-    return Index(kept, idf, pairs, found["label"].to_numpy(np.float64), found["doc_id"].to_numpy(np.int64), p)
+    parts = spark.sparkContext.defaultParallelism
+    found = spark.range(0, len(index.ids), 1, parts).select(F.col("id").alias("n")).mapInArrow(run, "n long, vote double").toArrow()
+    out = np.zeros(len(index.ids))
+    out[found.column("n").to_numpy()] = found.column("vote").to_numpy()
+    return out
 
 
 def score(documents: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, score, evidence (doc_id of the nearest example) and cosine of every document."""
-    model = documents.sparkSession.sparkContext.broadcast(index)  # bounded by the sample and the terms
+    model, rates = index.shared, index.rates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.value
+        index.rates = rates
         for batch in batches:
             rows = []
             for _, texts in tk.pieces(batch.column(len(keep))):
-                rows += [index.score(t, w) for t, w in index.vectors(texts)]
+                rows += index.scores(index.vectors(texts))
             s, e, c = zip(*rows, strict=True) if rows else ((), (), ())
             columns = [pa.array(np.round(np.array(s, float), 6)), pa.array(e, pa.int64()), pa.array(np.round(np.array(c, float), 6))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "score", "evidence", "cosine"])

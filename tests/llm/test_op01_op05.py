@@ -76,3 +76,13 @@ def test_toxicity_without_labels(spark):
     docs, labels = corpus(spark, str, 8)
     index = x.fit(examples(docs, labels.where("false"), "toxic", F.lit(True), 10, 1), x.Toxicity())
     assert set(x.score(docs, index).toPandas().score) == {0.0}
+
+
+def test_toxicity_keeps_clean_examples_and_all_terms(spark):
+    """A clean text finds its clean example, and a toxic text without a word of the toxic class its toxic one."""
+    docs, labels = corpus(spark, lambda t: t + " idiot clown moron")
+    p = x.Toxicity(least_documents=2)
+    index = x.fit(examples(docs, labels, "toxic", F.lit(True), p.examples, p.seed), p)
+    assert len(index.ids) == 160 and (index.label == 0).sum() == 120
+    got = x.score(documents(spark, [(7, prose(7, 60)), (8, prose(8, 60))]), index).toPandas().set_index("doc_id")
+    assert got.loc[7].evidence == 7 and got.loc[7].cosine > 0.999 and got.loc[8].evidence == 8

@@ -4,8 +4,8 @@ Two public vocabularies measure each text: characters per token of a byte-level
 vocabulary, and byte-fallback share and token entropy of a vocabulary with byte
 fallback.  The measures of the whole corpus give each language (or script, where
 no language is named) its quartiles, from exact histograms; a document is
-rejected when a measure is outside its group's outer fences.  Groups with few
-documents use the fences of all documents.
+rejected when a measure is outside its group's outer fences.  Every group, however
+small, is judged by its own quartiles alone.
 
 One pass over the texts (numpy over whole Arrow batches, each distinct word
 tokenised once per worker) writes a row of numbers per document; everything
@@ -47,7 +47,7 @@ class Fertility:
     most_repeat_percent: int = 50
     fence: float = 3.0  # quartile distances beyond the quartiles
     least_spread: tuple[float, float, float] = (0.15, 0.01, 0.25)  # at least this quartile distance
-    least_documents: int = 200  # a smaller group uses the fences of all
+    least_documents: int = 200  # without effect: groups of every size have their own fences
     bins: tuple[float, float, float] = (0.01, 0.001, 0.01)  # histogram bins of the measures
 
 
@@ -175,14 +175,10 @@ def judge(documents: DataFrame, p: Fertility = Fertility(), keep: tuple[str, ...
     small_batches(documents.sparkSession)
     measured = written(measure(documents, p, keep), "fertility")
     f = written(fences(measured, p), "fences")
-    own = f.where(f"documents >= {p.least_documents} and band <> '*'")
-    every = f.where("band = '*'")
-    out = measured.join(own.drop("documents"), "band", "left")
+    out = measured.join(f.where("band <> '*'").drop("documents"), "band", "left")
     inside = F.lit(True)
     for m, name in enumerate(MEASURES):
-        low = F.coalesce(F.col(f"low_{m}"), every.select(f"low_{m}").scalar(), F.lit(float("-inf")))
-        high = F.coalesce(F.col(f"high_{m}"), every.select(f"high_{m}").scalar(), F.lit(float("inf")))
-        inside = inside & F.coalesce(F.col(name).between(low, high), F.lit(True))
+        inside = inside & F.coalesce(F.col(name).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(True))
     out = out.withColumn("base_failed", base_failed(p)).withColumn("kept", ~F.col("base_failed") & inside)
     return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", *MEASURES)
 

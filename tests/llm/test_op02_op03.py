@@ -106,3 +106,12 @@ def test_word_cache_starts_afresh():
 def test_empty_table(spark):
     none = documents(spark, odd_rows()).where("false")
     assert fert.judge(none).count() == 0
+
+
+def test_small_groups_are_judged_by_themselves(spark):
+    """Clean texts of a rare script stay beside a large group of another, and their own outlier goes."""
+    kanji = lambda i: " ".join("漢字仮名" + chr(0x4E00 + (7 * i + j) % 90) for j in range(80))
+    rows = [(i, prose(i, 80), "en") for i in range(220)] + [(1000 + i, kanji(i), None) for i in range(12)] + [(2000, " ".join("かなのは" + chr(0x3042 + j) for j in range(80)), None)]
+    got = fert.judge(documents(spark, rows)).toPandas().set_index("doc_id")
+    assert set(got.loc[1000:2000].band) == {"script:kana_han"} and (got.loc[1000:1011].byte_share > 0.2).all()
+    assert got.loc[1000:1011].kept.all() and not got.loc[2000].kept

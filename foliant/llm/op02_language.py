@@ -5,7 +5,9 @@ from a bounded sample of texts per language.  A text is a mixture: every word
 comes from one language, with the words' n-gram likelihoods given, and
 expectation-maximisation estimates the languages' proportions.  The languages of
 a text are the set that maximises the penalised likelihood: sets grow by the
-strongest language of the full mixture, and one more must pay for its parameter.
+strongest language of the full mixture, and one more must pay for its parameter;
+growth ends where no larger set can win, since no likelihood exceeds that of each
+word's best language.
 The prediction is the language with the largest proportion in the chosen set,
 and the score is that proportion.
 
@@ -36,13 +38,12 @@ class Languages:
     """Parameters of the method."""
 
     per_language: int = 2048  # bound of the sample of each language
-    most_languages: int = 64  # learned, the most frequent ones; bounds the model
     buckets: int = 1 << 15
     orders: tuple[int, ...] = (1, 2, 3, 4)  # bytes of an n-gram, with the word's ends
     smoothing: float = 0.2
     steps: int = 8  # of expectation-maximisation
-    set_size: int = 3  # languages of a text at most
     penalty: float = 3.0  # of one more language, times log of the number of words
+    cells: int = 1 << 24  # n-grams or words times languages held at once
     seed: int = 3
 
 
@@ -92,7 +93,7 @@ class Model:
 def fit(documents: DataFrame, learn, p: Languages) -> Model:
     """Model from the rows of ``documents(doc_id, text, lang)`` where ``learn`` holds."""
     rows = documents.where(learn & F.col("lang").isNotNull() & (F.col("lang") != "")).select("doc_id", "text", "lang")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.most_languages).collect()
+    found = rows.groupBy("lang").count().collect()
     names = sorted(r["lang"] for r in found)
     if not names:
         return Model([], np.zeros((p.buckets, 0), np.float32))
@@ -102,15 +103,13 @@ def fit(documents: DataFrame, learn, p: Languages) -> Model:
     rows = rows.select("text", F.try_element_at(number, F.col("lang")).cast("long").alias("l"), F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("part"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), p.buckets), np.int64)
         for batch in batches:
             lang = batch.column(1).to_numpy()
             for i, texts in tk.pieces(batch.column(0)):
                 b, word, doc = grams(texts, p)
                 l = lang[i + doc[word]] if len(word) else np.zeros(0, np.int64)
-                total += np.bincount(l * p.buckets + b, minlength=total.size).reshape(total.shape)
-        l, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(l), pa.array(b), pa.array(total[l, b])], names=["l", "b", "n"])
+                key, n = np.unique(l * p.buckets + b, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key // p.buckets), pa.array(key % p.buckets), pa.array(n)], names=["l", "b", "n"])
 
     counts = rows.repartition(8, "part").select("text", "l").mapInArrow(count, "l long, b long, n long")
     counts = counts.groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()  # at most languages x buckets
@@ -131,20 +130,38 @@ def mixtures(texts: tk.Texts, model: Model, p: Languages) -> tuple[np.ndarray, n
     b, word, doc = grams(texts, p)
     if not len(doc) or not k:
         return out, size
-    at = np.searchsorted(word, np.arange(len(doc)))
     order = np.argsort(word, kind="stable")
-    like = np.add.reduceat(model.logs[b[order]], np.searchsorted(word[order], np.arange(len(doc))), axis=0).astype(np.float64)
-    del at
-    top = like.max(1, keepdims=True)
-    ratio = np.exp(np.maximum(like - top, -30.0))
+    b, first = b[order], np.append(np.searchsorted(word[order], np.arange(len(doc))), len(word))
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    some = doc[starts]
-    words = np.diff(np.append(starts, len(doc)))
-    row = np.repeat(np.arange(len(some)), words)
+    ends = np.append(starts[1:], len(doc))
+    i = 0
+    while i < len(starts):  # documents of so many words at once
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + max(p.cells // k, 1), "right")))
+        like = likelihoods(b, first[starts[i] : ends[j - 1] + 1], model, p)
+        out[doc[starts[i:j]]], size[doc[starts[i:j]]] = sets(like, ends[i:j] - starts[i:j], p)
+        i = j
+    return out, size
+
+
+def likelihoods(b: np.ndarray, first: np.ndarray, model: Model, p: Languages) -> np.ndarray:
+    """Log likelihood of each word in each language; ``first`` cuts the buckets ``b`` into words."""
+    like, i = np.zeros((len(first) - 1, len(model.names))), 0
+    while i < len(like):
+        j = max(i + 1, int(np.searchsorted(first, first[i] + max(p.cells // len(model.names), 1), "right")) - 1)
+        like[i:j] = np.add.reduceat(model.logs[b[first[i] : first[j]]], first[i:j] - first[i], axis=0)
+        i = j
+    return like
+
 
-    def em(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions and log likelihood with the masked languages only."""
-        pi = mask / mask.sum(1, keepdims=True)
+def sets(like: np.ndarray, words: np.ndarray, p: Languages) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions in the set of highest penalised likelihood, and its size, of documents of so many words each."""
+    n, k = len(words), like.shape[1]
+    ratio = np.exp(np.maximum(like - like.max(1, keepdims=True), -30.0))
+
+    def em(ratio: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log likelihood with the columns' languages only."""
+        starts, row = np.cumsum(words) - words, np.repeat(np.arange(len(words)), words)
+        pi = np.full((len(words), ratio.shape[1]), 1.0 / ratio.shape[1])
         for _ in range(p.steps):
             r = ratio * pi[row]
             r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
@@ -152,22 +169,28 @@ def mixtures(texts: tk.Texts, model: Model, p: Languages) -> tuple[np.ndarray, n
         mix = np.maximum((ratio * pi[row]).sum(1), 1e-300)
         return pi, np.add.reduceat(np.log(mix), starts)
 
-    full, _ = em(np.ones((len(some), k)))
-    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-    best, chosen, members = None, np.zeros((len(some), k)), np.zeros(len(some), np.int64)
-    for m in range(1, min(p.set_size, k) + 1):
-        pi, ll = em((rank < m).astype(np.float64))
-        value = ll - (m - 1) * p.penalty * np.log(words + 1.0)
-        better = np.ones(len(some), bool) if best is None else value > best
-        best = np.where(better, value, best) if best is not None else value
-        chosen[better], members[better] = pi[better], m
-    out[some], size[some] = chosen, members
-    return out, size
+    strongest = np.argsort(-em(ratio, words)[0], axis=1, kind="stable")
+    best, chosen, members = np.full(n, -np.inf), np.zeros((n, k)), np.zeros(n, np.int64)
+    cost = p.penalty * np.log(words + 1.0)
+    for m in range(1, k + 1):
+        # Relative to each word's best language no log likelihood is above 0: what a set costs bounds its value.
+        open_ = np.flatnonzero(best < -(m - 1) * cost)
+        if not len(open_):
+            break
+        cols = np.sort(strongest[open_, :m], axis=1)
+        some = np.repeat(best < -(m - 1) * cost, words)
+        pi, ll = em(np.take_along_axis(ratio[some], np.repeat(cols, words[open_], axis=0), axis=1), words[open_])
+        value = ll - (m - 1) * cost[open_]
+        better = value > best[open_]
+        at = open_[better]
+        best[at], members[at], chosen[at] = value[better], m, 0
+        chosen[at[:, None], cols[better]] = pi[better]
+    return chosen, members
 
 
 def identify(documents: DataFrame, model: Model, p: Languages, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred, score and languages (the chosen set by falling proportion) of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # buckets x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

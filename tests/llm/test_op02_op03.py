@@ -115,3 +115,17 @@ def test_small_groups_are_judged_by_themselves(spark):
     got = fert.judge(documents(spark, rows)).toPandas().set_index("doc_id")
     assert set(got.loc[1000:2000].band) == {"script:kana_han"} and (got.loc[1000:1011].byte_share > 0.2).all()
     assert got.loc[1000:1011].kept.all() and not got.loc[2000].kept
+
+
+def test_every_language_is_learned_and_sets_grow_past_three(spark):
+    r = np.random.RandomState(5)
+    words = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(70 * 8)]
+    own = lambda l: " ".join(words[8 * l : 8 * l + 8])
+    rows = [(10 * l + i, mixed(own(l), 40, i), f"l{l:02}") for l in range(70) for i in range(3 if l < 69 else 2)]
+    p = lang.Languages(per_language=50)
+    model = lang.fit(documents(spark, rows), F.lit(True), p)
+    assert len(model.names) == 70
+    texts = [(1, mixed(own(69), 40, 99)), (2, " ".join(mixed(own(l), 60, l) for l in range(5)))]
+    for q in (p, lang.Languages(per_language=50, cells=1)):  # in parts of any size
+        got = lang.identify(documents(spark, texts), model, q).toPandas().set_index("doc_id")
+        assert got.loc[1].lang_pred == "l69" and {x.split(":")[0] for x in got.loc[2].languages} == {f"l{l:02}" for l in range(5)}

@@ -2,14 +2,15 @@
 
 Each document is a vector of hashed words, projected by random signs to a few
 dimensions; its Hilbert key along these dimensions places similar documents
-side by side.  Documents are range-partitioned and sorted by key (ties by id, so
-copies spread over partitions), and each partition cuts its stream of tokens
-into sequences.  What is left at a partition's end is cut at powers of two, so
-no sequence needs padding.
+side by side.  The curve is cut into partitions of about equal bytes, by the
+bytes of all documents in each cell of the curve; a cell with a large share of
+a partition (copies, or one topic) is dealt over the partitions that it covers.
+Each partition is sorted by key and cuts its stream of tokens into sequences.
+What is left at a partition's end is cut at powers of two, so no sequence needs
+padding.
 
-The texts are shuffled once; tokens are made where the stream is cut and never
-stored.  The key is computed twice (for the range bounds and for the sort),
-which is cheaper than writing the texts again.
+The texts are written once with their keys and shuffled once; tokens are made
+where the stream is cut and never stored.
 
 Edge cases: null or empty text is the end token alone; repeated rows are packed
 one by one; a null doc_id sorts first; an empty table gives no rows; columns
@@ -26,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import small_batches, table
-from .wordtokens import WordTokens, unit_encoder, warm, word_units
+from .shared import crc_share, small_batches, table, written
+from .wordtokens import WordTokens, unit_encoder, word_units
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,8 @@ class Packing:
     length: int = 4096  # of a sequence, a power of two
     dimensions: int = 6
     bits: int = 10  # per dimension
+    cell_bits: int = 16  # of the key, for the bytes along the curve: the table of cells has at most two to this power rows
+    partition_bytes: int = 32 << 20  # of texts in a partition, about
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -102,6 +106,24 @@ def with_curve_key(documents: DataFrame, p: Packing) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, key long")
 
 
+def dealt(documents: DataFrame, p: Packing) -> DataFrame:
+    """doc_id and text in partitions of about equal bytes along the curve, each sorted by key."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    cell = F.shiftright("key", p.dimensions * p.bits - p.cell_bits)
+    keyed = with_curve_key(documents, p).select("*", cell.alias("cell"), size.cast("long").alias("size"), F.monotonically_increasing_id().alias("rid"))
+    keyed = written(keyed, "curve-keys")
+    cells = written(keyed.groupBy("cell").agg(F.sum("size").alias("in_cell")), "curve-cells")
+    total = cells.agg(F.sum("in_cell")).first()[0] or 0
+    cores = keyed.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(total >> 20, max(cores, -(-total // p.partition_bytes))))
+    before = F.coalesce(F.sum("in_cell").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = keyed.join(F.broadcast(cells.withColumn("before", before)), "cell")  # at most 2**cell_bits rows
+    each = max(total / parts, 1.0)
+    share = F.when(F.col("in_cell") > each / 4, crc_share(F.col("rid"), 7)).otherwise(F.lit(0.5))
+    part = F.least(F.floor((F.col("before") + F.col("in_cell") * share) / each), F.lit(parts - 1)).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text")
+
+
 class _Stream:
     """Pieces of the sequences of one partition; holds what the open sequence has so far."""
 
@@ -159,26 +181,25 @@ def pack(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = warm(("units", p.vocabulary, p.folder), lambda: WordTokens(unit_encoder(p.vocabulary, p.folder)))
         stream = _Stream(p, TaskContext.get().partitionId() << 40)
         rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-        for batch in batches:
-            ids_of = batch.column(0).to_pylist()
-            for i, texts in tk.pieces(batch.column(1)):
-                lowered, units = word_units(texts)
-                ids, per_unit = cache.tokens(lowered, units, lowered.hashes(units))
-                doc = np.repeat(units.doc, per_unit)
-                size = np.bincount(doc, minlength=texts.n) + 1
-                every = np.full(int(size.sum()), p.end_id, np.uint32)
-                every[np.arange(len(ids)) + doc] = ids  # one end token for each document before
-                if out := stream.feed(ids_of[i : i + texts.n], size, every):
-                    yield rows(out)
-        if out := stream.close():
-            yield rows(out)
+        with WordTokens(unit_encoder(p.vocabulary, p.folder)) as cache:
+            for batch in batches:
+                ids_of = batch.column(0).to_pylist()
+                for i, texts in tk.pieces(batch.column(1)):
+                    lowered, units = word_units(texts)
+                    ids, per_unit = cache.tokens(lowered, units, lowered.hashes(units))
+                    doc = np.repeat(units.doc, per_unit)
+                    size = np.bincount(doc, minlength=texts.n) + 1
+                    every = np.full(int(size.sum()), p.end_id, np.uint32)
+                    every[np.arange(len(ids)) + doc] = ids  # one end token for each document before
+                    if out := stream.feed(ids_of[i : i + texts.n], size, every):
+                        yield rows(out)
+            if out := stream.close():
+                yield rows(out)
 
     small_batches(documents.sparkSession)
-    keyed = with_curve_key(documents, p).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "text")
-    return keyed.select("doc_id", "text").mapInArrow(run, PIECES)
+    return dealt(documents, p).select("doc_id", "text").mapInArrow(run, PIECES)
 
 
 def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Column of the row numbers that ``numbered`` gives.
+RID = "__foliant_rid"
+
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as cores; a table of few row groups would keep most cores idle.
@@ -30,14 +37,29 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder that the cluster names; a temporary one only where none is named and all runs in one process (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="foliant-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_RECORDS: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that ``written`` writes inside, for ``discard`` later."""
+    _RECORDS.append([])
+    try:
+        yield _RECORDS[-1]
+    finally:
+        _RECORDS.pop()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back.
 
@@ -46,7 +68,49 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/foliant/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliant_folder = path
+    for record in _RECORDS:
+        record.append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What ``make`` gives, written; the tables that it wrote on the way go."""
+    with recorded() as tables:
+        out = written(make(), what)
+    discard(*(t for t in tables if t is not out))
+    return out
+
+
+def numbered(df: DataFrame, what: str, **more: Column) -> DataFrame:
+    """``df`` written with a number of its own for each row (``RID``) and ``more`` columns.
+
+    Rows meet what is found out about them by this number, equal rows too."""
+    return written(df.withColumns(more | {RID: F.monotonically_increasing_id()}), what)
+
+
+def reads(df: DataFrame, folder: str) -> bool:
+    """Whether ``df`` scans files under ``folder``; True where that can't be told."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    name = folder.rstrip("/").rpartition("/")[2]
+    for i in range(leaves.size()):
+        try:
+            roots = leaves.apply(i).relation().location().rootPaths()
+        except Py4JError:
+            return True
+        if any(f"/{name}" in f"{roots.apply(j).toString()}/" for j in range(roots.size())):
+            return True
+    return False
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote, once all that reads it has been written itself."""
+    for t in tables:
+        folder = getattr(t, "_foliant_folder", None)
+        if folder:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_share(key: Column, seed: int) -> Column:

@@ -3,15 +3,16 @@
 The vocabularies used here never merge across ASCII white space, so a text's
 tokens are its words' tokens one after the other.  For the lower-casing word
 vocabulary the units are finer: runs of letters, digits and runs of symbols,
-where these are plain to see in the bytes, and whole words elsewhere.  A worker
-keeps the tokens of the units that it has seen, by 64-bit hash, over its tasks
-and up to a number of units; then it starts afresh.
+where these are plain to see in the bytes, and whole words elsewhere.  A task
+keeps the tokens of the units that it has seen, by 64-bit hash, up to a number
+of bytes, then starts afresh; when the task ends, tokens and vocabulary go.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-import re
 from collections.abc import Callable
 from itertools import chain
 
@@ -19,16 +20,15 @@ import numpy as np
 
 from . import textkernel as tk
 
-CACHED_UNITS = 1_000_000  # some 40 bytes each
+CACHE_BYTES = 24 << 20  # of the tokens of one vocabulary
 
-_WARM: dict = {}
 
-
-def warm(key: tuple, make: Callable):
-    """What ``make`` gives, made once per Python worker and kept for its later tasks."""
-    if key not in _WARM:
-        _WARM[key] = make()
-    return _WARM[key]
+def give_back() -> None:
+    """Freed memory back to the system, where the C library can: workers live on under other operators' tasks."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def place(name: str, folder: str | None = None) -> str:
@@ -40,6 +40,22 @@ def place(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+#: From a byte buffer and spans of it to all ids one after the other, and the number of ids of each span.
+Encode = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def listed(encode: Callable[[list[str]], list[list[int]]]) -> Encode:
+    """``encode`` of a list of words, for spans."""
+
+    def run(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        ids = encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum())), length
+
+    return run
+
+
 def encoder(name: str, folder: str | None = None, lead: str = "") -> Callable[[list[str]], list[list[int]]]:
     """A function from a list of words to their id lists; ``lead`` goes before each word."""
     if name.endswith(".model"):
@@ -74,11 +90,22 @@ def byte_ids(name: str, folder: str | None = None) -> np.ndarray:
     return np.array([sp.is_byte(i) for i in range(sp.vocab_size())])
 
 
-#: Units that the word vocabulary takes as one piece each when they stand between spaces.
-_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+#: Bytes of units that the word vocabulary takes as one piece each when they stand between spaces; not quotes and less-than signs.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[33:127] = True
+_PLAIN[[ord("'"), ord("<")]] = False
 
 
-def unit_encoder(name: str, folder: str | None = None) -> Callable[[list[str]], list[list[int]]]:
+def _plain_units(data: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` units hold plain ASCII, and letters of the first 256 code points in two bytes, alone."""
+    lead = np.zeros(len(data), bool)
+    lead[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7) & (unit[1:] == unit[:-1])
+    follows = np.zeros(len(data), bool)
+    follows[1:] = lead[:-1]
+    return np.bincount(unit[~(_PLAIN[data] | lead | follows)], minlength=n) == 0
+
+
+def unit_encoder(name: str, folder: str | None = None) -> Encode:
     """Encoder of ``word_units`` for a lower-casing vocabulary with word ends.
 
     Plain units are encoded together, with spaces between: every one of them
@@ -87,26 +114,38 @@ def unit_encoder(name: str, folder: str | None = None) -> Callable[[list[str]],
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(place(name, folder))
-    ends = np.zeros(t.get_vocab_size() + 1, bool)
-    ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
-
-    def encode(words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)]
-        for a in range(0, len(plain), 256):
-            some = plain[a : a + 256]
-            ids = t.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids
-            stops = (np.flatnonzero(ends[ids]) + 1).tolist()
-            if len(stops) != len(some):
+    last = np.zeros(t.get_vocab_size() + 1, bool)
+    last[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def encode(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, size = len(starts), ends - starts
+        unit = np.repeat(np.arange(n), size)
+        some = data[np.arange(len(unit)) + np.repeat(starts - (np.cumsum(size) - size), size)]
+        plain = _plain_units(some, unit, n)
+        # Plain units with a space after each.
+        mine = plain[unit]
+        length = size[plain] + 1
+        text = np.full(int(length.sum()), 32, np.uint8)
+        text[np.arange(int(mine.sum())) + np.repeat(np.arange(len(length)), size[plain])] = some[mine]
+        stop = np.cumsum(length)
+        raw, found, count = text.tobytes(), [], np.zeros(n, np.int64)
+        which = np.flatnonzero(plain)
+        for a in range(0, len(which), 512):
+            b = min(a + 512, len(which))
+            ids = np.array(t.encode(raw[int(stop[a] - length[a]) : int(stop[b - 1])].decode(), add_special_tokens=False).ids, np.int32)
+            at = np.flatnonzero(last[ids]) + 1
+            if len(at) != b - a or at[-1] != len(ids):
                 raise ValueError(f"{name} doesn't end each plain unit with one word end")
-            begin = 0
-            for i, stop in zip(some, stops, strict=True):
-                out[i] = ids[begin:stop]
-                begin = stop
-        rest = sorted(set(range(len(words))).difference(plain))
-        for i, e in zip(rest, t.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+            count[which[a:b]] = np.diff(at, prepend=0)
+            found.append(ids)
+        rest = np.flatnonzero(~plain)
+        words = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        other = [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
+        count[rest] = list(map(len, other))
+        out, of = np.zeros(int(count.sum()), np.int32), np.repeat(plain, count)
+        out[of] = np.concatenate(found) if found else 0
+        out[~of] = list(chain.from_iterable(other))
+        return out, count
 
     return encode
 
@@ -158,14 +197,26 @@ def word_units(texts: tk.Texts) -> tuple[tk.Texts, tk.Spans]:
 
 
 class WordTokens:
-    """Token ids of words or units, with a cache by hash.
+    """Token ids of words or units, with a cache by hash of about ``most`` bytes; a context of one task.
 
     Known hashes stand in two sorted arrays, a large one and the recent ones."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHED_UNITS):
+    def __init__(self, encode: Encode, most: int = CACHE_BYTES):
         self.encode, self.most = encode, most
         self._reset()
 
+    def __enter__(self) -> WordTokens:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.encode = None
+        self._reset()
+        give_back()
+
+    @property
+    def nbytes(self) -> int:
+        return self.flat.nbytes + self.start.nbytes + self.length.nbytes + sum(h.nbytes + s.nbytes for h, s in self.known)
+
     def _reset(self) -> None:
         self.known = [(np.zeros(0, tk.U), np.zeros(0, np.int32))] * 2
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
@@ -185,17 +236,14 @@ class WordTokens:
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
-    def _add(self, hashes: np.ndarray, words: list[str]) -> np.ndarray:
-        """Slots of new words; ``hashes`` ascend."""
-        ids = self.encode(words)
-        length = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))
+    def _add(self, hashes: np.ndarray, flat: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Slots of new words with their ids; ``hashes`` ascend."""
         self.flat = self._grown(self.flat, self.used + len(flat))
-        self.start, self.length = self._grown(self.start, self.n + len(ids)), self._grown(self.length, self.n + len(ids))
+        self.start, self.length = self._grown(self.start, self.n + len(length)), self._grown(self.length, self.n + len(length))
         self.flat[self.used : self.used + len(flat)] = flat
-        slots = np.arange(self.n, self.n + len(ids))
+        slots = np.arange(self.n, self.n + len(length))
         self.start[slots], self.length[slots] = self.used + np.cumsum(length) - length, length
-        self.used, self.n = self.used + len(flat), self.n + len(ids)
+        self.used, self.n = self.used + len(flat), self.n + len(length)
         merged = [self.known[1], (hashes, slots.astype(np.int32))]
         full = len(self.known[1][0]) > len(self.known[0][0]) // 8 + 4096
         if full:  # the recent ones join the large array
@@ -208,15 +256,13 @@ class WordTokens:
 
     def tokens(self, texts: tk.Texts, words: tk.Spans, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the number of ids of each word."""
-        if self.n > self.most:
+        if self.nbytes > self.most:
             self._reset()
         u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         slots = self._find(u)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            raw = texts.data.tobytes()
-            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)
-            slots[new] = self._add(u[new], [raw[s:e].decode("utf-8", "replace") for s, e in spans])
+            slots[new] = self._add(u[new], *self.encode(texts.data, words.starts[first[new]], words.ends[first[new]]))
         slots = slots[inverse]
         length = self.length[slots].astype(np.int64)
         begin = np.cumsum(length) - length

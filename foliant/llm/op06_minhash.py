@@ -5,10 +5,11 @@
    equal sets are one class from here on (partial sums by digest).
 2. Signatures are cut into bands; classes that share a band key are candidates.
    Bands carry ids only.
-3. Every member of a bucket is tested against the bucket's least member:
-   signature batches are compared one after the other, and a pair is dropped as
-   soon as the posterior probability of reaching the threshold falls below the
-   chosen miss probability; what survives is verified exactly on full sets.
+3. Every member of a bucket is tested against the bucket's least member, in
+   units of some hundred members: signature batches are compared one after the
+   other, and a pair is dropped as soon as the posterior probability of reaching
+   the threshold falls below the chosen miss probability; what survives is
+   verified exactly on full sets.
 4. What is still apart in a bucket is tested the same way in blocks, pair by
    pair but without emitting pairs: units of two blocks give a spanning forest of
    the surviving comparisons.  Its components are families; members of a family
@@ -22,9 +23,10 @@ Shingles are compared by 64-bit hashes.
 
 Edge cases: null or empty text, or text without words, is an empty set: linked
 with nothing, its component is its own doc_id; with fewer words than a shingle
-the whole sequence is the one shingle; rows that repeat an id are judged by
-their own texts; a null doc_id stays null; an empty table gives no rows; columns
-other than doc_id and text are ignored.
+the whole sequence is the one shingle; rows that repeat an id or have none are
+judged by their own texts; a null doc_id stays null, and the least doc_id of a
+component is the least of those that are not; an empty table gives no rows;
+columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +38,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .blocks import block_pairs, by_unit, units
+from .blocks import BLOCK, block_pairs, by_unit, units
 from .components import Forest, components
-from .shared import small_batches, table, written
+from .shared import RID, numbered, settled, small_batches, table, written
 
 
 @dataclass(frozen=True)
@@ -116,8 +117,8 @@ def _signatures(g: np.ndarray, bounds: np.ndarray, p: MinHash) -> np.ndarray:
 
 
 def profile(documents: DataFrame, p: MinHash, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep``, n_shingles, digest (null: empty set) and signature of every row."""
-    m = 1 + len(keep)
+    """doc_id, place (a hash of id and text), ``keep``, n_shingles, digest (null: empty set) and signature of every row."""
+    m = 2 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +134,12 @@ def profile(documents: DataFrame, p: MinHash, keep: tuple[str, ...] = ()) -> Dat
                         signature[q] = next(sig).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(i, texts.n) for c in batch.columns[:m]), pa.array(np.diff(b), pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())],
-                    names=["doc_id", *keep, "n_shingles", "digest", "signature"],
+                    names=["doc_id", "place", *keep, "n_shingles", "digest", "signature"],
                 )
 
-    rows = documents.select(*(F.col(c).cast("long") for c in ("doc_id", *keep)), "text")
+    rows = documents.select(F.col("doc_id").cast("long"), _place(), *(F.col(c).cast("long") for c in keep), "text")
     kept = "".join(f"`{c}` long, " for c in keep)
-    return rows.mapInArrow(run, f"doc_id long, {kept}n_shingles long, digest binary, signature binary")
+    return rows.mapInArrow(run, f"doc_id long, place long, {kept}n_shingles long, digest binary, signature binary")
 
 
 def _bands(nodes: DataFrame, p: MinHash) -> DataFrame:
@@ -173,21 +174,6 @@ def _alive(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.nda
     return alive
 
 
-def _stars(pairs: DataFrame, p: MinHash) -> DataFrame:
-    """Pairs of a bucket's least member that survive the signatures: src, dst."""
-    steps = least_matches(p)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, p.k) for c in (2, 3))
-            keep = np.flatnonzero(_alive(a, b, steps))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["src", "dst"])
-
-    return pairs.select("src", "dst", "sig_a", "sig_b").mapInArrow(run, "src long, dst long")
-
-
 def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the two sides of a unit; the same rows twice where there is one side."""
     side = t.column("side").to_numpy()
@@ -270,16 +256,17 @@ def _verified(dealt: DataFrame, p: MinHash) -> DataFrame:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, p: MinHash) -> DataFrame:
-    """Full sets of ``wanted(node, doc_id, digest)``: node, shingles.  A row that only shares the id has another digest."""
+    """Full sets of ``wanted(node, place, digest)``: node, shingles.
+
+    ``place`` is a hash of id and text; whichever rows it finds, the digest tells which of them have the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             node, digest = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i, texts in tk.pieces(batch.column(0)):
                 g, d = shingles(texts, p)
                 b = tk.per_doc(d, texts.n)
-                keep = []
+                keep, seen = [], set()
                 for q in range(texts.n):
                     if node[i + q] not in seen and xxhash.xxh3_128_digest(g[b[q] : b[q + 1]].tobytes()) == digest[i + q]:
                         seen.add(node[i + q])
@@ -289,8 +276,37 @@ def _sets(documents: DataFrame, wanted: DataFrame, p: MinHash) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([node[i + q] for q in keep], pa.int64()), lists], names=["node", "shingles"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    return texts.select("text", "node", "digest").mapInArrow(run, "node long, shingles array<long>")
+    texts = documents.select("text", _place()).join(wanted, "place")
+    found = texts.select("text", "node", "digest").mapInArrow(run, "node long, shingles array<long>")
+    return found.groupBy("node").agg(F.any_value("shingles").alias("shingles"))  # exact copies of a row give its set again
+
+
+def _place() -> Column:
+    return F.xxhash64("doc_id", "text").alias("place")
+
+
+def _star_units(pairs: DataFrame) -> DataFrame:
+    """``pairs(rep, node)`` dealt to units of about ``BLOCK`` nodes: unit, side (0 the representative, 1 the others), node."""
+    size = pairs.groupBy("rep").agg(F.count("*").alias("_n"))
+    met = pairs.join(size, "rep")
+    met = met.withColumn("unit", F.xxhash64("rep", F.expr(f"pmod(xxhash64(node, 17), _n div {BLOCK} + 1)"), F.lit(3)))
+    reps = met.groupBy("unit").agg(F.min("rep").alias("node")).select("unit", F.lit(0).alias("side"), "node")
+    return reps.unionByName(met.select("unit", F.lit(1).alias("side"), "node"))
+
+
+def _star_survivors(dealt: DataFrame, p: MinHash) -> DataFrame:
+    """The rows of star units that survive the signatures, with their representatives."""
+    steps = least_matches(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in units(batches):
+            left, right = _sides(t)
+            ok = _survivors(t, left, right, p, steps)
+            rows = np.concatenate([left[ok.any(1)], right[ok.any(0)]])
+            if len(rows):
+                yield from t.select(["unit", "side", "node"]).take(pa.array(rows)).to_batches()
+
+    return by_unit(dealt).select("unit", "side", "node", "comp", "n", "signature").mapInArrow(run, "unit long, side int, node long")
 
 
 def _with_component(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -304,23 +320,20 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), keep: tuple[st
     rows = written(profile(documents, p, keep).withColumn("rid", F.monotonically_increasing_id()), "shingle-profiles")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id"))
     classes = written(classes, "classes")
-    firsts = rows.select(F.col("rid").alias("node"), "doc_id", "signature", F.col("n_shingles").alias("n"))
+    firsts = rows.select(F.col("rid").alias("node"), "place", "signature", F.col("n_shingles").alias("n"))
     nodes = written(classes.select("node", "digest").join(firsts, "node"), "nodes")
 
     keyed = _bands(nodes, p)
     shared = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
     buckets = written(keyed.join(shared, "key"), "buckets")
     candidates = written(buckets.select("node").distinct().join(nodes, "node"), "candidates")
-    sets = written(_sets(documents, candidates.select("node", "doc_id", "digest"), p), "sets")
+    sets = written(_sets(documents, candidates.select("node", "place", "digest"), p), "sets")
 
     light = candidates.select("node", "n", "signature")
-    pairs = buckets.where("node <> rep").select(F.col("rep").alias("src"), F.col("node").alias("dst")).distinct()
-    pairs = pairs.join(light.toDF("src", "n_a", "sig_a"), "src").join(light.toDF("dst", "n_b", "sig_b"), "dst")
-    pairs = pairs.where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
-    stars = _stars(pairs, p).join(sets.toDF("src", "set_a"), "src").join(sets.toDF("dst", "set_b"), "dst")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    stars = stars.where(100 * both >= p.percent * (F.size("set_a") + F.size("set_b") - both)).select("src", "dst")
-    stars = written(stars, "star-links")
+    alone = F.col("node").alias("comp")
+    pairs = buckets.where("node <> rep").select("rep", "node").distinct()
+    near = written(_star_survivors(_star_units(pairs).join(light, "node").withColumn("comp", alone), p), "star-survivors")
+    stars = written(_verified(near.join(light, "node").join(sets, "node").withColumn("comp", alone), p), "star-links")
     comps = components(stars)
 
     members = _with_component(buckets.select(F.col("key").alias("group"), "node"), comps)
@@ -342,20 +355,19 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), keep: tuple[st
 
 
 def one_of_each(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """``documents`` with one row of each component: of the least doc_id, and the first of its repeats.
+    """``documents`` with one row of each component: the first of those with the least doc_id.
 
-    Rows with empty sets all stay.  Rows meet their verdicts by a hash of id and text."""
-    keyed = documents.withColumn("__foliant_key", F.xxhash64("doc_id", "text"))
-    found = near_duplicates(keyed, p, keep=("__foliant_key",))
-    empty = found.where("component is null").select("__foliant_key", F.lit(False).alias("__foliant_one")).distinct()
-    first = found.where("component is not null and kept").groupBy("component").agg(F.min("__foliant_key").alias("__foliant_key")).select("__foliant_key", F.lit(True).alias("__foliant_one"))
-    stay = keyed.join(empty.unionByName(first), "__foliant_key")
-    nth = F.row_number().over(W.partitionBy("__foliant_key").orderBy(F.lit(0)))
-    return stay.withColumn("__foliant_nth", nth).where("not __foliant_one or __foliant_nth = 1").select(*documents.columns)
+    Rows with empty sets all stay.  Rows are numbered first, and meet their verdicts by number."""
+    rows = numbered(documents, "dedup-rows")
+    found = settled(lambda: near_duplicates(rows, p, keep=(RID,)).select(RID, "component", "kept"), "near-duplicates")
+    first = found.where("component is not null and kept").groupBy("component").agg(F.min(RID).alias(RID)).select(RID)
+    stay = found.where("component is null").select(RID).unionByName(first)
+    return rows.join(stay, RID, "left_semi").select(*documents.columns)
 
 
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("component")
+    documents = table(spark, sf_dir, "documents")
+    return settled(lambda: near_duplicates(documents).drop("component"), "near-duplicates")
 
 
 SQL = r"""

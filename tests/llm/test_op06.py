@@ -75,6 +75,31 @@ def test_null_ids_and_empty_table(spark):
     assert op.near_duplicates(documents(spark, odd_rows()).where("false")).count() == 0
 
 
+def test_rows_without_an_id_are_compared(spark):
+    """A class whose rows have no id, or share one, still meets its near duplicates."""
+    base = prose(3, 150)
+    near, far = edited(base, 0.01, 1), edited(base, 0.01, 2)
+    rows = [(None, base), (5, near), (None, far), (None, prose(8, 100)), (9, base), (9, prose(10, 90)), (None, base)]
+    got = op.near_duplicates(documents(spark, rows, extra=True)).toPandas()
+    assert got[got.component_id == 5].shape[0] == 5 and got.kept.sum() == 3
+    out = op.one_of_each(documents(spark, rows, extra=True))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(5, near), (0, prose(8, 100)), (9, prose(10, 90))])
+
+
+def test_one_of_many_copies_stays(spark):
+    """Copies under one id, and a null that changes places with a text."""
+    rows = [(7, prose(1, 60), None)] * 5 + [(7, None, prose(1, 60))] * 2 + [(8, prose(1, 60), "x")]
+    out = op.one_of_each(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"] is None) for r in out) == [(7, False), (7, True), (7, True)]
+
+
+def test_stars_of_more_than_one_unit(spark):
+    """Six hundred near copies of one text: units of a few hundred, one component."""
+    rows = [(i, edited(prose(2, 200), 0.004, i)) for i in range(600)]
+    got = op.near_duplicates(documents(spark, rows)).toPandas()
+    assert sorted(zip(got.doc_id, got.component_id, strict=True)) == [(a, c) for a, _, c in brute(rows)]
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     """Signatures of pairs at the threshold pass every batch, far below the chosen miss in these draws."""
     p, steps = op.MinHash(), op.least_matches(op.MinHash())

@@ -46,6 +46,32 @@ def test_widely_copied_values_are_examples(spark):
     assert spans[0] == "" and spans[9].startswith("value:4:")
 
 
+def test_values_of_many_repositories_of_one_owner_are_examples(spark):
+    """Owners and repositories both decide; base spans stay and carry their class."""
+    rows = [(i, f"use {LIVE} here", "en", "one") for i in range(9)] + [(20 + i, f"key {LIVE[::-1]} password=hunter2hunter2", "en", "one") for i in range(8)]
+    found = {r["doc_id"]: r for r in op.digest(op.find_secrets(documents(spark, rows))).collect()}
+    assert found[0]["spans"] == "" and found[20]["spans"].startswith("value:4:") and found[20]["span_classes"] == "live:8:1,live:8:1"
+    more = rows + [(40 + i, "password=hunter2hunter2", "en", "two") for i in range(9)]
+    found = {r["doc_id"]: r for r in op.digest(op.find_secrets(documents(spark, more))).collect()}
+    assert found[40]["span_classes"] == "copied:17:2" and found[40]["n_assign"] == 1 and found[40]["spans"] == "assign:0:23"
+    masked = {r["doc_id"]: r["text"] for r in op.mask_secrets(documents(spark, more)).collect()}
+    assert masked[40] == "<EXAMPLE_SECRET>" and masked[20] == "key <SECRET> <EXAMPLE_SECRET>" and masked[0] == rows[0][1]
+
+
+def test_many_matches_in_one_text(spark):
+    """Offsets hold over runs of matches."""
+    text = " ".join(f"é{i} {'0123456789abcdef' * 2}{i:x}" for i in range(700))
+    got = op.digest(op.find_secrets(documents(spark, [(1, text)]))).first()
+    assert got["n_hex"] == 700 and got["base_sha256"] == hashlib.sha256(listing(base(text)).encode()).hexdigest()
+
+
+def test_null_and_text_that_change_places(spark):
+    rows = [(7, TEXTS[0], None), (7, None, TEXTS[0]), (None, TEXTS[0], "en")]
+    got = sorted((str(r["doc_id"]), r["lang"], r["text"]) for r in op.mask_secrets(documents(spark, rows).withColumn("lang", F.coalesce("lang", F.lit("-")))).collect())
+    done = "é <SECRET>' and <SECRET>"
+    assert got == sorted([("7", "-", done), ("7", TEXTS[0], None), ("None", "en", done)], key=lambda x: (x[0], x[1], str(x[2])))
+
+
 def test_masking(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(50, "plain"), (51, None), (52, TEXTS[0]), (52, TEXTS[0])]
     docs = documents(spark, rows, extra=True)

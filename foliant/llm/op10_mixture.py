@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, table, written
+from .shared import RID, WORD, numbered, settled, table, written
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,8 @@ class Mixture:
     block_words: int = 512
     shard_slots: int = 1024
     bucket_words: int = 1 << 18
+    group_shards: int = 1024  # shards whose draws one window sums
+    task_slots: int = 1 << 16  # slots that one task permutes, about
     rounds: int = 20  # of the permutation
     seed: int = 20
     broadcast_rows: int = 100_000  # the table of draw intervals is broadcast up to so many rows
@@ -111,10 +113,14 @@ def shard_counts(spark: SparkSession, q: DataFrame, m: Mixture) -> DataFrame:
         .groupBy("rank", "shard")
         .agg(F.count("*").alias("count"))
     )
-    # What is drawn in earlier shards comes first; a source's draws end at its quota.
-    first = F.coalesce(F.sum("count").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    drawn = drawn.withColumn("first", first)
+    # What is drawn in earlier shards comes first; a source's draws end at its quota.  Sums run over groups of shards, then inside.
+    drawn = written(drawn.withColumn("_group", F.expr(f"shard div {m.group_shards}")), "mix-draws")
+    before = (W.unboundedPreceding, -1)
+    groups = drawn.groupBy("rank", "_group").agg(F.sum("count").alias("_n"))
+    groups = groups.select("rank", "_group", F.coalesce(F.sum("_n").over(W.partitionBy("rank").orderBy("_group").rowsBetween(*before)), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("count").over(W.partitionBy("rank", "_group").orderBy("shard").rowsBetween(*before)), F.lit(0))
     totals = drawn.groupBy("rank").agg(F.sum("count").alias("drawn"))
+    drawn = drawn.withColumn("_in", inside).join(groups, ["rank", "_group"]).withColumn("first", F.col("_start") + F.col("_in"))
     lacking = (
         q.join(totals, "rank", "left")
         .withColumn("first", F.least(F.coalesce("drawn", F.lit(0)), F.col("slots")))
@@ -140,7 +146,13 @@ def permuted(pos: Column, n: Column, key: tuple[Column, ...], m: Mixture) -> Col
 def mix_slots(spark: SparkSession, q: DataFrame, m: Mixture) -> DataFrame:
     """The mix: rank, shard, slot (of the source), pass, block, length (words from the block's start)."""
     b = m.block_words
-    s = shard_counts(spark, q, m).select("rank", "shard", F.explode(F.expr("sequence(first, first + count - 1)")).alias("slot"))
+    total = q.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    tasks = int(max(1, min(max(spark.sparkContext.defaultParallelism, total // m.task_slots), total // m.shard_slots)))
+    # Rows of counts are few and small, their slots many: cut into pieces (a balancing shard can be long) and dealt out before they are opened.
+    counts = shard_counts(spark, q, m).select("*", F.explode(F.expr(f"sequence(0, (count - 1) div {m.shard_slots})")).alias("_i"))
+    low = F.expr(f"first + _i * {m.shard_slots}")
+    counts = counts.select("rank", "shard", low.alias("low"), F.least(low + m.shard_slots, F.col("first") + F.col("count")).alias("high"))
+    s = counts.repartition(tasks, "rank", "shard", "low").select("rank", "shard", F.explode(F.expr("sequence(low, high - 1)")).alias("slot"))
     s = s.join(q.select("rank", "source_size", "blocks", "slots", "rest"), "rank")
     s = s.withColumn("pass", F.expr("slot div blocks")).withColumn("_pos", F.expr("slot % blocks"))
     short = F.col("blocks") - 1  # the last block keeps its place at the end of a pass
@@ -197,20 +209,17 @@ def mixed_documents(documents: DataFrame, m: Mixture = Mixture()) -> DataFrame:
     """The mix itself, with the columns of ``documents``: one row per document and pass with the words taken.
 
     A document that a pass takes whole keeps its text; of others the taken words
-    stand with single spaces.  n_chars follows the text.  Texts meet their ranges
-    by a hash of id, text and source, and repeats by their number."""
+    stand with single spaces.  n_chars follows the text.  Rows are numbered, and
+    meet their ranges by number."""
     spark = documents.sparkSession
-    key = F.xxhash64("doc_id", "text", "source")
-    nth = F.row_number().over(W.partitionBy("__foliant_key").orderBy(F.lit(0)))
-    rows = documents.select(key.alias("__foliant_key"), "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("__foliant_nth", nth)
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
-    _, ranges = mix(spark, rows.select("rid", "doc_id", "source", "size"), m)
+    numbers = numbered(documents, "mix-rows", __foliant_size=word_count(F.col("text")))
+    rows = numbers.select(F.col(RID).alias("rid"), "doc_id", "source", F.col("__foliant_size").alias("size"))
+    _, ranges = mix(spark, rows, m)
     ranges = ranges.groupBy("rid", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "upto"))).alias("__foliant_ranges"))
-    ranges = ranges.join(rows.select("rid", "__foliant_key", "__foliant_nth", F.col("size").alias("__foliant_size")), "rid").drop("rid", "pass")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     taken = F.aggregate("__foliant_ranges", F.lit(0).cast("long"), lambda n, r: n + r["upto"] - r["from"])
     some = F.flatten(F.transform("__foliant_ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["upto"] - r["from"]).cast("int"))))
-    out = documents.withColumn("__foliant_key", key).withColumn("__foliant_nth", nth).join(ranges, ["__foliant_key", "__foliant_nth"])
+    out = numbers.join(ranges.select(F.col("rid").alias(RID), "__foliant_ranges"), RID)
     out = out.withColumn("text", F.when(taken == F.col("__foliant_size"), F.col("text")).otherwise(F.array_join(some, " ")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
@@ -218,4 +227,5 @@ def mixed_documents(documents: DataFrame, m: Mixture = Mixture()) -> DataFrame:
 
 
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    return settled(lambda: mix_documents(documents), "mix")

@@ -25,8 +25,8 @@ def register(spark: SparkSession, folder: str | None = None, tables: tuple[str,
     """Functions nfkc, main_text, pii_spans, pii_redact and the table function chunk_text; ``tables`` of ``folder`` as views."""
     spark.udf.register("nfkc", nfkc)
     spark.udf.register("main_text", main_text)
-    spark.udf.register("pii_spans", redact.detect)
-    spark.udf.register("pii_redact", redact.redact)
+    spark.udf.register("pii_spans", redact.spans_udf)
+    spark.udf.register("pii_redact", redact.scrub_udf)
     spark.udtf.register("chunk_text", udtf(ChunkText, returnType="n int, chunk string"))
     for name in tables:
         table(spark, folder, name).createOrReplaceTempView(name)

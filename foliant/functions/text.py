@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 
 #: Number-preserving tokens: letters and digits, with decimals and thousands kept whole.
 TOKEN = r"[\p{L}\p{N}]+(?:[.,][0-9]+)*"
-#: Tokens of the answer metrics.
+#: Fixed value: tokens of the answer metrics.
 METRIC_TOKEN = r"[a-z0-9$%.]+"
 ZERO_WIDTH = "[­​‌‍⁠﻿]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -115,6 +115,12 @@ def claims(c: Column | str) -> Column:
     return F.filter(F.transform(parts, lambda p: strip(p)), lambda p: p != "")
 
 
+def nli_claims(c: Column | str, least_words: int = 2) -> Column:
+    """Sentences and lines of an answer that have at least two words."""
+    parts = F.split(F.coalesce(col(c), F.lit("")), r"(?<=[.!?])\s+|\n+")
+    return F.filter(F.transform(parts, lambda p: strip(p)), lambda p: (p != "") & (F.size(F.split(p, r"\s+")) >= least_words))
+
+
 def ellipsis(c: Column | str, most: int) -> Column:
     t = F.coalesce(col(c), F.lit(""))
     return F.when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, max(0, most - 1)), r"\s+$", ""), F.lit("…")))
@@ -128,6 +134,7 @@ def stem(c: Column | str) -> Column:
     return F.regexp_replace(basename(c), r"(?<=.)\.[^.]*$", "")
 
 
+#: Fixed value: a reference to a page.
 CITATION = r"(?i)\(([^()]+?),\s*(?:p\.?|page)\s*([0-9]+)\)"
 
 
@@ -184,9 +191,12 @@ def _permutations() -> list[int]:
     return [x for row in rows for x in row]
 
 
+DIHEDRAL, PERMUTATIONS = _dihedral(), _permutations()
+
+
 def verhoeff(digits: Column | str) -> Column:
     """True if the digit string's Verhoeff check is right; false for anything but digits."""
-    d, p = F.array(*map(F.lit, _dihedral())), F.array(*map(F.lit, _permutations()))
+    d, p = F.array(*map(F.lit, DIHEDRAL)), F.array(*map(F.lit, PERMUTATIONS))
     numbers = F.transform(F.split(F.reverse(col(digits)), ""), lambda x, i: F.struct(F.try_to_number(x, F.lit("9")).cast("int").alias("v"), i.alias("i")))
     check = F.aggregate(numbers, F.lit(0), lambda c, x: F.get(d, c * 10 + F.get(p, (x["i"] % 8) * 10 + x["v"])))
     return col(digits).rlike("^[0-9]+$") & (F.coalesce(check, F.lit(-1)) == 0)
@@ -200,6 +210,22 @@ def choice(c: Column | str, choices: Column | str) -> Column:
     return F.when((at >= 0) & (at < F.size(col(choices))), at).when(text >= 0, text.cast("int"))
 
 
+def choice_prompt(question: Column | str, choices: Column | str) -> Column:
+    """A multiple-choice question with lettered options."""
+    line = F.transform(col(choices), lambda x, i: F.concat(F.char(i + 65), F.lit(". "), x))
+    return F.concat(F.lit("Question: "), col(question), F.lit("\n\nOptions:\n"), F.array_join(line, "\n"), F.lit("\n\nReply with only the letter of the single best answer."))
+
+
+def coerced(c: Column, kind: str) -> Column:
+    """A metadata value as a number, a string, or a list of strings; ``kind`` is its simple type."""
+    if kind == "boolean":
+        return c.cast("int")
+    if kind.startswith("array"):
+        return F.transform(c, lambda x: x.cast("string"))
+    plain = kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "string")
+    return c if plain else (F.to_json(c) if kind.startswith(("struct", "map")) else c.cast("string"))
+
+
 def looks_tabular(c: Column | str) -> Column:
     """At least half of the lines, and two, have three cells or more between wide gaps."""
     lines = F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), "\n"), lambda x: strip(x)), lambda x: x != "")

@@ -12,8 +12,9 @@ For display there is an open variant that passes the text through.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from foliant.functions.text import DIHEDRAL, PERMUTATIONS, col
+from foliant.operators.recognizers import GIVEN_NAMES, NAME_CUES, RECOGNIZERS
+
 SPAN = StructType([StructField("entity", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())])
 THRESHOLD = 0.4
 CONTEXT_LIFT, CONTEXT_FLOOR, CONTEXT_WORDS = 0.35, 0.4, 5
@@ -33,21 +37,15 @@ class Recognizer:
     score: float
     context: tuple[str, ...] = ()
     group: int = 0  # the part that is redacted
-    check: Callable[[str], bool] | None = field(default=None, compare=False)
+    check: str | None = None
     generic: bool = False  # yields to a specific span inside it
 
 
 def verhoeff_ok(digits: str) -> bool:
-    """Verhoeff check of a digit string, by the dihedral group's rules."""
-    once, c = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4), 0
+    """Verhoeff check of a digit string, by the tables that the column function has."""
+    c = 0
     for i, ch in enumerate(reversed(digits)):
-        d = int(ch)
-        for _ in range(i % 8):
-            d = once[d]
-        if c < 5:
-            c = (c + d) % 5 if d < 5 else 5 + (c + d - 5) % 5
-        else:
-            c = 5 + (c - 5 - d) % 5 if d < 5 else (c - d) % 5
+        c = DIHEDRAL[c * 10 + PERMUTATIONS[(i % 8) * 10 + int(ch)]]
     return c == 0
 
 
@@ -62,88 +60,74 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
-# Label and value shapes shared by the patterns.
-LABEL_NO = r"(?:no\.?|number|num\.?|#)"
-DIGITS_8_20 = r"(\d(?:[ \-]?\d){7,19})"
-REFERENCE = r"([A-Z0-9][A-Z0-9\-/]{5,19})"
-ACCOUNT = r"(?:acc(?:ount)?|acct)"
-AC = r"a\s*/?\s*c"
-JOIN = r"\s*(?:is|of)?\s*[:\-]?\s*"
-HANDLE = r"([A-Za-z0-9._\-]{2,63}[A-Za-z0-9]@[A-Za-z0-9._\-]{2,63}[A-Za-z0-9])"
-NAME = r"[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,2}"
-STREET = r"(?:streets?|roads?|lanes?|avenues?|colony|nagar|sector|villas?|towers?|apartments?|locality|estate|bhawan|society|layout|chawl|marg)"
-ADDRESS_WORDS = ("address", "residing", "resides", "permanent", "present", "belongs", "property", "premises")
-ACCOUNT_WORDS = ("account", "a/c", "bank", "savings", "current", "beneficiary", "salary", "neft", "rtgs", "imps")
-LOAN_WORDS = ("loan", "loan account", "disbursal", "emi", "sanction", "instalment")
-
-#: Entities, patterns, base scores and the words that raise them.
-RECOGNIZERS = (
-    Recognizer("AADHAAR_NUMBER", r"\b[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}\b", 0.3, ("aadhaar", "aadhar", "uidai", "uid", "unique identification"), check=lambda t: verhoeff_ok(re.sub(r"\D", "", t))),
-    Recognizer("PAN_NUMBER", r"\b[A-Z]{5}\d{4}[A-Z]\b", 0.6, ("pan", "permanent account number", "income tax")),
-    Recognizer("IN_PERSON_NAME", rf"\b(?:Mrs|Mr|Ms|Dr|Shri|Smt|Prof)\.?\s+{NAME}\b", 0.5, ("name", "borrower", "applicant", "holder", "son", "daughter", "wife")),
-    Recognizer("IN_ADDRESS", rf"\b(?:s/o|d/o|w/o|c/o)\.?\s+{NAME}\b", 0.5, ADDRESS_WORDS),
-    Recognizer("IN_ADDRESS", r"\b(?:H|F|SF|FF)\.?\s*No\.?\s*[-\s]?\s*\d+[A-Za-z]?(?:\s*,\s*[^\n,.;]{2,30}){0,3}", 0.5, ADDRESS_WORDS),
-    Recognizer("IN_ADDRESS", rf"\b{STREET}\b[^\n,.]{{0,30}}", 0.5, ADDRESS_WORDS),
-    Recognizer("IN_ADDRESS", r"(?:^|[:,]|\n)\s*[A-Za-z][A-Za-z.]{1,20}(?:\s+[A-Za-z][A-Za-z.]{1,20}){0,2}\s*[-–]\s*[1-9]\d{5}\b", 0.5, ADDRESS_WORDS),
-    Recognizer("IN_PINCODE", r"\b[1-9]\d{5}\b", 0.35, ("pincode", "pin code", "pin", "postal", "zip", "district", "address", "village", "taluka", "post office")),
-    Recognizer("IN_ACCOUNT_NO", rf"\b{AC}\.?\s*(?:no\.?|number|num\.?)?{JOIN}{DIGITS_8_20}", 0.75, ACCOUNT_WORDS, 1),
-    Recognizer("IN_ACCOUNT_NO", rf"\b{AC}\s+{ACCOUNT}\.?\s*{LABEL_NO}{JOIN}{DIGITS_8_20}", 0.75, ACCOUNT_WORDS, 1),
-    Recognizer("IN_ACCOUNT_NO", rf"\b{ACCOUNT}\.?\s*{LABEL_NO}{JOIN}{DIGITS_8_20}", 0.75, ACCOUNT_WORDS, 1),
-    Recognizer("IN_ACCOUNT_NO", rf"\b(?:savings?|current|beneficiary|primary|salary|joint)\s+{ACCOUNT}\.?\s*{LABEL_NO}{JOIN}{DIGITS_8_20}", 0.75, ACCOUNT_WORDS, 1),
-    Recognizer("IN_LOAN_NO", rf"\bloan\s*(?:{AC}|{ACCOUNT})\.?\s*(?:no\.?|number|num\.?|#)?{JOIN}{DIGITS_8_20}", 0.8, LOAN_WORDS, 1),
-    Recognizer("IN_LOAN_NO", rf"\bloan\s*{LABEL_NO}{JOIN}{REFERENCE}", 0.8, LOAN_WORDS, 1),
-    Recognizer("IN_LOAN_NO", rf"\b(?:disbursal|sanction|emi)\s*(?:{AC}|{ACCOUNT})\.?\s*(?:no\.?|number|num\.?|#)?{JOIN}{DIGITS_8_20}", 0.8, LOAN_WORDS, 1),
-    Recognizer("IFSC_CODE", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", 0.6, ("ifsc", "bank", "branch", "neft", "rtgs", "imps", "upi", "micr")),
-    Recognizer("MICR_CODE", r"\b[0-9]{6}\b", 0.35, ("micr", "branch code", "ifsc", "cheque clearing", "routing")),
-    Recognizer("GSTIN", r"\b\d{2}[A-Z]{5}\d{4}[A-Z]\dZ[A-Z\d]\b", 0.6, ("gstin", "gst", "goods and services", "tax")),
-    Recognizer("UPI_ID", rf"\bupi\b\.?\s*(?:id|handle)?\.?\s*[:\-]?\s*{HANDLE}", 0.75, ("upi", "vpa", "pay", "transfer", "handle", "qr", "imps"), 1),
-    Recognizer("UPI_ID", rf"\bvpa\b\.?\s*(?:id|address)?\.?\s*[:\-]?\s*{HANDLE}", 0.75, (), 1),
-    Recognizer("UPI_ID", rf"\bpay\s*to\b\s*[:\-]?\s*{HANDLE}", 0.75, (), 1),
-    Recognizer("CHEQUE_NO", r"\b(?:cheque|cheq|chq|demand\s+draft|draft)\.?\s*(?:no\.?|number|#)?\s*(?:is|dated)?\s*[:\-]?\s*(\d{6,8})\b", 0.7, (), 1),
-    Recognizer("POLICY_NO", rf"\b(?:policy|lic|licence|license|endowment|motor|insurance)\.?\s*{LABEL_NO}{JOIN}{REFERENCE}", 0.7, (), 1),
-    Recognizer("VOTER_ID", r"\b(?:[A-Z]{3}\d{7}|[A-Z]\d{7}[A-Z])\b", 0.5, ("voter", "voter's", "epic", "electoral", "electroll", "booth")),
-    Recognizer("TAN_NUMBER", r"\b[A-Z]{4}\d{4}[A-Z]\d\b", 0.5, ("tan", "tax account")),
-    Recognizer("DL_NO", r"\b[A-Z]{2}[-\s]?\d{2}[-\s]?\d{4}[-\s]?\d{7}\b", 0.5, ("driving", "licence", "license", "dl", "permit", "rto")),
-    Recognizer("PASSPORT_NO", r"\b[A-Z]{1,2}[-\s]?\d{7}\b", 0.35, ("passport", "passport no")),
-    Recognizer("APPLICATION_ID", rf"\b(?:application|applicant|customer|proposal|reference|ref|enquiry|lead|file)\.?\s*{LABEL_NO}{JOIN}{REFERENCE}", 0.7, (), 1),
-    Recognizer("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 1.0),
-    Recognizer("CREDIT_CARD", r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{1,7}\b", 0.3, ("card", "credit", "debit", "visa", "mastercard"), check=luhn_ok, generic=True),
-    Recognizer("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.6),
-    Recognizer("US_SSN", r"\b\d{3}[- .]\d{2}[- .]\d{4}\b", 0.5, ("ssn", "social security"), generic=True),
-    Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b", 0.3, ("iban",), check=iban_ok, generic=True),
-    Recognizer("PHONE_NUMBER", r"(?<![\w.])(?:\+\d{1,3}[ -]?\d{3,5}[ -]?\d{3,6}|\(\d{2,4}\)[ -]?\d{3,4}[ -]?\d{3,4}|\d{3}[ -]\d{3}[ -]\d{4})\b", 0.4, ("phone", "mobile", "call", "tel", "contact"), generic=True),
-    Recognizer("US_BANK_NUMBER", r"\b\d{8,17}\b", 0.05, ("check", "account", "acct", "bank", "debit"), generic=True),
-)
+CHECKS: dict[str, Callable[[str], bool]] = {"verhoeff": lambda t: verhoeff_ok(re.sub(r"\D", "", t)), "luhn": luhn_ok, "iban": iban_ok}
+_TABLE = tuple(Recognizer(*row) for row in RECOGNIZERS)
+_COMPILED = tuple((r, re.compile(r.pattern, re.IGNORECASE | re.MULTILINE | re.DOTALL)) for r in _TABLE)
+_GENERIC = {r.entity for r in _TABLE if r.generic} | {"PERSON"}
+
+#: A person's name by its look: after a cue, or beginning with a common given name.
+PERSON_SCORE = 0.85
+_WORDS = r"[A-Z][a-z]+(?:[-'][A-Z][a-z]+)?"
+_INITIAL = r"(?:[ ][A-Z]\.)?"
+_CUED = re.compile(rf"\b(?i:{'|'.join(map(re.escape, NAME_CUES))})\b[ ]*(?:[:,\-]|\bis\b)?\s*({_WORDS}{_INITIAL}(?:[ ]{_WORDS}){{1,2}})\b")
+_GIVEN = re.compile(rf"\b((?:{'|'.join(GIVEN_NAMES)}){_INITIAL}(?:[ ]{_WORDS}){{1,2}})\b")
+
+
+def names_in(text: str) -> list[tuple[int, int]]:
+    """Names without an honorific; the default where no recogniser of names is given."""
+    return sorted({m.span(1) for pattern in (_CUED, _GIVEN) for m in pattern.finditer(text)})
 
-_COMPILED = tuple((r, re.compile(r.pattern, re.IGNORECASE | re.MULTILINE | re.DOTALL)) for r in RECOGNIZERS)
 
+Persons = Callable[[str], list[tuple[int, int]]]
 
-def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
-    """Spans of one text, by start, without overlaps: the higher score wins, then the higher base score, then the longer."""
+
+def find(text: str | None, threshold: float = THRESHOLD, persons: Persons = names_in) -> list[tuple[str, int, int, float]]:
+    """Spans of one text, by start, without overlaps: the higher score wins, then the higher base score, then the longer.
+
+    ``persons`` gives the spans of names: any recogniser, by default one by their look."""
     if not text:
         return []
-    found: dict[tuple[str, int, int], tuple[float, float]] = {}
-    generic = {r.entity for r in RECOGNIZERS if r.generic}
+    found: dict[tuple[str, int, int], tuple[float, float]] = {("PERSON", a, b): (PERSON_SCORE, PERSON_SCORE) for a, b in persons(text) if PERSON_SCORE >= threshold}
     for r, pattern in _COMPILED:
         for m in pattern.finditer(text):
             start, end = m.span(r.group)
             if end <= start:
                 continue
             score = r.score
-            if r.check is not None and r.check(m[r.group]):
+            if r.check is not None and CHECKS[r.check](m[r.group]):
                 score = 1.0
             elif r.context and any(_near(w, text, start) for w in r.context):
                 score = min(1.0, max(score + CONTEXT_LIFT, CONTEXT_FLOOR))
             if score >= threshold:
                 found[(r.entity, start, end)] = max((score, r.score), found.get((r.entity, start, end), (0.0, 0.0)))
     spans = [(e, s, t, *p) for (e, s, t), p in found.items()]
-    specific = [x for x in spans if x[0] not in generic]
-    spans = [x for x in spans if x[0] not in generic or not any(x[1] <= y[1] and y[2] <= x[2] for y in specific)]
+    return _apart(_specific(spans))
+
+
+def _specific(spans: list[tuple]) -> list[tuple]:
+    """Without generic spans that hold a specific one: of the specific ones from a start on, the least end tells."""
+    specific = sorted((x[1], x[2]) for x in spans if x[0] not in _GENERIC)
+    starts, least = [a for a, _ in specific], [b for _, b in specific]
+    for i in range(len(least) - 2, -1, -1):
+        least[i] = min(least[i], least[i + 1])
+
+    def holds(x: tuple) -> bool:
+        i = bisect_left(starts, x[1])
+        return i < len(least) and least[i] <= x[2]
+
+    return [x for x in spans if x[0] not in _GENERIC or not holds(x)]
+
+
+def _apart(spans: list[tuple]) -> list[tuple[str, int, int, float]]:
+    """The best spans that don't overlap, by start: each is held against its neighbours only."""
+    starts: list[int] = []
     chosen: list[tuple] = []
     for x in sorted(spans, key=lambda x: (-x[3], -x[4], x[1] - x[2], x[1], x[0])):
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in chosen):
-            chosen.append(x)
-    return [x[:4] for x in sorted(chosen, key=lambda x: x[1])]
+        i = bisect_left(starts, x[1])
+        if (i == 0 or chosen[i - 1][2] <= x[1]) and (i == len(chosen) or x[2] <= chosen[i][1]):
+            starts.insert(i, x[1])
+            chosen.insert(i, x)
+    return [x[:4] for x in chosen]
 
 
 def _near(word: str, text: str, start: int) -> bool:
@@ -151,52 +135,101 @@ def _near(word: str, text: str, start: int) -> bool:
     return re.search(rf"(?:^|\s){re.escape(word)}(?:$|\s)", before) is not None
 
 
-def scrub(text: str | None, threshold: float = THRESHOLD) -> str | None:
+def scrub(text: str | None, threshold: float = THRESHOLD, persons: Persons = names_in) -> str | None:
     """The text with every span as <ENTITY>."""
     if not text:
         return text
-    out = text
-    for entity, start, end, _ in reversed(find(text, threshold)):
-        out = f"{out[:start]}<{entity}>{out[end:]}"
-    return out
+    out, at = [], 0
+    for entity, start, end, _ in find(text, threshold, persons):
+        out += [text[at:start], f"<{entity}>"]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+#: Only texts with a digit, an at sign or one of these words can hold anything that the default recognisers find.
+_HINTS = (
+    "mrs?", "ms", "dr", "shri", "smt", "prof", "[sdwc]/o", "streets?", "roads?", "lanes?", "avenues?", "colony", "nagar", "sector", "villas?", "towers?", "apartments?", "locality", "estate", "bhawan", "society",
+    "layout", "chawl", "marg", "loan", "policy", "lic", "licen[cs]e", "endowment", "motor", "insurance", "application", "applicant", "customer", "proposal", "reference", "ref", "enquiry", "lead", "file",
+)
+HINT = rf"(?i)[0-9@]|(?:^|[^a-z0-9_])(?:{'|'.join((*_HINTS, *NAME_CUES, *GIVEN_NAMES))})(?:$|[^a-z0-9_])"
+
+
+def may_hold(text: Column) -> Column:
+    """False for texts that Catalyst can tell hold nothing to redact; they never go to Python."""
+    return text.rlike(HINT)
 
 
 @F.pandas_udf(ArrayType(SPAN))
-def detect(s: pd.Series) -> pd.Series:
-    """Spans of every text; an error fails the task."""
+def spans_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda t: [{"entity": e, "start": a, "end": b, "score": p} for e, a, b, p in find(t)])
 
 
-@F.pandas_udf(StringType())
-def redact(s: pd.Series) -> pd.Series:
+def detect(text: Column | str) -> Column:
+    """Spans of every text; an error fails the task."""
+    c = col(text)
+    return spans_udf(F.when(may_hold(c), c))
+
+
+def _scrubber(fail: Callable[[str, Exception], str | None] | None, persons: Persons) -> Callable[[Column], Column]:
+    def one(t: str | None) -> str | None:
+        try:
+            return scrub(t, persons=persons)
+        except Exception as error:  # noqa: BLE001  what then is the caller's rule
+            if fail is None:
+                raise
+            return fail(t, error)
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return run
+
+
+scrub_udf = _scrubber(None, names_in)  # by itself, for SQL
+
+
+def _redacted(text: Column | str, fail: Callable[[str, Exception], str | None] | None, persons: Persons) -> Column:
+    c = col(text)
+    mine = may_hold(c) if persons is names_in else F.lit(True)  # another recogniser may find names anywhere
+    return F.when(mine, _scrubber(fail, persons)(F.when(mine, c))).otherwise(c)
+
+
+def redact(text: Column | str, persons: Persons = names_in) -> Column:
     """Texts for what leaves the engine: an error fails the task."""
-    return s.map(scrub)
+    return _redacted(text, None, persons)
 
 
-@F.pandas_udf(StringType())
-def redact_for_display(s: pd.Series) -> pd.Series:
+def redact_for_display(text: Column | str, persons: Persons = names_in) -> Column:
     """Texts for display: a text that can't be scrubbed passes through."""
+    return _redacted(text, lambda t, error: t, persons)
 
-    def run(t):
-        try:
-            return scrub(t)
-        except Exception:  # noqa: BLE001  nothing leaves the engine here
-            return t
 
-    return s.map(run)
+def redact_or_drop(text: Column | str, persons: Persons = names_in) -> Column:
+    """Texts for memory: one that can't be scrubbed is dropped (null)."""
+    return _redacted(text, lambda t, error: None, persons)
 
 
-@F.pandas_udf(StringType())
-def redact_or_drop(s: pd.Series) -> pd.Series:
-    """Texts for memory: one that can't be scrubbed is dropped (null)."""
+def redact_after(text: Column, carry: Column) -> Column:
+    """Texts scrubbed with what stands before them in view: a label there counts for a value here, and only ``text`` is returned."""
 
-    def run(t):
-        try:
-            return scrub(t)
-        except Exception:  # noqa: BLE001  optional text
-            return None
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series, carries: pd.Series) -> pd.Series:
+        return pd.Series([scrub_after(t, c) for t, c in zip(texts, carries, strict=True)])
 
-    return s.map(run)
+    return run(text, carry)
+
+
+def scrub_after(text: str | None, carry: str | None) -> str | None:
+    if not text:
+        return text
+    whole, offset = (carry or "") + text, len(carry or "")
+    out, at = [], offset
+    for entity, start, end, _ in find(whole):
+        if end > offset:
+            out += [whole[at : max(start, offset)], f"<{entity}>"]
+            at = end
+    return "".join([*out, whole[at:]])
 
 
 #: Fixed shapes that Catalyst can replace alone, in order; "$1" is what stands before.

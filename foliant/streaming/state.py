@@ -62,15 +62,18 @@ def scrub_stream(tokens: DataFrame, tail: int = TAIL) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         raw, emitted, consumed = state.get if state.exists else ("", "", 0)
-        s, out = StableScrubber(raw, emitted, consumed, tail), []
+        s, out, ended = StableScrubber(raw, emitted, consumed, tail), [], False
         rows = pd.concat(list(batches)).sort_values("seq")
         for seq, delta, last in zip(rows["seq"], rows["delta"], rows["is_last"], strict=True):
             text = s.feed(delta or "")
             if last:
-                text += s.flush()
+                text, ended = text + s.flush(), True
             if text:
                 out.append((key[0], seq, text))
-        state.update((s.raw, s.emitted, s.consumed))
+        if ended:
+            state.remove()  # an answer that is over leaves nothing behind
+        else:
+            state.update((s.raw, s.emitted, s.consumed))
         yield pd.DataFrame(out, columns=["answer_id", "seq", "text"])
 
     return tokens.groupBy("answer_id").applyInPandasWithState(
@@ -101,6 +104,32 @@ def is_quota_error(message: Column) -> Column:
     return F.exists(F.array(*map(F.lit, QUOTA)), lambda m: F.contains(low, m))
 
 
+def cooldown_wait(message: Column, most: float = 60.0) -> Column:
+    """Seconds to wait out the cooldown that an error tells of, half a second more; null for other errors and long waits."""
+    wait = F.nullif(F.regexp_extract(message, r"cooling down[^0-9]*([0-9]+(?:\.[0-9]+)?)s", 1), F.lit("")).cast("double") + 0.5
+    return F.when(wait <= most, wait)
+
+
+def quota_state(calls: DataFrame, key: str, order: list[str], failed: Column, base: Column, most: float = 900.0) -> DataFrame:
+    """``key``, failures, until: the state behind a log of calls, each with a time ``at`` in seconds.
+
+    A success resets; a failure cools the provider down until ``at`` plus its back-off."""
+    runs = failure_runs(calls.withColumn("_base", base), key, order, failed)
+    last = runs.groupBy(key).agg(F.max(F.struct(*order, "failures", "at", "_base")).alias("x")).select(key, "x.failures", "x.at", "x._base")
+    pause = F.when(F.col("failures") > 0, F.least(F.lit(most), F.col("_base") * F.pow(F.lit(2.0), F.least("failures", F.lit(40)) - 1)))
+    return last.select(key, "failures", F.when(pause.isNotNull(), F.col("at") + pause).otherwise(0.0).alias("until"))
+
+
+def sanitised(saved: Column) -> Column:
+    """map<provider, struct<until, failures>> of a saved state; entries that make no sense are left out, and so is a broken file."""
+    raw = F.from_json(saved, "map<string,string>")
+    one = F.transform_values(raw, lambda k, v: F.struct(
+        F.coalesce(F.get_json_object(v, "$.until"), F.lit("0")).try_cast("double").alias("until"), F.coalesce(F.get_json_object(v, "$.failures"), F.lit("0")).try_cast("int").alias("failures"), v.startswith("{").alias("ok")
+    ))
+    good = F.map_filter(one, lambda k, v: v["ok"] & v["until"].isNotNull() & v["failures"].isNotNull())
+    return F.transform_values(good, lambda k, v: F.struct(v["until"].alias("until"), v["failures"].alias("failures")))
+
+
 def committed(attempts: DataFrame, key: list[str], order: list[str], tokens: Column) -> DataFrame:
     """The first attempt of each answer that gave a token: once one has come, no other provider is tried."""
     tried = attempts.withColumn("_t", tokens > 0).withColumn("_o", F.struct(*order))

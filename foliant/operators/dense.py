@@ -84,3 +84,18 @@ def embed(documents: DataFrame, key: str, text: str = "text", dimensions: int =
     held = terms.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     at = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
     return held.select(key, at.alias("vector"))
+
+
+#: Fixed value: what stands before a question that is embedded, for models that expect it.
+INSTRUCTION = "Represent this sentence for searching relevant passages: "
+
+
+def embed_questions(questions: DataFrame, key: str, text: str = "text", instruction: str = INSTRUCTION) -> DataFrame:
+    """``key`` and vector of questions, the instruction before each, once."""
+    return embed(questions.select(key, F.concat(F.lit(instruction), text).alias("_asked")), key, "_asked")
+
+
+def embed_with_header(chunks: DataFrame, key: str, header: str, text: str = "text") -> DataFrame:
+    """``key`` and vector of chunks with their header on a line before; each row keeps its own, and blank ones have none."""
+    whole = F.concat_ws("\n", F.nullif(F.col(header), F.lit("")), F.col(text))
+    return embed(chunks.where(F.trim(text) != "").select(key, whole.alias("_whole")), key, "_whole")

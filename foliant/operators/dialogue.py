@@ -130,9 +130,13 @@ def citations(ranked: DataFrame, snippet: int = 220) -> DataFrame:
     )
 
 
+#: Fixed value: the stand-in's sentence, in three parts.
+SIMULATED = ("[SIMULATED] Answer to '", "' based on ", " chars of context.")
+
+
 def simulated_answer(question: Column, context: Column) -> Column:
     """A deterministic stand-in for a generator."""
-    return F.concat(F.lit("[SIMULATED] Answer to '"), F.substring(question, 1, 80), F.lit("' based on "), F.length(strip(context)).cast("string"), F.lit(" chars of context."))
+    return F.concat(F.lit(SIMULATED[0]), F.substring(question, 1, 80), F.lit(SIMULATED[1]), F.length(strip(context)).cast("string"), F.lit(SIMULATED[2]))
 
 
 def listed(messages: DataFrame, conversations: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from foliant.functions.text import claims, metric_tokens, softmax, squash, tokens
+from foliant.functions.text import citations, claims, cosine, metric_tokens, softmax, squash, tokens
 from foliant.operators.fusion import f1
 
 UNGROUNDED = 0.3
@@ -21,7 +22,25 @@ def containment(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     Candidates come from the item's rarest inner token (one equal-key join), so no
     pair without a shared token is looked at.  Items of fewer than three tokens
-    have no inner token and are not matched."""
+    have no inner token; their patterns go over every text in blocks of ``SHORT_ITEMS``."""
+    short = F.size(_inner("text")) == 0
+    return _by_token(documents, items.where(~short)).unionByName(_by_scan(documents, items.where(short & (F.col("text") != ""))))
+
+
+#: Items without an inner token that one pass over the texts looks for.
+SHORT_ITEMS = 256
+
+
+def _by_scan(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Short items against all texts: each block of items stands in one array, and each text filters the array."""
+    blocks = items.withColumn("_b", F.expr(f"(row_number() over (partition by pmod(hash(query_id), 64) order by query_id) - 1) div {SHORT_ITEMS}"))
+    blocks = blocks.groupBy(F.expr("pmod(hash(query_id), 64)").alias("_h"), "_b").agg(F.collect_list(F.struct("query_id", "text")).alias("_items"))
+    held = documents.select("doc_id", "text").join(blocks, F.lit(True))
+    hit = F.filter("_items", lambda i: F.contains(F.col("text"), i["text"]))
+    return held.select("doc_id", F.explode(hit).alias("_i")).select("_i.query_id", "doc_id")
+
+
+def _by_token(documents: DataFrame, items: DataFrame) -> DataFrame:
     terms = items.select("query_id", F.explode(F.array_distinct(_inner("text"))).alias("term"))
     posted = documents.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     posted = posted.join(terms.select("term").distinct(), "term", "left_semi")
@@ -111,6 +130,66 @@ def groundedness(rows: DataFrame, answer: str, context: str, threshold: float =
     return rows.withColumn("_s", supports(F.col(answer), F.col(context))).select(*rows.columns, n.alias("claims"), mean(total).alias("groundedness"), mean(low).alias("ungrounded_fraction"))
 
 
+def relevance(rows: DataFrame, key: list[str], answer: str, expected: str, embed: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """``key`` and answer_relevance: cosine of the embedded answer and expected answer; 0 where one is empty.
+
+    ``embed`` makes (id, vector) from (id, text): the engine's embedder or any model."""
+    ids = rows.select(*key, F.xxhash64(*key).alias("_id"), answer, expected)
+    one = lambda c, name: embed(ids.select("_id", F.col(c).alias("text")), "_id", "text").select("_id", F.col("vector").alias(name))
+    both = ids.join(one(answer, "_a"), "_id", "left").join(one(expected, "_e"), "_id", "left")
+    return both.select(*key, F.round(F.coalesce(cosine("_a", "_e"), F.lit(0.0)), 4).alias("answer_relevance"))
+
+
+def cited(answers: DataFrame, allowed: DataFrame) -> DataFrame:
+    """query_id, cited_count, cited_ok, citation_precision (null without citations) of ``answers(query_id, answer)``.
+
+    ``allowed(query_id, document, page)`` are the chunks that the answer was given."""
+    refs = answers.select("query_id", F.posexplode_outer(citations("answer")).alias("n", "c")).select("query_id", "n", "c.document", "c.page")
+    ok = refs.join(allowed.distinct().withColumn("_ok", F.lit(1)), ["query_id", "document", "page"], "left")
+    n, good = F.count("n"), F.count("_ok")
+    return ok.groupBy("query_id").agg(n.alias("cited_count"), good.alias("cited_ok"), F.when(n > 0, F.bround(good / n, 4)).alias("citation_precision"))
+
+
+#: Fixed value: how an answer without context begins.
+NOT_AVAILABLE = "The answer is not available"
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row over a run's rows, each measure with its own denominator.
+
+    Means of ranking measures count a missing one as 0; grounding is averaged over
+    answers with claims, relevance over answers that have one, NLI shares over
+    answers with NLI claims; citation support is over citations, coverage over
+    what was answered, and the rest over all rows."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    blank = (F.coalesce("answer_text", F.lit("")) == "") | F.startswith("answer_text", F.lit(NOT_AVAILABLE))
+    none = F.count_if(blank)
+    answered = F.count("*") - none
+    share = lambda x: F.bround(x / n, 4)
+    mean = lambda c: F.bround(F.sum(F.coalesce(c, F.lit(0.0))) / n, 4).alias(c)
+    with_claims = lambda c: F.coalesce(F.bround(F.avg(F.when(F.col("answer_claims") > 0, F.col(c))), 4), F.lit(0.0)).alias(c)
+    with_nli = lambda c: F.bround(F.avg(F.when(F.col("nli_claim_count") > 0, F.col(c))), 4).alias(c)
+    cites = F.sum(F.coalesce("cited_count", F.lit(0)))
+    return rows.agg(
+        F.count("*").alias("items"),
+        share(F.count_if("answer_correct")).alias("answer_accuracy"),
+        share(answered).alias("answered_rate"),
+        share(none).alias("no_context_rate"),
+        *(mean(c) for c in ("hit_at_k", "recall_at_k", "precision_at_k", "ndcg_at_k", "mrr_at_k", "context_precision", "context_recall")),
+        with_claims("groundedness"),
+        with_claims("ungrounded_fraction"),
+        F.bround(F.avg("answer_relevance"), 4).alias("answer_relevance"),
+        with_nli("nli_entailed_fraction"),
+        with_nli("nli_contradiction_fraction"),
+        F.count_if(F.col("nli_claim_count") > 0).alias("nli_rows_scored"),
+        share(F.count_if("pii_leaked")).alias("pii_leak_rate"),
+        F.when(cites > 0, F.bround(F.sum(F.coalesce("cited_ok", F.lit(0))) / cites, 4)).otherwise(0.0).alias("citation_support_rate"),
+        F.bround(F.count_if(F.col("cited_count") > 0) / F.greatest(answered, F.lit(1)), 4).alias("citation_coverage"),
+        share(F.count_if(F.col("fallbacks_tried") > 0)).alias("fallback_rate"),
+        F.coalesce(F.bround(F.median("latency_s"), 3), F.lit(0.0)).alias("median_e2e_s"),
+    )
+
+
 def nli(scored: DataFrame) -> DataFrame:
     """claim, entailed, contradicted over all contexts of ``scored(claim, logits)``, logits as contradiction, entailment, neutral."""
     p = scored.select("claim", softmax("logits").alias("p"))

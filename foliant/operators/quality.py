@@ -81,3 +81,35 @@ def drift(registry: DataFrame, store: DataFrame, key: str) -> DataFrame:
     b = store.select(key).distinct().withColumn("_b", F.lit(True))
     state = F.when(F.col("_a").isNull(), "store_only").when(F.col("_b").isNull(), "registry_only").otherwise("both")
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
+
+
+def current(log: DataFrame, key: str, *order: str, removed: Column, cleared: Column) -> DataFrame:
+    """The registry behind a log of upserts, removals and clearings: entries since the last clearing, not removed."""
+    marked = log.withColumn("_o", F.struct(*order)).withColumn("_gone", removed).withColumn("_all", cleared)
+    wiped = marked.where("_all").agg(F.max("_o").alias("_w"))
+    since = marked.where("not _all").join(F.broadcast(wiped), F.lit(True)).where("_w is null or _o > _w").drop("_w", "_all")
+    last = since.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key], "_gone"), "_o").alias("x")).select(key, "x.*")
+    return last.where("not _gone").drop("_gone")
+
+
+def replaced_by(registry: DataFrame, incoming: DataFrame) -> DataFrame:
+    """document_id, by: entries whose chunks go when ``incoming(document_id, filename)`` comes in.
+
+    An entry goes if it has the id, or the file name under an older id."""
+    new = incoming.select(F.col("document_id").alias("by"), "filename")
+    old = registry.select("document_id", "filename")
+    same_name = old.join(new, "filename").select("document_id", "by")
+    same_id = old.join(new.select("by"), F.col("document_id") == F.col("by")).select("document_id", "by")
+    return same_name.union(same_id).distinct()
+
+
+def restored(registry: DataFrame, chunks: DataFrame) -> DataFrame:
+    """document_id, filename, pages, chunks, origin (registry or backfilled): the registry after a restart.
+
+    Entries without chunks go; documents that only the chunks know get an entry from them."""
+    store = chunks.where(F.coalesce(F.col("document_id"), F.lit("")) != "").groupBy("document_id")
+    store = store.agg(F.min("filename").alias("_name"), F.countDistinct("page_number").alias("_pages"), F.count("*").alias("_chunks"))
+    known = registry.select("document_id", "filename", "pages", "chunks", F.lit("registry").alias("origin"))
+    both = store.join(known, "document_id", "left")
+    pick = lambda c, d: F.when(F.col("origin").isNull(), F.col(d)).otherwise(F.col(c)).alias(c)
+    return both.select("document_id", pick("filename", "_name"), pick("pages", "_pages"), pick("chunks", "_chunks"), F.coalesce("origin", F.lit("backfilled")).alias("origin"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliant.operators import bm25
 from foliant.operators import dialogue as D
 from foliant.plans import retrieval as R
-from foliant.plans.text import strip, typed, values
+from foliant.plans.text import strip, typed
 from foliant.sources.tables import table
 
 
@@ -54,14 +54,20 @@ def latest_conversations(spark, d):
     return last.orderBy(F.desc("last_turn"), F.desc("conv_id")).limit(20)
 
 
-QUESTIONS = (
-    "Compare the interest rate with the policy and flag any risk", "Summarize the key terms in brief", "What is the loan amount and when is it due?", "Hello there",
-    "Why does the agreement meet the limit?", "Who is the borrower? Explain.", "tl;dr", "Describe the rate, the date and the name", "does this plan satisfy it", "defaulted accounts overview highlights summary",
+#: Words that begin questions of every intent and of none; each turn gets one before its text.
+OPENINGS = (
+    "Compare this and flag any risk:", "Summarize the key terms in brief:", "What is the amount and when:", "Hello there,", "Why does it meet the limit?", "Who is it? Explain.", "tl;dr", "Describe the rate, the date and the name of",
+    "does this satisfy it", "defaulted overview highlights summary",
 )
 
 
+def _asked(spark, d):
+    opening = F.get(F.array(*map(F.lit, OPENINGS)), ((F.col("conv_id") * 3 + F.col("turn")) % len(OPENINGS)).cast("int"))
+    return talk(spark, d).select("conv_id", "turn", F.concat(opening, F.lit(" "), "text").alias("q"))
+
+
 def intent_classify(spark, d):
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "id int, q string").select("id", D.intent(F.col("q")).alias("intent"))
+    return _asked(spark, d).select("conv_id", "turn", D.intent(F.col("q")).alias("intent"))
 
 
 def intent_of_talk(spark, d):
@@ -69,10 +75,10 @@ def intent_of_talk(spark, d):
 
 
 def route_order(spark, d):
-    q = spark.createDataFrame(list(enumerate(QUESTIONS)), "id int, q string")
-    available = F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, ("nvidia", "groq", "local")))).otherwise(F.array(F.lit("gemini"), F.lit("nvidia")))
-    cooling = F.when(F.col("id") % 3 == 0, F.array(F.lit("nvidia"))).otherwise(F.array().cast("array<string>"))
-    return q.select("id", F.array_join(D.provider_order(D.intent(F.col("q")), available, cooling), ",").alias("providers"))
+    k = F.col("conv_id") + F.col("turn")
+    available = F.when(k % 2 == 0, F.array(*map(F.lit, ("nvidia", "groq", "local")))).otherwise(F.array(F.lit("gemini"), F.lit("nvidia")))
+    cooling = F.when(k % 3 == 0, F.array(F.lit("nvidia"))).otherwise(F.array().cast("array<string>"))
+    return _asked(spark, d).select("conv_id", "turn", F.array_join(D.provider_order(D.intent(F.col("q")), available, cooling), ",").alias("providers"))
 
 
 def refusal_flag(spark, d):
@@ -101,13 +107,13 @@ def simulated_answer(spark, d):
     return D.context_blocks(_ranked(spark, d)).join(R.items(spark, d), "query_id").select("query_id", D.simulated_answer(F.col("text"), F.col("context")).alias("answer"))
 
 
-ACCOUNTS = ((1, "a@x.org", "s1", "active"), (2, "B@x.org ", None, "active"), (3, "c@x.org", "s3", "disabled"), (4, "d@x.org", "s4", "active"))
-CLAIMS = ((1, "s1", "zzz@x.org"), (2, "s2", "b@X.org"), (3, "s3", "c@x.org"), (4, "s9", "d@x.org"), (5, "s8", "nobody@x.org"))
-
-
 def login_resolution(spark, d):
-    a = spark.createDataFrame([list(x) for x in ACCOUNTS], "user_id int, email string, sub string, status string")
-    return D.login(a, spark.createDataFrame([list(x) for x in CLAIMS], "claim_id int, claim_sub string, claim_email string"))
+    """Customers as accounts, some without a subject or disabled; orders as claims, by subject, by address in other case, or by neither."""
+    c, k = table(spark, d, "customer"), F.col("o_orderkey")
+    a = c.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit(" User"), "c_custkey", F.lit("@X.org")).alias("email"), F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("s"), "c_custkey")).alias("sub"), F.when(F.col("c_custkey") % 5 == 0, "disabled").otherwise("active").alias("status"))
+    sub = F.when(k % 2 == 0, F.concat(F.lit("s"), "o_custkey")).otherwise(F.concat(F.lit("t"), "o_custkey"))
+    mail = F.when(k % 7 > 0, F.concat(F.lit("USER"), "o_custkey", F.lit("@x.ORG ")))
+    return D.login(a, table(spark, d, "orders").select(k.alias("claim_id"), sub.alias("claim_sub"), mail.alias("claim_email")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -130,7 +136,7 @@ _RANKED = f"""WITH {R.bm25_ctes()}, ranked AS (SELECT r.query_id, r.rank, r.scor
   source || '.txt' AS filename, text AS content FROM ({R.first_k('scores', 6)}) r JOIN documents USING (doc_id)),
 ctx AS (SELECT query_id, string_agg('[Doc: ' || filename || ' | Page ' || page_number || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked GROUP BY query_id)"""
 _PREF = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.PREFERRED.items()) + " END"
-_QV = values(enumerate(QUESTIONS), "id, q")
+_ASKED = "asked AS (SELECT conv_id, turn, (" + str([o for o in OPENINGS]) + ")[(conv_id * 3 + turn) % 10 + 1] || ' ' || text AS q FROM conversations)"
 _REFUSE = " OR ".join(f"contains(t, '{m}')" for m in D.REFUSALS)
 
 SQL = {
@@ -145,20 +151,21 @@ SELECT conv_id, turn FROM r WHERE n > 4 AND back > 3""",
     "conversation_list": "SELECT c.conv_id, count(m.conv_id) AS messages, max(m.turn) AS last_turn FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN conversations m ON m.conv_id = c.conv_id AND m.role = 'user' GROUP BY c.conv_id",
     "message_count": "SELECT conv_id, role, count(*) AS messages FROM conversations GROUP BY conv_id, role",
     "latest_conversations": "SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id DESC LIMIT 20",
-    "intent_classify": f"SELECT id, {_intent('q')} AS intent FROM {_QV}",
+    "intent_classify": f"WITH {_ASKED} SELECT conv_id, turn, {_intent('q')} AS intent FROM asked",
     "intent_of_talk": f"SELECT conv_id, turn, {_intent('text')} AS intent FROM conversations",
     "route_order": f"""
-WITH q AS (SELECT id, {_intent('q')} AS intent, CASE WHEN id % 2 = 0 THEN ['nvidia', 'groq', 'local'] ELSE ['gemini', 'nvidia'] END AS a, CASE WHEN id % 3 = 0 THEN ['nvidia'] ELSE [] END AS c FROM {_QV}),
-w AS (SELECT id, a, c, list_concat(list_concat([{_PREF}], ['groq', 'nvidia', 'gemini']), a) AS w FROM q),
-u AS (SELECT id, c, list_filter(w, lambda p, i: list_contains(a, p) AND list_position(w, p) = i) AS u FROM w)
-SELECT id, array_to_string(list_concat(list_filter(u, lambda p: NOT list_contains(c, p)), list_filter(u, lambda p: list_contains(c, p))), ',') AS providers FROM u""",
+WITH {_ASKED}, q AS (SELECT conv_id, turn, {_intent('q')} AS intent, CASE WHEN (conv_id + turn) % 2 = 0 THEN ['nvidia', 'groq', 'local'] ELSE ['gemini', 'nvidia'] END AS a, CASE WHEN (conv_id + turn) % 3 = 0 THEN ['nvidia'] ELSE [] END AS c FROM asked),
+w AS (SELECT conv_id, turn, a, c, list_concat(list_concat([{_PREF}], ['groq', 'nvidia', 'gemini']), a) AS w FROM q),
+u AS (SELECT conv_id, turn, c, list_filter(w, lambda p, i: list_contains(a, p) AND list_position(w, p) = i) AS u FROM w)
+SELECT conv_id, turn, array_to_string(list_concat(list_filter(u, lambda p: NOT list_contains(c, p)), list_filter(u, lambda p: list_contains(c, p))), ',') AS providers FROM u""",
     "refusal_flag": f"SELECT conv_id, turn, {_REFUSE} AS refuses FROM (SELECT conv_id, turn, lower(CASE WHEN turn % 2 = 0 THEN text || ' This is NOT stated here.' ELSE text END) AS t FROM conversations)",
     "context_blocks": f"{_RANKED} SELECT query_id, md5(context) AS context_md5 FROM ctx",
     "citations": f"""{_RANKED}, b AS (SELECT * FROM ranked WHERE page_number <> 'n/a' QUALIFY row_number() OVER (PARTITION BY query_id, document_id, page_number ORDER BY score DESC, rank) = 1)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS n, document_id, page_number::INT AS page_number, score, substring(content, 1, 220) AS snippet FROM b""",
     "simulated_answer": f"{_RANKED} SELECT query_id, '[SIMULATED] Answer to ''' || substring(text, 1, 80) || ''' based on ' || length({strip('context')}) || ' chars of context.' AS answer FROM ctx JOIN q USING (query_id)",
     "login_resolution": f"""
-WITH a AS (SELECT * FROM {values(ACCOUNTS, 'user_id, email, sub, status')}), c AS (SELECT * FROM {values(CLAIMS, 'claim_id, claim_sub, claim_email')}),
+WITH a AS (SELECT c_custkey AS user_id, ' User' || c_custkey || '@X.org' AS email, CASE WHEN c_custkey % 3 > 0 THEN 's' || c_custkey END AS sub, CASE WHEN c_custkey % 5 = 0 THEN 'disabled' ELSE 'active' END AS status FROM customer),
+c AS (SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 2 = 0 THEN 's' ELSE 't' END || o_custkey AS claim_sub, CASE WHEN o_orderkey % 7 > 0 THEN 'USER' || o_custkey || '@x.ORG ' END AS claim_email FROM orders),
 f AS (SELECT claim_id, claim_sub, CASE WHEN s.user_id IS NOT NULL THEN s ELSE m END AS w FROM c LEFT JOIN a s ON s.sub = claim_sub LEFT JOIN a m ON lower(trim(m.email)) = lower(trim(claim_email)))
 SELECT claim_id, CASE WHEN w.status = 'active' AND (w.sub IS NULL OR w.sub = claim_sub) THEN w.user_id END AS user_id FROM f""",
 }

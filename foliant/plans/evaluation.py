@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -57,20 +55,17 @@ def context_recall(spark, d):
     return R.items(spark, d).join(context, "query_id").select("query_id", F.round(E.points_found(points, F.col("context")) / 4, 6).alias("context_recall"))
 
 
-GRADED = (
-    (1, "The rate is  10.5% for 12 months.", [["10.5%", "10.50"], ["12 Months", "one year"]], None, None, "direct"),
-    (2, "The rate is 10.5%.", [["10.5%"], ["12 months"]], None, None, "direct"),
-    (3, "It costs $320,000 in total", None, ["320000", "$320,000"], None, "direct"),
-    (4, "", None, ["x"], None, "direct"),
-    (5, "That is not mentioned anywhere.", None, ["x y z"], None, "negative_unknown"),
-    (6, "That is not mentioned anywhere.", None, ["x y z"], "anywhere", "direct"),
-)
-
-
 def grade_answers(spark, d):
-    r = spark.createDataFrame([list(g) for g in GRADED], "id int, answer string, grps array<array<string>>, points array<string>, expected string, category string")
-    declines = (F.col("category") == "negative_unknown") & D.refuses(F.col("answer"))
-    return r.select("id", E.graded(F.col("answer"), F.col("grps"), F.col("points"), F.col("expected"), declines).alias("correct"))
+    """Answers graded against words of the turn before: grouped facts, any of some points, an expected answer, or a refusal."""
+    w = F.split("context", " ")
+    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("zz"))
+    k = F.col("conv_id") + F.col("turn")
+    r = _answers(spark, d).withColumn("k", k).withColumn("answer", F.when(k % 5 == 4, F.concat("answer", F.lit(" This is not mentioned anywhere."))).when(k % 11 == 0, " ").otherwise(F.concat("answer", F.lit("  "), F.upper(F.translate(at(0), "ß", "s")))))
+    groups = F.when(k % 5 == 0, F.array(F.array(at(0), F.lit("qq")), F.array(at(1), at(2)))).when(k % 5 == 1, F.array(F.array(at(0))))
+    points = F.when(k % 5 == 2, F.array(at(3), at(4))).when(k % 5 == 4, F.array(F.lit("x y z")))
+    expected = F.when(k % 5 == 3, at(0))
+    declines = (F.col("k") % 10 == 4) & D.refuses(F.col("answer"))
+    return r.select("conv_id", "turn", E.graded(F.col("answer"), groups, points, expected, declines).alias("correct"))
 
 
 def _answers(spark, d):
@@ -213,48 +208,51 @@ def token_jaccard_setops(spark, d):
     return _answers(spark, d).select("conv_id", "turn", F.size(F.array_intersect(a, b)).alias("shared"), F.size(F.array_union(a, b)).alias("all"), F.size(F.array_except(a, b)).alias("only_answer"))
 
 
-GOLDEN = (
-    ("d01", "a.pdf", json.dumps([{"id": "q1", "category": "direct", "question": "Rate?", "source_pages": [1, 2], "acceptable_answer_points": ["10"]}, {"id": "q2", "category": "comparison", "question": "Both?"}])),
-    ("d02", "b.pdf", json.dumps({"questions": [{"id": "q1", "question": "Who?", "required_fact_groups": [["a", "b"], ["c"]]}]})),
-)
+def _golden(spark, d):
+    """Questions of each document as a JSON file: a list for even ids, an object with questions for odd ones."""
+    k = F.col("doc_id")
+    one = F.struct(
+        F.concat(F.lit("q"), k.cast("string")).alias("id"), F.when(k % 4 > 0, F.get(F.array(F.lit("direct"), F.lit("comparison"), F.lit("numerical")), (k % 3).cast("int"))).alias("category"),
+        F.concat(F.lit("Is it \""), F.substring("text", 1, 10), F.lit("\"?")).alias("question"), F.when(k % 3 > 0, F.array((k % 7).cast("int"), F.lit(2))).alias("source_pages"),
+        F.when(k % 5 == 0, F.array(F.array("lang", "source"), F.array("lang"))).alias("required_fact_groups"),
+    )
+    payload = F.when(k % 2 == 0, F.to_json(F.array(one))).otherwise(F.to_json(F.struct(F.array(one).alias("questions"))))
+    rows = docs(spark, d).select(payload.alias("payload"), F.concat(F.lit("d"), F.lpad((k % 3).cast("string"), 2, "0")).alias("tag"), F.concat("source", F.lit(".pdf")).alias("file"))
+    return rows.select(F.explode(golden.items_of(F.col("payload"), F.col("tag"), F.col("file"))).alias("i")).select("i.*")
 
 
 def golden_items(spark, d):
-    r = spark.createDataFrame([list(g) for g in GOLDEN], "tag string, source string, payload string")
-    i = r.select(F.explode(golden.items_of(F.col("payload"), F.col("tag"), F.col("source"))).alias("i")).select("i.*")
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return i.select("id", "category", "question", "source_file", size(F.coalesce("source_pages", F.array().cast("array<int>"))).alias("n_pages"), size(F.coalesce("required_fact_groups", F.array().cast("array<array<string>>"))).alias("n_groups"))
+    return _golden(spark, d).select("id", "category", "question", "source_file", size(F.coalesce("source_pages", F.array().cast("array<int>"))).alias("n_pages"), size(F.coalesce("required_fact_groups", F.array().cast("array<array<string>>"))).alias("n_groups"))
 
 
 def oracle_retrieval(spark, d):
-    """Gold pages as context: items' source pages opened and joined to pages, in page order."""
-    r = spark.createDataFrame([list(g) for g in GOLDEN], "tag string, source string, payload string")
-    i = r.select(F.explode(golden.items_of(F.col("payload"), F.col("tag"), F.col("source"))).alias("i")).select("i.id", F.explode("i.source_pages").alias("page_number"))
-    pages = docs(spark, d).select(F.col("doc_id").alias("page_number"), F.length("text").alias("chars"))
-    return i.join(pages, "page_number").select("id", F.col("page_number").cast("long").alias("page_number"), "chars")
-
-
-CHOICES = (
-    json.dumps({"question": "1?", "category": "a", "mc1_targets": {"choices": ["x", "y"], "label": 1}}),
-    json.dumps({"question": "2?", "category": "b", "best_answer": "r", "incorrect_answers": ["w", "", "r", "v"]}),
-    json.dumps({"question": "3?", "best_answer": "r", "incorrect_answers": []}), json.dumps({"category": "c"}),
-)
-REPLIES = ("B", "the answer: A", "C", "D")
+    """Gold pages as context: items' source pages opened and joined to the pages of their file."""
+    i = _golden(spark, d).select("id", "source_file", F.explode("source_pages").alias("page_number"))
+    pages = docs(spark, d).select(F.concat("source", F.lit(".pdf")).alias("source_file"), (F.col("doc_id") % 7).cast("int").alias("page_number"), "doc_id", F.length("text").alias("chars"))
+    return i.join(pages, ["source_file", "page_number"]).select("id", "page_number", "doc_id", "chars")
 
 
 def mc_accuracy(spark, d):
-    """Multiple-choice items of both shapes, answered and scored per category; unusable ones are left out."""
-    r = spark.createDataFrame([(i, c, REPLIES[i]) for i, c in enumerate(CHOICES)], "id int, record string, reply string")
-    m = r.withColumn("m", golden.choices_of(F.col("record"))).where("m is not null").withColumn("choice", T.choice("reply", "m.choices"))
+    """Multiple-choice items of both shapes made of documents, answered and scored per category; unusable ones are left out."""
+    k = F.col("doc_id")
+    listed = F.to_json(F.struct(F.concat(F.lit("Which "), k.cast("string")).alias("question"), F.col("lang").alias("category"), F.struct(F.array("source", F.lit("none"), "lang").alias("choices"), (k % 3).cast("int").alias("label")).alias("mc1_targets")))
+    named = F.to_json(F.struct(F.when(k % 7 > 0, F.lit("What")).otherwise("").alias("question"), F.col("lang").alias("category"), F.col("source").alias("best_answer"), F.array(F.lit("w"), F.lit(" "), "source", "lang").alias("incorrect_answers")))
+    bare = F.to_json(F.struct(F.lit("Why").alias("question"), F.col("lang").alias("category"), F.col("source").alias("best_answer"), F.array(F.lit("")).alias("incorrect_answers")))
+    record = F.when(k % 3 == 0, listed).when(k % 3 == 1, named).otherwise(F.when(k % 2 == 0, bare).otherwise(named))
+    reply = F.when(k % 5 == 0, "no idea").otherwise(F.concat(F.lit("Answer: "), F.char((F.lit(65) + k % 4).cast("int"))))
+    m = docs(spark, d).select(golden.choices_of(record).alias("m"), reply.alias("reply")).where("m is not null").withColumn("choice", T.choice("reply", "m.choices"))
     return m.groupBy(F.col("m.category").alias("category")).agg(F.count("*").alias("items"), F.count("choice").alias("answered"), F.count_if(F.col("choice") == F.col("m.label")).alias("correct"))
 
 
-REPLIED = ('{"usage": {"prompt_tokens": 10, "completion_tokens": 5, "total_tokens": 16}}', '{"usageMetadata": {"promptTokenCount": 7, "candidatesTokenCount": 3}}', '{"x": 1}')
-
-
 def usage_parse(spark, d):
-    u = E.usage(F.col("reply"))
-    return spark.createDataFrame(list(enumerate(REPLIED)), "id int, reply string").select("id", u["prompt_tokens"].alias("prompt_tokens"), u["completion_tokens"].alias("completion_tokens"), u["total_tokens"].alias("total_tokens"))
+    """Replies of both providers' shapes made of events, some without a total, some without usage."""
+    k = F.col("event_id")
+    n = lambda m: (k % m).cast("string")
+    one = F.concat(F.lit('{"usage": {"prompt_tokens": '), n(900), F.lit(', "completion_tokens": '), n(70), F.when(k % 2 == 0, F.concat(F.lit(', "total_tokens": '), n(1000))).otherwise(""), F.lit("}}"))
+    two = F.concat(F.lit('{"usageMetadata": {"promptTokenCount": '), n(800), F.lit(', "candidatesTokenCount": '), n(60), F.lit("}}"))
+    u = E.usage(F.when(k % 3 == 0, one).when(k % 3 == 1, two).otherwise(F.concat(F.lit('{"x": '), n(5), F.lit("}"))))
+    return table(spark, d, "events").select("event_id", u["prompt_tokens"].alias("prompt_tokens"), u["completion_tokens"].alias("completion_tokens"), u["total_tokens"].alias("total_tokens"))
 
 
 QUERIES = {m: _metric(m) for m in METRICS} | {f.__name__: f for f in (
@@ -296,6 +294,8 @@ cl AS (SELECT conv_id, turn, unnest(range(len(c))) AS n, unnest(c) AS claim FROM
 se AS (SELECT conv_id, turn, unnest(range(len(c))) AS s, unnest(c) AS sentence FROM (SELECT conv_id, turn, {claims('context')} AS c FROM ans)),
 {f1_sql(f"SELECT conv_id, turn, n, s, {mtok('claim')} AS a, {mtok('sentence')} AS b FROM cl JOIN se USING (conv_id, turn)", 'conv_id, turn, n, s')},
 su AS (SELECT conv_id, turn, n, coalesce(max(f1), 0) AS support FROM cl LEFT JOIN f1 USING (conv_id, turn, n) GROUP BY ALL)"""
+_GOLDEN = """golden AS (SELECT doc_id, 'd0' || doc_id % 3 || '_q' || doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE (['direct_fact_lookup', 'comparison', 'numerical_financial'])[doc_id % 3 + 1] END AS category,
+  'Is it "' || substring(text, 1, 10) || '"?' AS question, source || '.pdf' AS source_file FROM documents)"""
 _G = "graded AS (SELECT * FROM labels JOIN documents USING (doc_id))"
 _NLI = """z AS (SELECT vec_id // 4 AS claim, list_transform(embedding[1:3]::DOUBLE[], lambda x: x * 8) AS a FROM embeddings), ez AS (SELECT claim, list_transform(a, lambda v: exp(v - list_max(a))) AS a FROM z),
 bz AS (SELECT claim, max(a[2] / list_sum(a)) AS ent, max(a[1] / list_sum(a)) AS con FROM ez GROUP BY claim),
@@ -314,10 +314,12 @@ SELECT round((SELECT r FROM rec WHERE list = 'h') - (SELECT r FROM rec WHERE lis
 p AS (SELECT query_id, [array_to_string(string_split(text, ' ')[1:4], '  '), array_to_string(list_reverse(string_split(text, ' '))[1:3], ' '), 'no such phrase', ''] AS points FROM q)
 SELECT query_id, round(len(list_filter(points, lambda x: {squash('x')} <> '' AND contains({squash('context')}, {squash('x')}))) / 4, 6) AS context_recall FROM p JOIN ctx USING (query_id)""",
     "grade_answers": f"""
-WITH g AS (SELECT id, {squash('answer')} AS t, grps, points, expected, category FROM {values(GRADED, 'id, answer, grps, points, expected, category')})
-SELECT id, t <> '' AND CASE WHEN len(coalesce(grps, [])) > 0 THEN len(list_filter(grps, lambda g: len(list_filter(g, lambda x: contains(t, {squash('x')}))) > 0)) = len(grps)
+WITH {_ANS}, w AS (SELECT *, conv_id + turn AS k, string_split(context, ' ') AS w FROM ans), v AS (SELECT *, [coalesce(w[i], 'zz') for i in [1, 2, 3, 4, 5]] AS p FROM w),
+g AS (SELECT conv_id, turn, k, {squash("CASE WHEN k % 5 = 4 THEN answer || ' This is not mentioned anywhere.' WHEN k % 11 = 0 THEN ' ' ELSE answer || '  ' || upper(translate(p[1], 'ß', 's')) END")} AS t,
+  CASE k % 5 WHEN 0 THEN [[p[1], 'qq'], [p[2], p[3]]] WHEN 1 THEN [[p[1]]] END AS grps, CASE k % 5 WHEN 2 THEN [p[4], p[5]] WHEN 4 THEN ['x y z'] END AS points, CASE WHEN k % 5 = 3 THEN p[1] END AS expected FROM v)
+SELECT conv_id, turn, t <> '' AND CASE WHEN len(coalesce(grps, [])) > 0 THEN len(list_filter(grps, lambda g: len(list_filter(g, lambda x: {squash('x')} <> '' AND contains(t, {squash('x')}))) > 0)) = len(grps)
   ELSE len(list_filter(list_concat(coalesce(points, []), CASE WHEN expected IS NULL THEN [] ELSE [expected] END), lambda x: {squash('x')} <> '' AND contains(t, {squash('x')}))) > 0
-    OR (category = 'negative_unknown' AND ({' OR '.join(f"contains(t, '{m}')" for m in D.REFUSALS)})) END AS correct FROM g""",
+    OR (k % 10 = 4 AND ({' OR '.join(f"contains(t, '{m}')" for m in D.REFUSALS)})) END AS correct FROM g""",
     "token_f1": f"WITH {_ANS}, {f1_sql(f"SELECT conv_id, turn, {mtok('answer')} AS a, {mtok('context')} AS b FROM ans", 'conv_id, turn')} SELECT conv_id, turn, round(f1, 6) AS f1 FROM f1",
     "claim_support": f"WITH {_CLAIMS} SELECT conv_id, turn, n::INT AS n, round(support, 6) AS support FROM su",
     "groundedness": f"""WITH {_CLAIMS} SELECT conv_id, turn, count(n)::INT AS claims, round(coalesce(avg(support), 0), 6) AS groundedness, round(coalesce(avg((support < 0.3)::INT) , 0), 6) AS ungrounded_fraction
@@ -344,10 +346,16 @@ SELECT coalesce(f.doc_id, p.doc_id) AS doc_id, coalesce(f.a, p.a) AS a, coalesce
     "resume_pending": "SELECT doc_id FROM labels WHERE doc_id % 3 = 0",
     "token_jaccard_setops": f"""WITH {_ANS}, t AS (SELECT conv_id, turn, list_distinct({tok('answer')}) AS a, list_distinct({tok('context')}) AS b FROM ans)
 SELECT conv_id, turn, len(list_intersect(a, b))::INT AS shared, len(list_distinct(list_concat(a, b)))::INT AS "all", len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS only_answer FROM t""",
-    "golden_items": "SELECT * FROM (VALUES ('d01_q1', 'direct_fact_lookup', 'Rate?', 'a.pdf', 2, 0), ('d01_q2', 'comparison', 'Both?', 'a.pdf', 0, 0), ('d02_q1', 'unknown', 'Who?', 'b.pdf', 0, 2)) AS v(id, category, question, source_file, n_pages, n_groups)",
-    "oracle_retrieval": "SELECT 'd01_q1' AS id, doc_id AS page_number, length(text)::INT AS chars FROM documents WHERE doc_id IN (1, 2)",
-    "mc_accuracy": "SELECT * FROM (VALUES ('a', 1, 1, 1), ('b', 1, 1, 1)) AS v(category, items, answered, correct)",
-    "usage_parse": "SELECT * FROM (VALUES (0, 10, 5, 16), (1, 7, 3, 10), (2, 0, 0, 0)) AS v(id, prompt_tokens, completion_tokens, total_tokens)",
+    "golden_items": f"WITH {_GOLDEN} SELECT id, category, question, source_file, CASE WHEN doc_id % 3 > 0 THEN 2 ELSE 0 END AS n_pages, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS n_groups FROM golden",
+    "oracle_retrieval": f"""WITH {_GOLDEN}, i AS (SELECT id, source_file, unnest([doc_id % 7, 2]) AS page FROM golden WHERE doc_id % 3 > 0)
+SELECT id, page::INT AS page_number, d.doc_id, length(text)::INT AS chars FROM i JOIN documents d ON d.source || '.pdf' = source_file AND d.doc_id % 7 = page""",
+    "mc_accuracy": """
+WITH m AS (SELECT doc_id AS k, lang, CASE WHEN doc_id % 3 = 0 THEN 3 WHEN doc_id % 3 = 2 AND doc_id % 2 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN 0 ELSE 3 END AS n, CASE WHEN doc_id % 3 = 0 THEN doc_id % 3 ELSE 0 END AS label,
+  CASE WHEN doc_id % 5 > 0 THEN doc_id % 4 END AS said FROM documents)
+SELECT lang AS category, count(*) AS items, count(CASE WHEN said < n THEN said END) AS answered, count_if(said < n AND said = label) AS correct FROM m WHERE n > 0 GROUP BY lang""",
+    "usage_parse": """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 900 WHEN 1 THEN event_id % 800 ELSE 0 END::INT AS prompt_tokens, CASE event_id % 3 WHEN 0 THEN event_id % 70 WHEN 1 THEN event_id % 60 ELSE 0 END::INT AS completion_tokens,
+  CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN event_id % 1000 ELSE event_id % 900 + event_id % 70 END WHEN 1 THEN event_id % 800 + event_id % 60 ELSE 0 END::INT AS total_tokens FROM events""",
 }
 SQL["first_hit"] = typed(SQL["first_hit"], first_hit="INTEGER")
 SQL["citation_support"] = typed(SQL["citation_support"], cited="BIGINT", supported="BIGINT")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import chunk as C
-from foliant.plans.text import strip, tidy, values
+from foliant.operators import extract as X
+from foliant.plans.text import strip, tidy
 from foliant.sources import files, rows, web
 from foliant.sources.tables import table
 
@@ -58,24 +59,22 @@ def table_row_pages(spark, d):
     return pages.select("page_number", F.md5("content").alias("content_md5"))
 
 
-SHEETS = (
-    (1, 1, ["Name", "Amount", ""]), (1, 2, ["---", "---", ""]), (1, 3, ["Rent", " 100 ", "x"]), (1, 4, ["", "", ""]), (1, 5, ["Food", "", ""]),
-    (2, 1, ["Only", "Header"]), (3, 1, ["", ""]), (4, 1, ["A", "B"]), (4, 2, ["1"]), (4, 3, ["", "2", "3"]),
-)
-
-
 def table_render(spark, d):
-    out = rows.render(spark.createDataFrame([list(s) for s in SHEETS], "t int, n int, cells array<string>"), "t", "n", "cells")
-    return out.select("table", F.array_join("lines", "\n").alias("lines"))
-
-
-CELLS = (("s", 1, 1, "Region"), ("s", 1, 2, ""), ("s", 2, 1, "a"), ("s", 2, 2, "b"), ("s", 3, 1, ""), ("s", 3, 2, "c"))
-RANGES = (("s", 1, 1, 1, 2), ("s", 2, 1, 3, 1))
+    """Nations of a region as a sheet: a header, a line of dashes, padded cells, an empty row, short rows; regions past the third have a header alone."""
+    n = table(spark, d, "nation")
+    row = F.array(F.concat(F.lit(" "), "n_name", F.lit(" ")), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey").cast("string")), F.when(F.col("n_nationkey") % 4 == 0, ""))
+    cells = n.where("n_regionkey < 3").select(F.col("n_regionkey").alias("t"), (F.col("n_nationkey") + 10).alias("n"), F.when(F.col("n_nationkey") % 5 == 4, F.slice(row, 1, 1)).otherwise(row).alias("cells"))
+    fixed = lambda at, *c: table(spark, d, "region").select(F.col("r_regionkey").alias("t"), F.lit(at).cast("long").alias("n"), F.array(*map(F.lit, c)).alias("cells"))
+    every = cells.union(fixed(1, "Name", "Key", "More")).union(fixed(2, "---", ":-:", "")).union(fixed(3, "", " ", ""))
+    return rows.render(every, "t", "n", "cells").select("table", F.array_join("lines", "\n").alias("lines"))
 
 
 def merged_cells(spark, d):
-    cells = spark.createDataFrame([list(c) for c in CELLS], "sheet string, row int, col int, value string")
-    return rows.fill_merged(cells, spark.createDataFrame([list(r) for r in RANGES], "sheet string, top int, left int, bottom int, right int"))
+    """Suppliers as a sheet of four columns, every third cell blank, with merged ranges down and across."""
+    k = F.col("s_suppkey")
+    one = table(spark, d, "supplier").select(F.concat(F.lit("sheet"), (k % 3).cast("string")).alias("sheet"), F.expr("s_suppkey div 12").cast("int").alias("row"), (F.expr("s_suppkey div 3") % 4).cast("int").alias("col"), F.when(k % 5 < 2, "").otherwise(F.col("s_name")).alias("value"))
+    ranges = one.where("col = 0 and row % 3 = 0").select("sheet", F.col("row").alias("top"), F.col("col").alias("left"), (F.col("row") + 1).alias("bottom"), (F.col("col") + 1).alias("right"))
+    return rows.fill_merged(one, ranges)
 
 
 def html_title(spark, d):
@@ -87,43 +86,60 @@ def html_links(spark, d):
 
 
 def html_main_text(spark, d):
-    return table(spark, d, "pages").select("page_id", web.main_text(web.capped(F.col("html"))).alias("content"))
+    return table(spark, d, "pages").select("page_id", web.main_text(F.col("html")).alias("content"))
 
 
 def site_document_id(spark, d):
     return table(spark, d, "pages").select("page_id", web.site_id(F.col("url")).alias("site_id"))
 
 
-URLS = ("https://example.com/a", "HTTP://Example.com", "ftp://example.com", "http://127.0.0.1/x", "http://10.0.0.8:80/", "https://user@192.168.1.1/", "http:///nohost", "https://172.20.1.1", "https://172.40.1.1", "http://[::1]/", "mailto:a@b.c")
+def validate_url(spark, d):
+    """URLs of pages, and what becomes of them with another scheme, a user, a private or a missing host."""
+    k, rest = F.col("page_id") % 8, F.regexp_replace("url", "^[a-z]+://[^/?#]*", "")
+    made = F.when(k == 0, F.concat(F.lit("HTTP://Example.com"), rest)).when(k == 1, F.concat(F.lit("ftp://example.com"), rest)).when(k == 2, F.concat(F.lit("http://127.0.0."), (F.col("page_id") % 250).cast("string"), rest))
+    made = made.when(k == 3, F.concat(F.lit("https://user@192.168.1.1:80"), rest)).when(k == 4, F.concat(F.lit("http://"), rest)).when(k == 5, F.concat(F.lit("https://172."), (F.col("page_id") % 60).cast("string"), F.lit(".1.1"), rest))
+    made = made.when(k == 6, F.concat(F.lit("http://[::1]"), rest)).otherwise(F.concat(F.lit("mailto:a@b.c"), rest))
+    p = table(spark, d, "pages")
+    every = p.select("page_id", F.lit(False).alias("made"), "url").union(p.select("page_id", F.lit(True), made))
+    return every.select("page_id", "made", web.is_safe(F.col("url")).alias("safe"))
 
 
-def validate_url(spark, d):
-    extra = spark.createDataFrame([(i - 100, u) for i, u in enumerate(URLS)], "page_id long, url string")
-    every = table(spark, d, "pages").select("page_id", "url").union(extra)
-    return every.select("page_id", web.is_safe(F.col("url")).alias("safe"))
+def _graph(spark, d):
+    """Each page links to two others, and to what its own links name."""
+    p = table(spark, d, "pages")
+    n = p.agg(F.count("*")).scalar()
+    to = lambda e: p.select(F.col("url").alias("src"), F.pmod(F.expr(e), n).alias("page_id")).join(p.select("page_id", F.col("url").alias("dst")), "page_id").select("src", "dst")
+    own = web.links(p).join(p.select("page_id", "url"), "page_id").select(F.col("url").alias("src"), F.col("link").alias("dst"))
+    return to("page_id * 2 + 1").union(to("page_id * 3 + 2")).union(own)
 
 
 def crawl_bfs(spark, d):
-    """Nations as pages, linked along regions and neighbours, from the first one."""
-    n = table(spark, d, "nation")
-    edges = n.select(F.col("n_nationkey").alias("src"), F.expr("(n_nationkey * 2 + 1) % 25").alias("dst")).union(n.select("n_nationkey", F.expr("(n_nationkey + n_regionkey + 1) % 25")))
-    return web.crawl(edges, n.where("n_nationkey = 0").select(F.col("n_nationkey").alias("url")), 15)
+    """Forty pages from the first one on; on hosts of every fifth page one language is forbidden, but for page two of it."""
+    p = table(spark, d, "pages")
+    hosts = p.where("page_id % 5 = 0").select(web.host(F.col("url")).alias("host")).distinct()
+    rules = hosts.select("host", F.lit("/de/").alias("path"), F.lit(False).alias("allow")).union(hosts.select("host", F.lit("/de/2"), F.lit(True)))
+    return web.crawl(_graph(spark, d), p.where("page_id = 0").select("url"), 40, rules=rules)
 
 
-def extractor_cascade(spark, d):
-    """The first extraction with enough text that is not noise; engines in order of cost."""
-    long = lambda c: F.length(c) >= 100
-    ascii_only, stripped, raw = F.regexp_replace("text", r"[^\x00-\x7F]", ""), T.tidy("text"), F.col("text")
-    engine = F.when(long(ascii_only) & (F.length(ascii_only) * 1.0 / F.length("text") > 0.99), "plain").when(long(stripped) & ~T.is_gibberish(stripped), "layout").otherwise("ocr")
-    return docs(spark, d).select("doc_id", engine.alias("engine"), F.length(F.when(engine == "plain", ascii_only).when(engine == "layout", stripped).otherwise(raw)).alias("n_chars"))
+def crawl_same_host(spark, d):
+    """What the first page's host links to, three levels deep."""
+    return web.crawl(_graph(spark, d), table(spark, d, "pages").where("page_id = 0").select("url"), 1000, same_host=True, depth=3)
 
 
-NAMES = ("a.PDF", "dir/b.txt", "c.tar.gz", "noext", "d.XLSX", ".hidden", "e.jpeg", "f.exe", "g.md")
+def extractor_cascade(spark, d):
+    """The first extraction with enough text that is not noise; engines in order of cost."""
+    ascii_only, stripped = F.regexp_replace("text", r"[^\x00-\x7F]", ""), T.normalize("text")
+    plain = (F.length(ascii_only) >= 100) & (F.length(ascii_only) * 1.0 / F.length("text") > 0.99)
+    chosen = X.cascade({"plain": (ascii_only, plain), "layout": (stripped, X.is_good(stripped)), "ocr": (F.col("text"), F.lit(True))}, "ocr")
+    return docs(spark, d).withColumn("c", chosen).select("doc_id", "c.engine", F.length("c.text").alias("n_chars"))
 
 
 def supported_files(spark, d):
-    r = spark.createDataFrame([(i, n) for i, n in enumerate(NAMES)], "id int, path string")
-    return r.select("id", files.extension(F.col("path")).alias("ext"), files.is_supported(F.col("path")).alias("supported"))
+    """Paths made of ids and sources, with extensions of every kind."""
+    endings = ("PDF", ".txt", ".tar.gz", "", ".XLSX", "/.hidden", ".jpeg", ".exe", ".md", ".docx.bak")
+    path = F.concat("source", F.lit("/v1.2\\"), F.col("doc_id").cast("string"), F.get(F.array(*map(F.lit, endings)), (F.col("doc_id") % len(endings)).cast("int")))
+    r = docs(spark, d).select("doc_id", path.alias("path"))
+    return r.select("doc_id", files.extension(F.col("path")).alias("ext"), files.is_supported(F.col("path")).alias("supported"))
 
 
 def decode_text(spark, d):
@@ -135,12 +151,34 @@ def decode_text(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     text_sections, greedy_pages, hard_split_windows, chunk_documents, chunk_stats, chunk_sentences, table_row_pages, table_render, merged_cells, html_title, html_links,
-    html_main_text, site_document_id, validate_url, crawl_bfs, extractor_cascade, supported_files, decode_text,
+    html_main_text, site_document_id, validate_url, crawl_bfs, crawl_same_host, extractor_cascade, supported_files, decode_text,
 )}
 
 _S = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
 _CLEAN = "list_transform(cells, lambda x: trim(coalesce(x, '')))"
 
+_HREF = web.HREF.replace("'", "''")
+_DOTS = "list_reduce(list_prepend('', string_split(substring(p, 2), '/')), lambda done, x: CASE x WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || x END) || CASE WHEN string_split(substring(p, 2), '/')[-1] IN ('.', '..') THEN '/' ELSE '' END"
+_LINKS = rf"""
+lt AS (SELECT page_id, url, (unnest(range(len(h))))::INT AS n, {strip("regexp_replace(unnest(h), '^[" + chr(34) + "'']|[" + chr(34) + "'']$', '', 'g')")} AS h FROM (SELECT page_id, url, regexp_extract_all(html, '{_HREF}', 1) AS h FROM pages)),
+lp AS (SELECT *, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(h, '^([^?#]*)', 1) AS own, regexp_replace(h, '^[^?#]*', '') AS rest FROM lt),
+ld AS (SELECT *, CASE WHEN starts_with(h, '/') THEN own ELSE CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || own END AS p FROM lp),
+la AS (SELECT page_id, url, n, regexp_replace(CASE WHEN h = '' THEN NULL WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || h
+  WHEN starts_with(h, '#') THEN url WHEN starts_with(h, '?') THEN root || path || h ELSE root || {_DOTS} || rest END, '#.*$', '') AS link FROM ld),
+links AS (SELECT page_id, url, n, link FROM la WHERE regexp_matches(link, '^(?i:https?)://[^/?#]+'))"""
+_EDGES = """
+e AS (SELECT a.url AS src, b.url AS dst FROM pages a JOIN pages b ON b.page_id = (a.page_id * 2 + 1) % (SELECT count(*) FROM pages) UNION SELECT a.url, b.url FROM pages a JOIN pages b ON b.page_id = (a.page_id * 3 + 2) % (SELECT count(*) FROM pages)
+  UNION SELECT url, link FROM links)"""
+
+
+def _host(url: str) -> str:
+    return f"lower(regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))"
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1)"
+
+
 SQL = {
     "text_sections": f"SELECT doc_id, (unnest(range(len(s))))::INT AS n, md5(unnest(s)) AS section_md5 FROM (SELECT doc_id, {_S} AS s FROM documents)",
     "greedy_pages": f"""
@@ -158,44 +196,51 @@ SELECT doc_id, n::INT AS n, md5(CASE WHEN length(text) <= 400 THEN text ELSE sub
 FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 400 THEN [0] ELSE range((length(text) - 1) // 320 + 1) END) AS n FROM documents)""",
     "table_row_pages": """
 SELECT page_number, md5(string_agg('name: ' || c_name || ' | segment: ' || c_mktsegment || ' | nation: ' || c_nationkey, chr(10) ORDER BY n)) AS content_md5
-FROM (SELECT *, c_custkey - (SELECT min(c_custkey) FROM customer) + 1 AS n, (c_custkey - (SELECT min(c_custkey) FROM customer)) // 50 + 1 AS page_number FROM customer) WHERE n <= 20000 GROUP BY page_number""",
-    "table_render": f"""
-WITH c AS (SELECT t, n, {_CLEAN} AS c FROM {values(SHEETS, 't, n, cells')}),
+FROM (SELECT *, c_custkey - (SELECT min(c_custkey) FROM customer) + 1 AS n, (c_custkey - (SELECT min(c_custkey) FROM customer)) // 50 + 1 AS page_number FROM customer) GROUP BY page_number""",
+    "table_render": rf"""
+WITH e AS (SELECT n_regionkey AS t, n_nationkey + 10 AS n, CASE WHEN n_nationkey % 5 = 4 THEN [' ' || n_name || ' '] ELSE [' ' || n_name || ' ', CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey::VARCHAR END, CASE WHEN n_nationkey % 4 = 0 THEN '' END] END AS cells FROM nation WHERE n_regionkey < 3
+  UNION ALL SELECT r_regionkey, 1, ['Name', 'Key', 'More'] FROM region UNION ALL SELECT r_regionkey, 2, ['---', ':-:', ''] FROM region UNION ALL SELECT r_regionkey, 3, ['', ' ', ''] FROM region),
+c AS (SELECT t, n, {_CLEAN} AS c FROM e),
 k AS (SELECT t, n, c, row_number() OVER (PARTITION BY t ORDER BY n) AS r FROM c
-  WHERE len(list_filter(c, lambda x: x <> '')) > 0 AND len(list_filter(c, lambda x: x <> '' AND NOT regexp_full_match(x, '[\\s|:\\-=_+]*-[\\s|:\\-=_+]*'))) > 0),
+  WHERE len(list_filter(c, lambda x: x <> '')) > 0 AND len(list_filter(c, lambda x: x <> '' AND NOT regexp_full_match(x, '[\s|:\-=_+]*-[\s|:\-=_+]*'))) > 0),
 h AS (SELECT t, c AS header FROM k WHERE r = 1),
 l AS (SELECT t, r, array_to_string(list_filter(list_transform(range(1, greatest(len(header), len(c)) + 1), lambda i: CASE WHEN coalesce(header[i], '') <> '' AND coalesce(c[i], '') <> '' THEN header[i] || ': ' || c[i] END), lambda x: x IS NOT NULL), ' | ') AS line
   FROM k JOIN h USING (t) WHERE r > 1)
 SELECT t AS "table", coalesce((SELECT string_agg(line, chr(10) ORDER BY l.r) FROM l WHERE l.t = h.t AND line <> ''),
   (SELECT string_agg(array_to_string(list_filter(k.c, lambda x: x <> ''), ' | '), chr(10) ORDER BY k.r) FROM k WHERE k.t = h.t)) AS lines FROM h""",
-    "merged_cells": f"""
-WITH c AS (SELECT * FROM {values(CELLS, 'sheet, row, col, value')}), r AS (SELECT * FROM {values(RANGES, 'sheet, t, l, b, r')})
-SELECT c.sheet, c.row, c.col, coalesce(nullif(c.value, ''), (SELECT k.value FROM r JOIN c k ON k.sheet = r.sheet AND k.row = r.t AND k.col = r.l WHERE r.sheet = c.sheet AND c.row BETWEEN r.t AND r.b AND c.col BETWEEN r.l AND r.r)) AS value FROM c""",
+    "merged_cells": """
+WITH c AS (SELECT 'sheet' || s_suppkey % 3 AS sheet, (s_suppkey // 12)::INT AS row, ((s_suppkey // 3) % 4)::INT AS col, CASE WHEN s_suppkey % 5 < 2 THEN '' ELSE s_name END AS value FROM supplier),
+r AS (SELECT sheet, row AS t, col AS l FROM c WHERE col = 0 AND row % 3 = 0),
+o AS (SELECT r.sheet, r.t + i AS row, r.l + j AS col, k.value AS fill FROM r JOIN c k ON k.sheet = r.sheet AND k.row = r.t AND k.col = r.l, (VALUES (0), (1)) AS a(i), (VALUES (0), (1)) AS b(j))
+SELECT sheet, row, col, coalesce(nullif(c.value, ''), o.fill) AS value FROM c FULL JOIN o USING (sheet, row, col)""",
     "html_title": rf"SELECT page_id, coalesce(nullif({strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, ''), url) AS title FROM pages",
-    "html_links": rf"""
-WITH e AS (SELECT page_id, url, (unnest(range(len(h))))::INT AS n, {strip('unnest(h)')} AS h FROM (SELECT page_id, url, regexp_extract_all(html, '{web.HREF}', 1) AS h FROM pages)),
-p AS (SELECT *, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM e),
-a AS (SELECT page_id, n, regexp_replace(CASE WHEN h = '' THEN NULL WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || h
-  WHEN starts_with(h, '/') THEN root || h WHEN starts_with(h, '#') THEN url WHEN starts_with(h, '?') THEN root || path || h
-  ELSE root || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || h END, '#.*$', '') AS link FROM p)
-SELECT page_id, n, link FROM a WHERE regexp_matches(link, '^(?i:https?)://[^/?#]+')""",
+    "html_links": f"WITH {_LINKS} SELECT page_id, n, link FROM links",
     "site_document_id": """
 SELECT page_id, 'web_' || substring(sha1(lower(h) || substring(u, length(h) + 1)), 1, 12) AS site_id
 FROM (SELECT page_id, u, regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS h FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages))""",
     "validate_url": rf"""
-WITH e AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM {values([(i - 100, u) for i, u in enumerate(URLS)], 'page_id, url')}),
-h AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)', 1)), '^\[|\]$', '', 'g') AS bare FROM e)
-SELECT page_id, regexp_matches(url, '^(?i:https?)://') AND bare <> '' AND NOT regexp_matches(bare, '{web.PRIVATE}') AS safe FROM h""",
-    "crawl_bfs": """
-WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + n_regionkey + 1) % 25 FROM nation),
-r AS (SELECT 0 AS url, 0 AS level UNION SELECT e.dst, level + 1 FROM r JOIN e ON e.src = r.url WHERE level < 25),
+WITH b AS (SELECT page_id, page_id % 8 AS k, url, regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS rest FROM pages),
+e AS (SELECT page_id, FALSE AS made, url FROM pages UNION ALL SELECT page_id, TRUE, CASE k WHEN 0 THEN 'HTTP://Example.com' WHEN 1 THEN 'ftp://example.com' WHEN 2 THEN 'http://127.0.0.' || page_id % 250 WHEN 3 THEN 'https://user@192.168.1.1:80' WHEN 4 THEN 'http://'
+  WHEN 5 THEN 'https://172.' || page_id % 60 || '.1.1' WHEN 6 THEN 'http://[::1]' ELSE 'mailto:a@b.c' END || rest FROM b),
+h AS (SELECT page_id, made, url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)', 1)), '^\[|\]$', '', 'g') AS bare FROM e)
+SELECT page_id, made, regexp_matches(url, '^(?i:https?)://') AND bare <> '' AND NOT regexp_matches(bare, '{web.PRIVATE}') AS safe FROM h""",
+    "crawl_bfs": f"""
+WITH RECURSIVE {_LINKS}, {_EDGES}, d AS (SELECT DISTINCT {_host('url')} AS h FROM pages WHERE page_id % 5 = 0),
+ok AS (SELECT DISTINCT dst, NOT ({_host('dst')} IN (SELECT h FROM d) AND starts_with({_path('dst')}, '/de/') AND NOT starts_with({_path('dst')}, '/de/2')) AS ok FROM (SELECT dst FROM e UNION SELECT url FROM pages WHERE page_id = 0)),
+r AS (SELECT url, 0 AS level FROM pages JOIN ok ON ok.dst = url AND ok.ok WHERE page_id = 0 UNION SELECT e.dst, level + 1 FROM r JOIN e ON e.src = r.url JOIN ok ON ok.dst = e.dst AND ok.ok WHERE level < 12),
+f AS (SELECT url, min(level) AS level FROM r GROUP BY url)
+SELECT url, level, row_number() OVER (ORDER BY level, url)::INT AS page_number FROM f QUALIFY page_number <= 40""",
+    "crawl_same_host": f"""
+WITH RECURSIVE {_LINKS}, {_EDGES}, r AS (SELECT url, 0 AS level FROM pages WHERE page_id = 0 UNION SELECT e.dst, level + 1 FROM r JOIN e ON e.src = r.url AND {_host('e.dst')} = (SELECT {_host('url')} FROM pages WHERE page_id = 0) WHERE level < 3),
 f AS (SELECT url, min(level) AS level FROM r GROUP BY url)
-SELECT url, level, row_number() OVER (ORDER BY level, url)::INT AS page_number FROM f QUALIFY page_number <= 15""",
+SELECT url, level, row_number() OVER (ORDER BY level, url)::INT AS page_number FROM f""",
     "extractor_cascade": rf"""
 WITH t AS (SELECT doc_id, text, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS a, {tidy('text')} AS s FROM documents),
 e AS (SELECT *, CASE WHEN length(a) >= 100 AND length(a) / length(text) > 0.99::DOUBLE THEN 'plain'
   WHEN length(s) >= 100 AND NOT coalesce(length(regexp_replace(s, '[^\p{{L}}\p{{N}}]', '', 'g')) / nullif(length(regexp_replace(s, '\s', '', 'g')), 0) < 0.5, TRUE) THEN 'layout' ELSE 'ocr' END AS engine FROM t)
-SELECT doc_id, engine, length(CASE engine WHEN 'plain' THEN a WHEN 'layout' THEN s ELSE text END)::INT AS n_chars FROM e""",
-    "supported_files": rf"SELECT id, lower(regexp_extract(path, '(\.[^./\\]+)$', 1)) AS ext, lower(regexp_extract(path, '(\.[^./\\]+)$', 1)) IN {files.EXTENSIONS} AS supported FROM {values(enumerate(NAMES), 'id, path')}",
+SELECT doc_id, CASE WHEN engine = 'ocr' AND {strip('text')} = '' THEN 'none' ELSE engine END AS engine, CASE WHEN engine = 'ocr' AND {strip('text')} = '' THEN 0 ELSE length(CASE engine WHEN 'plain' THEN a WHEN 'layout' THEN s ELSE text END) END::INT AS n_chars FROM e""",
+    "supported_files": rf"""
+WITH p AS (SELECT doc_id, source || '/v1.2\' || doc_id || (['PDF', '.txt', '.tar.gz', '', '.XLSX', '/.hidden', '.jpeg', '.exe', '.md', '.docx.bak'])[doc_id % 10 + 1] AS path FROM documents)
+SELECT doc_id, lower(regexp_extract(path, '(\.[^./\\]+)$', 1)) AS ext, lower(regexp_extract(path, '(\.[^./\\]+)$', 1)) IN {files.EXTENSIONS} AS supported FROM p""",
     "decode_text": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
 }

@@ -66,8 +66,8 @@ def context_carry(spark, d):
 QUERIES = {f.__name__: f for f in (pii_detect, pii_scrub, pii_redact_regex, pii_counts, pii_leak_rate, span_shadowing, span_rebase, context_carry)}
 
 
-def _fixed() -> str:
-    t = "text"
+def fixed_sql(t: str) -> str:
+    """``redact.redact_fixed`` of an SQL expression."""
     for entity, pattern in R.FIXED:
         two = "\\2" if pattern.count("(") > 1 else ""
         t = f"regexp_replace({t}, '{pattern}', '\\1<{entity}>{two}', 'g')"
@@ -79,7 +79,7 @@ _RULE = """s AS (SELECT doc_id, unnest([{'entity': 'PHONE_NUMBER', 'start': doc_
   {'entity': 'CREDIT_CARD', 'start': doc_id % 7 + 20, 'end': doc_id % 7 + 30}, {'entity': 'IFSC_CODE', 'start': doc_id % 7 + 25, 'end': doc_id % 7 + 36}]) AS x FROM documents)"""
 
 SQL = {
-    "pii_redact_regex": f"SELECT doc_id, md5({_fixed()}) AS text_md5 FROM documents",
+    "pii_redact_regex": f"SELECT doc_id, md5({fixed_sql('text')}) AS text_md5 FROM documents",
     "pii_counts": " UNION ALL ".join(
         f"SELECT '{e}' AS entity, sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS spans, count_if(regexp_matches(text, '{p}'))::BIGINT AS documents FROM documents" for e, p in R.FIXED
     ),

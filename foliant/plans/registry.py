@@ -9,9 +9,9 @@ from foliant.operators import dialogue as talk
 from foliant.operators import fusion
 from foliant.sources.tables import table
 
-from . import dialogue, evaluation, pages, quality, redaction, retrieval, streams, text
+from . import answers, dialogue, evaluation, pages, quality, redaction, retrieval, streams, text
 
-FAMILIES = (text, pages, quality, retrieval, redaction, dialogue, evaluation, streams)
+FAMILIES = (text, pages, quality, retrieval, redaction, dialogue, evaluation, streams, answers)
 
 QUERIES: dict = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for family in FAMILIES for name, sql in family.SQL.items()}

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from foliant.plans.text import values
 from foliant.sources.scratch import folder, written
 from foliant.sources.tables import table
 from foliant.streaming import state as S
@@ -36,11 +35,12 @@ def cooldown_backoff(spark, d):
     return e.where("failures > 0").select("event_id", "user_id", "failures", S.backoff(F.col("failures"), 20.0).alias("cooldown_s"))
 
 
-ERRORS = ("HTTP 429: slow down", "Rate limit reached", "connection reset", "RESOURCE_EXHAUSTED", "timeout", "monthly Quota is used up")
-
-
 def quota_errors(spark, d):
-    return spark.createDataFrame(list(enumerate(ERRORS)), "id int, message string").select("id", S.is_quota_error(F.col("message")).alias("quota"))
+    """Messages made of events: codes, limits, resource and network errors."""
+    said = ("HTTP 4", "Rate LIMIT reached by ", "connection reset by ", "RESOURCE_EXHAUSTED: ", "timeout of ", "monthly Quota is used up by ")
+    k = F.col("event_id")
+    message = F.concat(F.get(F.array(*map(F.lit, said)), (k % 6).cast("int")), (k % 40).cast("string"), F.lit(" "), "event_type")
+    return events(spark, d).select("event_id", S.is_quota_error(message).alias("quota"))
 
 
 def stream_commit(spark, d):
@@ -67,7 +67,9 @@ SQL = {
 WITH i AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events),
 f AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failures FROM i)
 SELECT event_id, user_id, failures, least(900.0, 20.0 * pow(2, least(failures, 40) - 1))::DOUBLE AS cooldown_s FROM f WHERE failures > 0""",
-    "quota_errors": f"SELECT id, {' OR '.join(f'contains(lower(message), {m!r})' for m in S.QUOTA)} AS quota FROM {values(enumerate(ERRORS), 'id, message')}",
+    "quota_errors": f"""
+WITH m AS (SELECT event_id, lower((['HTTP 4', 'Rate LIMIT reached by ', 'connection reset by ', 'RESOURCE_EXHAUSTED: ', 'timeout of ', 'monthly Quota is used up by '])[event_id % 6 + 1] || event_id % 40 || ' ' || event_type) AS m FROM events)
+SELECT event_id, {' OR '.join(f'contains(m, {q!r})' for q in S.QUOTA)} AS quota FROM m""",
     "stream_commit": """
 WITH e AS (SELECT user_id, ts::DATE AS day, event_id, event_type, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS r FROM events)
 SELECT user_id, day::VARCHAR AS day, event_id, event_type AS provider, r - 1 AS fallbacks FROM e WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY r) = 1""",

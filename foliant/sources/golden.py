@@ -56,3 +56,18 @@ def choices_of(record: Column) -> Column:
     label = F.when(given, r["mc1_targets"]["label"]).when(made, 0)
     usable = F.coalesce(r["question"] != "", F.lit(False)) & choices.isNotNull()
     return F.when(usable, F.struct(r["question"].alias("question"), r["category"].alias("category"), r["type"].alias("type"), choices.alias("choices"), label.alias("label")))
+
+
+def sampled(items: DataFrame, limit: int, seed: int, question: str = "question", *ties: str) -> DataFrame:
+    """``limit`` items (0: all) in an order drawn from the seed and the question, then by ``ties``: the same in any run."""
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(question, F.lit(""))))
+    return items.orderBy(drawn, question, *ties).limit(limit) if limit > 0 else items
+
+
+def about(items: DataFrame, document: str, chunks: DataFrame, gold_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The items about one document and its chunks; ``gold_only`` keeps the chunks of the items' source pages."""
+    mine, held = items.where(F.col("source_file") == document), chunks.where(F.col("filename") == document)
+    if not gold_only:
+        return mine, held
+    pages = mine.select("id", F.explode("source_pages").alias("page_number"))
+    return mine, pages.join(held, "page_number")

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from foliant.functions.text import strip
 from foliant.sources.scratch import written
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-HREF = r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)\""""
+HREF = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 #: Hosts that are never fetched: loopback, link-local, private and reserved addresses.
 PRIVATE = r"^(localhost|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|22[4-9]\..*|2[3-5][0-9]\..*|::1?|f[cd][0-9a-f]{2}:.*|fe80:.*)$"
 
@@ -28,32 +29,38 @@ def capped(html: Column, most: int = 2_000_000) -> Column:
     return F.substring(html, 1, most)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root without "." and ".." segments."""
+    parts = F.split(F.substring(path, 2, F.length(path)), "/")
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    return F.concat(F.aggregate(parts, F.lit(""), step), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
 def absolute(base: Column, href: Column) -> Column:
     """``href`` against ``base`` without fragment; null unless it is http or https with a host.
 
-    Written for the forms that pages use: absolute, protocol-relative, root-relative,
-    query, fragment, and relative paths without dot segments."""
+    Absolute references stay as they are; of others the path's dot segments are resolved."""
     root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
     h = strip(href)
+    own, rest = F.regexp_extract(h, "^([^?#]*)", 1), F.regexp_replace(h, "^[^?#]*", "")
     out = (
         F.when(h == "", F.lit(None))
         .when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(scheme, h))
-        .when(h.startswith("/"), F.concat(root, h))
         .when(h.startswith("#"), F.regexp_replace(base, "#.*$", ""))
         .when(h.startswith("?"), F.concat(root, path, h))
-        .otherwise(F.concat(root, folder, h))
+        .otherwise(F.concat(root, _without_dots(F.when(h.startswith("/"), own).otherwise(F.concat(folder, own))), rest))
     )
     out = F.regexp_replace(out, "#.*$", "")
     return F.when(out.rlike(r"^(?i:https?)://[^/?#]+"), out)
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, n, link: the http links of each page in order, absolute, without fragments."""
-    found = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
+    """page_id, n, link: the http links of each page in order, absolute, without fragments; values quoted either way or bare."""
+    found = F.transform(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), lambda h: F.regexp_replace(h, """^["']|["']$""", ""))
     rows = pages.select("page_id", "url", F.posexplode(found).alias("n", "href"))
     return rows.select("page_id", "n", absolute(F.col("url"), F.col("href")).alias("link")).where("link is not null")
 
@@ -108,24 +115,58 @@ def site_id(url: Column) -> Column:
     return F.concat(F.lit("web_"), F.substring(F.sha1(F.concat(F.lower(head), F.substring(plain, F.length(head) + 1, F.length(plain)))), 1, 12))
 
 
-def is_safe(url: Column) -> Column:
-    """http or https, with a host that is not a private address by its spelling."""
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
-    bare = F.regexp_replace(host, r"^\[|\]$", "")
-    return url.rlike("^(?i:https?)://") & (bare != "") & ~bare.rlike(PRIVATE)
+def host(url: Column) -> Column:
+    """Host of a URL in lower case, without user, port and brackets; empty without one."""
+    h = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
+    return F.regexp_replace(h, r"^\[|\]$", "")
+
+
+def is_safe(url: Column, resolver: Callable[[str], bool] | None = None) -> Column:
+    """http or https, with a host that is not a private address by its spelling, nor by ``resolver`` where one is given.
+
+    ``resolver`` tells whether all addresses of a host are public; hosts that the spelling rules out are not asked."""
+    plain = url.rlike("^(?i:https?)://") & (host(url) != "") & ~host(url).rlike(PRIVATE)
+    if resolver is None:
+        return plain
 
+    @F.pandas_udf(BooleanType())
+    def ask(hosts: pd.Series) -> pd.Series:
+        known = {h: bool(resolver(h)) for h in hosts.dropna().unique()}
+        return hosts.map(lambda h: known.get(h, False))
 
-def crawl(edges: DataFrame, start: DataFrame, most: int, depth: int = 32) -> DataFrame:
+    return plain & ask(F.when(plain, host(url)))
+
+
+def robots_allow(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` that may be fetched by ``rules(host, path, allow)``: the longest rule whose path the URL's begins with tells, and none means yes."""
+    path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    r = rules.select(F.lower("host").alias("_host"), F.col("path").alias("_path"), F.col("allow").alias("_allow"))
+    met = urls.withColumn("_h", host(F.col("url"))).withColumn("_p", F.when(path == "", "/").otherwise(path))
+    met = met.join(r, (F.col("_h") == F.col("_host")) & F.startswith("_p", "_path"), "left")
+    verdict = met.groupBy(*urls.columns).agg(F.max(F.struct(F.length("_path").alias("n"), F.col("_allow").alias("a"))).alias("_v"))
+    return verdict.where(F.coalesce(F.col("_v.a"), F.lit(True))).select(*urls.columns)
+
+
+def crawl(edges: DataFrame, start: DataFrame, most: int, same_host: bool = False, rules: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """url, level, page_number: breadth-first from ``start(url)`` along ``edges(src, dst)``, ``most`` pages in order.
 
-    One join per level against what was seen; levels are bounded by ``depth`` and end with the frontier."""
-    seen = frontier = written(start.select("url").distinct().withColumn("level", F.lit(0)), "frontier")
-    for level in range(1, depth + 1):
+    One join per level against what was seen; the crawl ends with the frontier, with
+    enough pages, or at ``depth`` where one is given.  ``same_host`` keeps to the
+    hosts of the start; what ``rules`` forbid is neither counted nor followed."""
+    if same_host:
+        home = start.select(host(F.col("url")).alias("_h")).distinct()
+        edges = edges.withColumn("_h", host(F.col("dst"))).join(home, "_h", "left_semi").drop("_h")
+    allowed = (lambda urls: urls) if rules is None else (lambda urls: robots_allow(urls, rules))
+    seen = frontier = written(allowed(start.select("url").distinct()).withColumn("level", F.lit(0)), "frontier")
+    level, n = 0, frontier.count()
+    while n and n < most and (depth is None or level < depth):
+        level += 1
         step = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
-        frontier = written(step.join(seen.select("url"), "url", "left_anti").withColumn("level", F.lit(level)), "frontier")
-        if frontier.isEmpty():
+        frontier = written(allowed(step.join(seen.select("url"), "url", "left_anti")).withColumn("level", F.lit(level)), "frontier")
+        found = frontier.count()
+        if not found:
             break
+        n += found
         seen = seen.union(frontier)
     first = seen.orderBy("level", "url").limit(most)
     return first.withColumn("page_number", F.row_number().over(W.orderBy("level", "url")))
-

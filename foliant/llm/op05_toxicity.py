@@ -2,8 +2,8 @@
 
 Terms are words and their leading stems (the first few bytes), so inflected
 forms of one stem meet.  Of a bounded sample of labelled texts every term that
-enough of them hold is kept, whatever their labels; TF-IDF vectors over them,
-of unit length, are the examples.  The index lists, per term, the examples that
+a hundredth of them hold is kept, whatever their labels; TF-IDF vectors over them
+(counts times the log of the inverse share), of unit length, are the examples.  The index lists, per term, the examples that
 hold it; terms of many examples stand in one matrix instead.  Sums in single
 precision bound every cosine from above, up to a proven slack, and blocks of
 examples of similar content have their largest bound.  A text scores exactly the
@@ -25,6 +25,7 @@ import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,13 @@ from .shared import held_out, small_batches, table, written
 class Toxicity:
     """Parameters of the method."""
 
-    examples: int = 8192  # bound of the labelled sample
-    least_documents: int = 5  # that hold a kept term
-    stems: tuple[int, ...] = (4, 5, 6, 7, 8)  # bytes
+    examples: int = 4096  # bound of the labelled sample
+    least_share: float = 0.01  # of the examples, and two of them, hold a kept term
+    stems: tuple[int, ...] = (4, 6)  # bytes, of longer words
     block: int = 64  # examples
     common: float = 1 / 16  # a term of more of the examples stands in the matrix
-    k: int = 15
-    bins: int = 10  # of the calibration
+    k: int = 9
+    bins: int = 20  # of the calibration
     cut: float = 0.7
     seed: int = 9
     memo: int = 20_000  # answers that a worker keeps
@@ -59,7 +60,7 @@ def terms(texts: tk.Texts, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
     w = low._cut(_KIND[low.data] == 1)
     hashes, docs = [low.hashes(w)], [w.doc]
     for n in p.stems:
-        longer = np.flatnonzero(w.ends - w.starts >= n)
+        longer = np.flatnonzero(w.ends - w.starts > n)
         s = tk.Spans(w.starts[longer], w.starts[longer] + n, w.doc[longer])
         hashes.append(tk.mix(low.hashes(s) + tk.U(n)))
         docs.append(s.doc)
@@ -115,11 +116,9 @@ class Index:
         self.column = np.full(len(self.kept), -1, np.int32)  # of the matrix
         often = np.flatnonzero(np.diff(self.first) > max(self.p.common * len(n), 1))
         self.column[often] = np.arange(len(often))
-        self.slack = 2.0**-23 * (len(often) + 2)  # rounding of a sum of so many positive numbers below 1
         self.matrix = np.zeros((len(often), len(n)), np.float32)
         for c, t in enumerate(often.tolist()):
             self.matrix[c, self.doc[self.first[t] : self.first[t + 1]]] = self.val[self.first[t] : self.first[t + 1]]
-
     @property
     def post(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Per term: its examples and weights, its blocks and where they begin."""
@@ -131,14 +130,21 @@ class Index:
             found[t] = (doc, self.val[self.first[t] : self.first[t + 1]], block, np.append(begin, len(doc)))
         return found
 
-    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Shares of the matrix's terms in the cosines (vectors x examples), in single precision."""
+    def sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines of ``vectors`` and all examples, in single precision: common terms from the matrix, the others from their postings."""
         self.open()
         q = np.zeros((len(vectors), len(self.matrix)), np.float32)
         for i, (term, weight) in enumerate(vectors):
             c = self.column[term]
             q[i, c[c >= 0]] = weight[c >= 0]
-        return q @ self.matrix
+        out = q @ self.matrix
+        for i, (term, weight) in enumerate(vectors):
+            rare = np.flatnonzero(self.column[term] < 0)
+            a, b = self.first[term[rare]], self.first[term[rare] + 1]
+            at = ranges(a, b)
+            if len(at):
+                out[i] += np.bincount(self.doc[at], self.val[at] * np.repeat(weight[rare], b - a), minlength=out.shape[1])
+        return out
 
     def calibrate(self, votes: np.ndarray) -> None:
         """Mean outcome by equal steps of the examples' votes, made monotone (pool adjacent violators)."""
@@ -160,21 +166,16 @@ class Index:
         t, _, weight, bounds = vectorise(*terms(texts, self.p), texts.n, self.kept, self.idf)
         return [(t[a:b], weight[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1, common: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k nearest examples, as (-cosine, example), exactly."""
+    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1, about: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k nearest examples, as (-cosine, example), exactly; ``about`` are the sums."""
         if not len(term) or not self.blocks:
             return []
-        about = (self.common([(term, weight)])[0] if common is None else common).astype(np.float64)
-        rare = np.flatnonzero(self.column[term] < 0)
-        if len(rare):
-            i, j = self.first[term[rare]], self.first[term[rare] + 1]
-            cuts = [slice(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-            doc, val = np.concatenate([self.doc[c] for c in cuts]), np.concatenate([self.val[c] for c in cuts])
-            about += np.bincount(doc, val * np.repeat(weight[rare], j - i), minlength=len(about))
+        about = self.sums([(term, weight)])[0] if about is None else about
+        slack = 2.0**-23 * (len(term) + 8)  # rounding of a sum of so many positive numbers, below 1 in all
         if without >= 0:
             about[without] = 0
         k = min(self.p.k, len(about))
-        least = np.partition(about, -k)[-k] - 2 * self.slack - 1e-8  # no less than this has a neighbour's sum
+        least = np.partition(about, -k)[-k] - 2 * slack - 1e-8  # no less than this has a neighbour's sum
         most = np.maximum.reduceat(about, np.arange(0, len(about), self.p.block))
         at = ranges(visit := np.flatnonzero((most > 0) & (most >= least)) * self.p.block, np.minimum(visit + self.p.block, len(about)))
         at = at[(about[at] > 0) & (about[at] >= least)]
@@ -188,9 +189,9 @@ class Index:
         hit = np.flatnonzero(score > 0)
         return sorted(zip((-score[hit]).tolist(), at[hit].tolist(), strict=True))[: self.p.k]
 
-    def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1, common: np.ndarray | None = None) -> tuple[float, int, float]:
+    def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1, about: np.ndarray | None = None) -> tuple[float, int, float]:
         """Cosine-weighted vote, nearest example and its cosine; (nan, -1, 0) without neighbours."""
-        best = self.nearest(term, weight, without, common)
+        best = self.nearest(term, weight, without, about)
         if not best:
             return (float(self.base) if without >= 0 else float("nan")), -1, 0.0
         cosine, at = -np.array([c for c, _ in best]), [i for _, i in best]
@@ -203,9 +204,9 @@ class Index:
             some = vectors[i : i + self.p.block]
             keys = [hashlib.blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() for t, w in some]
             new = {k: v for k, v in zip(keys, some, strict=True) if k not in self.memo}
-            shares = self.common(list(new.values())) if new else []
+            sums = self.sums(list(new.values())) if new else []
             found = {k: self.memo[k] for k in keys if k not in new}
-            found |= {k: self.vote(*v, common=c) for (k, v), c in zip(new.items(), shares, strict=True)}
+            found |= {k: self.vote(*v, about=c) for (k, v), c in zip(new.items(), sums, strict=True)}
             self.memo.update(found)
             while len(self.memo) > self.p.memo:
                 self.memo.popitem(last=False)
@@ -220,7 +221,7 @@ def unit(t: np.ndarray, tf: np.ndarray, d: np.ndarray, n: int, idf: np.ndarray)
     """TF-IDF weights, each document's of length 1."""
     if not len(t):
         return np.zeros(0)
-    weight = (1 + np.log(tf)) * idf[t]
+    weight = tf * idf[t]
     return weight / np.sqrt(np.bincount(d, weight * weight, minlength=n))[d]
 
 
@@ -255,8 +256,9 @@ def fit(known: DataFrame, p: Toxicity) -> Index:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
     total = known.count()
+    least = max(2, ceil(p.least_share * total))
     counts = known.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    chosen = counts.where(f"n >= {p.least_documents}").toArrow()
+    chosen = counts.where(f"n >= {least}").toArrow()
     kept = chosen.column("term").to_numpy().view(tk.U)
     order = np.argsort(kept)
     kept = kept[order]
@@ -292,7 +294,7 @@ def own_votes(spark: SparkSession, index: Index) -> np.ndarray:
             votes = []
             for m in np.split(n, range(index.p.block, len(n), index.p.block)):
                 own = [(index.term[a:b], index.weight[a:b]) for a, b in zip(index.bounds[m], index.bounds[m + 1], strict=True)]
-                votes += [index.vote(*v, without=i, common=c)[0] for i, v, c in zip(m.tolist(), own, index.common(own), strict=True)]
+                votes += [index.vote(*v, without=i, about=c)[0] for i, v, c in zip(m.tolist(), own, index.sums(own), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["n", "vote"])
 
     parts = spark.sparkContext.defaultParallelism

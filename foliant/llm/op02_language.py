@@ -26,10 +26,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .op01_quality import _KIND
+from .op05_toxicity import ranges
 from .shared import crc_share, held_out, small_batches, table
 
 
@@ -54,20 +56,30 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in _LIKELY.finditer(text))
 
 
+def words_of(texts: tk.Texts) -> tuple[tk.Texts, tk.Spans]:
+    """The lower-cased texts, and their words."""
+    low = texts.lowered()
+    return low, low._cut(_KIND[low.data] == 1)
+
+
 def grams(texts: tk.Texts, p: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and word of every n-gram inside words (lower-case, with word ends), and the document of each word."""
-    low = texts.lowered()
-    w = low._cut(_KIND[low.data] == 1)
-    n = len(w.starts)
+    low, w = words_of(texts)
+    return *grams_of(low.data, w.starts, w.ends, p), w.doc
+
+
+def grams_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: Languages) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and word of every n-gram of the words between ``starts`` and ``ends``."""
+    n = len(starts)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    length = w.ends - w.starts + 2
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    length = ends - starts + 2
     begin = np.cumsum(length) - length
     word = np.repeat(np.arange(n), length)
     inner = np.arange(int(length.sum())) - begin[word]
     edge = (inner == 0) | (inner == length[word] - 1)
     code = np.zeros(len(word), np.uint64)
-    code[~edge] = low.data[(w.starts[word] + inner - 1)[~edge]].astype(np.uint64)
+    code[~edge] = data[(starts[word] + inner - 1)[~edge]].astype(np.uint64)
     code[edge] = 1
     buckets, words = [], []
     h = np.zeros(len(word), np.uint64)
@@ -81,7 +93,7 @@ def grams(texts: tk.Texts, p: Languages) -> tuple[np.ndarray, np.ndarray, np.nda
             mixed = (h[ok] + tk.U(k << 40)) * tk.U(0x9E3779B97F4A7C15)
             buckets.append((mixed >> tk.U(40)).astype(np.int64) % p.buckets)
             words.append(word[ok])
-    return np.concatenate(buckets), np.concatenate(words), w.doc
+    return np.concatenate(buckets), np.concatenate(words)
 
 
 @dataclass
@@ -90,17 +102,29 @@ class Model:
     logs: np.ndarray  # buckets x languages, log probability
 
 
+def sampled(rows: DataFrame, p: Languages) -> DataFrame:
+    """lang and text of at most ``per_language`` rows of each language of ``rows(doc_id, text, lang)``, whatever the ids are.
+
+    About twice the wanted share by hash, equal texts of one id folded where they
+    are read, then the first so many of each language."""
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit(p.seed)))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language, as the model has
+    if not found:
+        return rows.select("lang", "h", "text").where("false")
+    rate = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * p.per_language / max(r["n"], 1))))])
+    hashed = rows.where(crc_share(F.col("h"), p.seed) < F.try_element_at(rate, F.col("lang")))
+    each = hashed.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return each.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("_n") <= p.per_language).drop("_n")
+
+
 def fit(documents: DataFrame, learn, p: Languages) -> Model:
     """Model from the rows of ``documents(doc_id, text, lang)`` where ``learn`` holds."""
     rows = documents.where(learn & F.col("lang").isNotNull() & (F.col("lang") != "")).select("doc_id", "text", "lang")
-    found = rows.groupBy("lang").count().collect()
-    names = sorted(r["lang"] for r in found)
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not names:
         return Model([], np.zeros((p.buckets, 0), np.float32))
-    rate = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, p.per_language / r["count"])))])
     number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    rows = rows.where(crc_share(F.col("doc_id"), p.seed) < F.try_element_at(rate, F.col("lang")))
-    rows = rows.select("text", F.try_element_at(number, F.col("lang")).cast("long").alias("l"), F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("part"))
+    rows = sampled(rows, p).select("text", F.try_element_at(number, F.col("lang")).cast("long").alias("l"), F.pmod("h", F.lit(8)).alias("part"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,18 +151,25 @@ def mixtures(texts: tk.Texts, model: Model, p: Languages) -> tuple[np.ndarray, n
     """Proportions of each document's chosen languages (documents x languages) and the set's size."""
     n, k = texts.n, len(model.names)
     out, size = np.zeros((n, k)), np.zeros(n, np.int64)
-    b, word, doc = grams(texts, p)
-    if not len(doc) or not k:
+    low, w = words_of(texts)
+    if not len(w.doc) or not k:
         return out, size
+    # Each distinct word of the piece is read once; a document is its distinct words and how often each stands in it.
+    _, first, which = np.unique(low.hashes(w), return_index=True, return_inverse=True)
+    b, word = grams_of(low.data, w.starts[first], w.ends[first], p)
     order = np.argsort(word, kind="stable")
-    b, first = b[order], np.append(np.searchsorted(word[order], np.arange(len(doc))), len(word))
+    b, cut = b[order], np.append(np.searchsorted(word[order], np.arange(len(first))), len(word))
+    key, count = np.unique(w.doc * len(first) + which, return_counts=True)
+    doc, which = key // len(first), key % len(first)
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     ends = np.append(starts[1:], len(doc))
     i = 0
     while i < len(starts):  # documents of so many words at once
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + max(p.cells // k, 1), "right")))
-        like = likelihoods(b, first[starts[i] : ends[j - 1] + 1], model, p)
-        out[doc[starts[i:j]]], size[doc[starts[i:j]]] = sets(like, ends[i:j] - starts[i:j], p)
+        rows = slice(starts[i], ends[j - 1])
+        mine, at = np.unique(which[rows], return_inverse=True)
+        like = likelihoods(b[ranges(cut[mine], cut[mine + 1])], np.append(0, np.cumsum(cut[mine + 1] - cut[mine])), model, p)
+        out[doc[starts[i:j]]], size[doc[starts[i:j]]] = sets(like[at], ends[i:j] - starts[i:j], count[rows], p)
         i = j
     return out, size
 
@@ -153,23 +184,27 @@ def likelihoods(b: np.ndarray, first: np.ndarray, model: Model, p: Languages) ->
     return like
 
 
-def sets(like: np.ndarray, words: np.ndarray, p: Languages) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions in the set of highest penalised likelihood, and its size, of documents of so many words each."""
-    n, k = len(words), like.shape[1]
+def sets(like: np.ndarray, rows: np.ndarray, count: np.ndarray, p: Languages) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions in the set of highest penalised likelihood, and its size, of documents of so many ``rows`` each.
+
+    A row is a distinct word of a document, ``count`` times in it."""
+    n, k = len(rows), like.shape[1]
     ratio = np.exp(np.maximum(like - like.max(1, keepdims=True), -30.0))
+    words = np.add.reduceat(count, np.cumsum(rows) - rows)
 
-    def em(ratio: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(ratio: np.ndarray, rows: np.ndarray, count: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proportions and log likelihood with the columns' languages only."""
-        starts, row = np.cumsum(words) - words, np.repeat(np.arange(len(words)), words)
-        pi = np.full((len(words), ratio.shape[1]), 1.0 / ratio.shape[1])
-        for _ in range(p.steps):
-            r = ratio * pi[row]
-            r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-            pi = np.add.reduceat(r, starts, axis=0) / words[:, None]
+        starts, row = np.cumsum(rows) - rows, np.repeat(np.arange(len(rows)), rows)
+        pi = np.full((len(rows), ratio.shape[1]), 1.0 / ratio.shape[1])
+        if ratio.shape[1] > 1:
+            for _ in range(p.steps):
+                r = ratio * pi[row]
+                r *= (count / np.maximum(r.sum(1), 1e-300))[:, None]
+                pi = np.add.reduceat(r, starts, axis=0) / words[:, None]
         mix = np.maximum((ratio * pi[row]).sum(1), 1e-300)
-        return pi, np.add.reduceat(np.log(mix), starts)
+        return pi, np.add.reduceat(np.log(mix) * count, starts)
 
-    strongest = np.argsort(-em(ratio, words)[0], axis=1, kind="stable")
+    strongest = np.argsort(-em(ratio, rows, count, words)[0], axis=1, kind="stable")
     best, chosen, members = np.full(n, -np.inf), np.zeros((n, k)), np.zeros(n, np.int64)
     cost = p.penalty * np.log(words + 1.0)
     for m in range(1, k + 1):
@@ -178,8 +213,8 @@ def sets(like: np.ndarray, words: np.ndarray, p: Languages) -> tuple[np.ndarray,
         if not len(open_):
             break
         cols = np.sort(strongest[open_, :m], axis=1)
-        some = np.repeat(best < -(m - 1) * cost, words)
-        pi, ll = em(np.take_along_axis(ratio[some], np.repeat(cols, words[open_], axis=0), axis=1), words[open_])
+        some = np.repeat(best < -(m - 1) * cost, rows)
+        pi, ll = em(np.take_along_axis(ratio[some], np.repeat(cols, rows[open_], axis=0), axis=1), rows[open_], count[some], words[open_])
         value = ll - (m - 1) * cost[open_]
         better = value > best[open_]
         at = open_[better]

@@ -4,9 +4,15 @@ Labelled page outcomes are counted per host, registered domain and public
 suffix.  Each level's bad rate is shrunk towards its parent's by a
 beta-binomial prior whose strength is fitted to that level by moments; a page
 without a rule is blocked when the lower bound of its host's posterior bad rate
-passes a threshold.  Everything is DataFrame expressions: one aggregation by
-host (partial sums first, so a host with a third of all pages costs one row per
-task), then ever smaller aggregations over hosts, domains and suffixes.
+reaches a threshold.  The bound is the posterior mean less ``z`` posterior
+deviations, the normal approximation of the Beta's quantile.  Everything is
+DataFrame expressions: one aggregation by host (partial sums first, so a host
+with a third of all pages costs one row per task), then ever smaller
+aggregations over hosts, domains and suffixes.
+
+The public suffix of a host is its last label, or its last two where a generic
+label stands before a country code (co.uk, com.mx, gov.in).  ``suffix_rules``
+reads a list in the usual format of public suffix lists instead.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits
 no rule, and gets the corpus-wide rate's verdict; empty tables give no rows;
@@ -15,7 +21,7 @@ columns beyond ``page_id`` and ``url`` are ignored; repeated rows are judged ali
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +44,8 @@ RULES = (
 class Reputation:
     """Parameters of the method."""
 
-    two_label_suffixes: tuple[str, ...] = field(default=("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in"))
+    second_level: tuple[str, ...] = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gub", "mil", "ne", "net", "nic", "nom", "or", "org", "sch")  # generic labels before a country code
+    rules_broadcast: int = 100_000  # rules of a suffix list that are sent to all tasks
     prior_bad: float = 1.0  # Beta prior of the corpus-wide bad rate
     prior_good: float = 1.0
     strength_least: float = 1.0  # limits of a level's fitted prior strength
@@ -67,7 +74,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def suffix_of(host: Column, p: Reputation) -> Column:
     last_two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(last_two.isin(*p.two_label_suffixes), last_two).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
+    return F.when(last_two.rlike(rf"^(?:{'|'.join(p.second_level)})\.[a-z]{{2}}$"), last_two).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
+
+
+def suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """rule, kind (plain, wild or exception) of a public suffix list: a rule a line, ``//`` before remarks, ``*.`` and ``!`` before a rule."""
+    line = F.lower(F.regexp_extract("value", r"^\s*(\S*)", 1))
+    rows = spark.read.text(path).select(line.alias("r")).where("r <> '' and not startswith(r, '//')")
+    kind = F.when(F.col("r").startswith("!"), "exception").when(F.col("r").startswith("*."), "wild").otherwise("plain")
+    return rows.select(F.regexp_replace("r", r"^(!|\*\.)", "").alias("rule"), kind.alias("kind")).distinct()
+
+
+def with_suffix(hosts: DataFrame, rules: DataFrame, p: Reputation) -> DataFrame:
+    """``hosts(host, ...)`` with suffix by ``rules``: an exception's parent, else the longest rule that fits, else the last label."""
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    known = F.broadcast(rules) if rules.count() <= p.rules_broadcast else rules
+    parent = lambda c: F.regexp_replace(c, r"^[^.]*\.", "")
+    at = hosts.select("host", F.explode(ends).alias("end"))
+    plain = at.join(known.where("kind = 'plain'").select(F.col("rule").alias("end")), "end").select("host", F.lit(False).alias("x"), F.col("end").alias("s"))
+    wild = at.where(F.col("end").contains(".")).withColumn("rule", parent("end")).join(known.where("kind = 'wild'").select("rule"), "rule").select("host", F.lit(False).alias("x"), F.col("end").alias("s"))
+    odd = at.join(known.where("kind = 'exception'").select(F.col("rule").alias("end")), "end").select("host", F.lit(True).alias("x"), parent("end").alias("s"))
+    best = plain.union(wild).union(odd).groupBy("host").agg(F.max(F.struct("x", F.length("s").alias("n"), "s")).alias("b")).select("host", F.col("b.s").alias("_s"))
+    return hosts.join(best, "host", "left").withColumn("suffix", F.coalesce("_s", F.regexp_extract("host", r"([^.]*)$", 1))).drop("_s")
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -104,16 +133,13 @@ def _shrunk(level: DataFrame, keys: list[str], parent: str, p: Reputation) -> Da
     )
 
 
-def reputation(outcomes: DataFrame, p: Reputation = Reputation()) -> DataFrame:
-    """Host reputations from ``outcomes(host, bad)``; ``bad`` is 1, 0 or null (no outcome).
+def reputation(outcomes: DataFrame, p: Reputation = Reputation(), rules: DataFrame | None = None) -> DataFrame:
+    """Host reputations from ``outcomes(host, bad)``; ``bad`` is 1, 0 or null (no outcome).  ``rules`` are those of a suffix list.
 
     Returns host, domain, suffix, n, bad, mean and bound, one row per distinct host."""
-    hosts = (
-        outcomes.groupBy("host")
-        .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumn("suffix", suffix_of(F.col("host"), p))
-        .withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
-    )
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), p)) if rules is None else with_suffix(hosts, rules, p)
+    hosts = hosts.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
     total = hosts.agg(
         ((F.coalesce(F.sum("bad"), F.lit(0)) + p.prior_bad) / (F.coalesce(F.sum("n"), F.lit(0)) + p.prior_bad + p.prior_good)).alias("parent")
     )
@@ -128,12 +154,12 @@ def reputation(outcomes: DataFrame, p: Reputation = Reputation()) -> DataFrame:
     return out.withColumn("bound", F.col("mean") - p.z * deviation)
 
 
-def filter_urls(pages: DataFrame, rules=RULES, p: Reputation = Reputation()) -> DataFrame:
-    """Judge ``pages(page_id, url)``; outcomes are the verdicts of the rules."""
+def filter_urls(pages: DataFrame, rules=RULES, p: Reputation = Reputation(), suffixes: DataFrame | None = None) -> DataFrame:
+    """Judge ``pages(page_id, url)``; outcomes are the verdicts of the rules, ``suffixes`` the rules of a suffix list."""
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = judged.withColumn("rule", text).withColumn("_ruled", verdict)
-    known = reputation(judged.select("host", F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0).alias("bad")), p)
+    known = reputation(judged.select("host", F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0).alias("bad")), p, suffixes)
     return judged.join(known.select("host", "bound", "mean"), "host", "left").select(
         "page_id",
         "host",
@@ -177,7 +203,7 @@ labelled AS (
   SELECT *, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM ruled),
 counted AS (
   SELECT host, count(said) AS n, coalesce(sum((said = 'block')::INT), 0) AS bad,
-    CASE WHEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in')
+    CASE WHEN regexp_full_match(regexp_extract(host, '([^.]+\\.[^.]+)$', 1), '(?:{'|'.join(Reputation.second_level)})\\.[a-z]{{2}}')
       THEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix
   FROM labelled GROUP BY host),
 hosts AS (

@@ -1,6 +1,8 @@
 import re
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from foliant.llm import op10_mixture as op
@@ -94,3 +96,78 @@ def test_small_tables(spark, rows):
     got = op.mix_documents(docs).collect()
     assert len(got) == len(rows) and all(r["taken"] == 0 for r in got)
     assert op.mixed_documents(docs).count() == 0
+
+
+def hashed(*values, seed=42):
+    """Spark's xxhash64 of strings and whole numbers: each one's hash is the seed of the next."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v.to_bytes(8 if isinstance(v, Long) else 4, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+class Long(int):
+    """A number of eight bytes; plain ones have four."""
+
+
+def shuffled(pos, n, key, m):
+    for r in range(m.rounds):
+        k = hashed(m.seed, "key", r, *key) % n
+        other = (k - pos) % n
+        if hashed(m.seed, "coin", r, *key, Long(max(pos, other))) & 1:
+            pos = other
+    return pos
+
+
+def test_permutation_against_python(spark):
+    m = op.Mixture()
+    for n in (5, 64, 101):
+        got = spark.range(n).select("id", op.permuted(F.col("id"), F.lit(n).cast("long"), (F.lit(3).cast("long"), F.lit(1).cast("long")), m).alias("x")).collect()
+        assert all(r["x"] == shuffled(r["id"], n, (Long(3), Long(1)), m) for r in got)
+
+
+@pytest.mark.parametrize("m", [op.Mixture(block_words=16, shard_slots=8, bucket_words=64, group_shards=3), op.Mixture(block_words=7, shard_slots=4, bucket_words=32, task_slots=2)])
+def test_taken_words_against_python(spark, m):
+    """Streams, slots and blocks laid out again from sizes, counts and the permutation: the same words of every document."""
+    rows = [(i, i, "abc"[i % 3], (i * 7) % 40) for i in range(60)]
+    sized = spark.createDataFrame(rows, "rid long, doc_id long, source string, size long")
+    placed, ranges = op.mix(spark, sized, m)
+    q = {r["rank"]: r for r in op.quotas(op.targets(sized, m), m).collect()}
+    counts = op.shard_counts(spark, op.quotas(op.targets(sized, m), m), m).collect()
+    streams = {}
+    for r in placed.collect():
+        streams.setdefault(r["rank"], []).append((r["offset"], r["size"], r["rid"]))
+    want = Counter()
+    for rank, docs in streams.items():
+        at = 0
+        for offset, size, _ in sorted(docs):  # end to end, without gaps
+            assert offset == at
+            at += size
+        words = [rid for _, size, rid in sorted(docs) for _ in range(size)]
+        source, b = q[rank], m.block_words
+        slots = sorted((s, r["shard"]) for r in counts if r["rank"] == rank for s in range(r["first"], r["first"] + r["count"]))
+        assert [s for s, _ in slots] == list(range(source["slots"]))
+        left = source["words"]
+        for slot in range(source["slots"]):
+            turn, pos = divmod(slot, source["blocks"])
+            short = source["blocks"] - 1
+            block = shuffled(pos, short, (Long(rank), Long(turn)), m) if pos < short else short
+            mine = words[block * b : (block + 1) * b][:left] if slot == source["slots"] - 1 and source["rest"] else words[block * b : (block + 1) * b]
+            left -= len(mine)
+            want.update(mine)
+        assert left == 0
+    got = Counter()
+    for r in ranges.collect():
+        got[r["rid"]] += r["upto"] - r["from"]
+    assert got == want
+
+
+def test_a_null_and_a_source_that_change_places(spark):
+    """Rows that hash alike where nulls are skipped keep their own texts; very long texts and repeats are mixed too."""
+    rows = [(7, "alpha beta", None, "s"), (7, "alpha beta", "s", None), (7, None, "alpha beta", "s")] + [(9, prose(5, 60_000), "en", "s")] + [(8, prose(1, 30), "en", "t")] * 4
+    docs = documents(spark, rows)
+    out = op.mixed_documents(docs, op.Mixture(block_words=64))
+    got = Counter((r["doc_id"], r["lang"], r["source"]) for r in out.collect())
+    assert set(got) <= {(r[0], r[2], r[3]) for r in rows if r[1]} and out.where("text is null").count() == 0
+    sizes = op.mix_documents(docs, op.Mixture(block_words=64)).collect()
+    assert len(sizes) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in sizes)

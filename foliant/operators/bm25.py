@@ -1,8 +1,9 @@
 """A relational inverted index with BM25 ranking for sets of queries.
 
-The index is three tables and two numbers: postings (doc, term, tf, length),
-document frequencies, and the corpus totals.  All are sums, so an index grows by
-adding another one's rows (``merge``).  Queries come as a table; only the postings
+The index is three tables: postings (doc, term, tf, length), document
+frequencies, and the corpus totals.  All are sums, so an index grows by adding
+another one's rows (``merge``).  ``kept`` makes a table's index once and reads it
+from then on.  Queries come as a table; only the postings
 of their terms are touched.  The constant that BM25+ adds per query term cannot
 change a ranking and is left out.
 """
@@ -11,35 +12,69 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
+from foliant.sources.scratch import once, version
 
 K1, B = 1.5, 0.75
 #: Rows of query terms that are sent to every task; with more, terms and postings are shuffled to each other.
 BROADCAST_TERMS = 500_000
 
 
+#: Folders of a saved index.
+BUCKETS = 64
+
+
+def bucket_of(term: str) -> Column:
+    return F.pmod(F.hash(term), F.lit(BUCKETS))
+
+
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # doc_id, term, tf, length
+    postings: DataFrame  # doc_id, term, tf, length; and bucket, where it is read from folders by bucket
     totals: DataFrame  # one row or more: documents, tokens
+    frequencies: DataFrame | None = None  # one row or more of a term: term, df; made of the postings where missing
 
     def merge(self, other: Index) -> Index:
         """Both corpora together, as if indexed at once; their documents must differ."""
-        return Index(self.postings.unionByName(other.postings), self.totals.unionByName(other.totals))
+        columns = ("doc_id", "term", "tf", "length")
+        both = self.frequencies.select("term", "df").unionByName(other.frequencies.select("term", "df")) if self.frequencies is not None and other.frequencies is not None else None
+        return Index(self.postings.select(*columns).unionByName(other.postings.select(*columns)), self.totals.unionByName(other.totals), both)
 
     def save(self, path: str) -> None:
-        """Postings by hash of the term, so that a set of terms reads few files."""
-        split = self.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(64)))
-        split.repartition(64, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        """Postings and frequencies by hash of the term, so that a set of terms reads few folders."""
+        split = self.postings.withColumn("bucket", bucket_of("term")).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term")
+        split.write.partitionBy("bucket").parquet(f"{path}/postings")
+        saved = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        saved.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(f"{path}/frequencies")
         self.totals.write.parquet(f"{path}/totals")
 
     @staticmethod
-    def load(spark, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings").drop("bucket", "batch"), spark.read.parquet(f"{path}/totals").drop("batch"))
+    def load(spark: SparkSession, path: str) -> Index:
+        read = lambda name: spark.read.parquet(f"{path}/{name}").drop("batch")
+        return Index(read("postings"), read("totals"), read("frequencies"))
+
+    def of_terms(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings of ``terms(term)``, distinct, and term, df of each; of a saved index the folders of these terms are read, no others."""
+        postings, frequencies = self.postings, self.frequencies
+        if "bucket" in postings.columns:
+            picked = [r["b"] for r in terms.select(bucket_of("term").alias("b")).distinct().collect()]  # at most BUCKETS numbers
+            postings = postings.where(F.col("bucket").isin(picked)).drop("bucket")
+            frequencies = frequencies.where(F.col("bucket").isin(picked))
+        wanted = postings.join(terms, "term", "left_semi")
+        if frequencies is None:
+            return wanted, wanted.groupBy("term").agg(F.count("*").alias("df"))
+        return wanted, frequencies.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def kept(spark: SparkSession, path: str, shared: str, key: str = "doc_id", text: str = "text") -> Index:
+    """The saved index of the table at ``path``: made once for each state of its files, below the folder ``shared``."""
+    where = f"{shared}/bm25-{version(spark, path, key, text)}"
+    once(spark, where, lambda to: build(spark.read.parquet(path), key, text).save(to))
+    return Index.load(spark, where)
 
 
 def build(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
@@ -60,15 +95,16 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -
 
 def score(index: Index, terms: DataFrame) -> DataFrame:
     """query_id, doc_id, score of every document that shares a term, rounded so that ties are ties."""
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    distinct = terms.select("term").distinct()
+    wanted, df = index.of_terms(F.broadcast(distinct) if few else distinct)
     totals = index.totals.agg(F.sum("documents").alias("n"), F.sum("tokens").alias("tokens"))
     n = totals.select(F.col("n").cast("double")).scalar()
     mean = totals.select(F.col("tokens") / F.col("n")).scalar()
     weight = F.log((n + 1) / F.col("df")) * F.col("qtf")
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     weighted = terms.join(df, "term")
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    if few:
         # Postings meet the terms where their document's scores are summed: one shuffle of postings, none of pairs.
         wanted, weighted = wanted.repartition("doc_id"), F.broadcast(weighted)
     hits = wanted.join(weighted, "term")
@@ -81,9 +117,9 @@ def top_k(scores: DataFrame, k: int, *ties: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank.  ``scope`` (doc_id) restricts after scoring: term weights stay the corpus's."""
-    found = score(build(documents), query_terms(queries))
+def search(corpus: DataFrame | Index, queries: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank of an index or of documents.  ``scope`` (doc_id) restricts after scoring: term weights stay the corpus's."""
+    found = score(corpus if isinstance(corpus, Index) else build(corpus), query_terms(queries))
     if scope is not None:
         found = found.join(scope, "doc_id", "left_semi")
     return top_k(found, k)
@@ -97,7 +133,9 @@ def index_stream(documents: DataFrame, path: str, checkpoint: str):
 
     def add(batch: DataFrame, number: int) -> None:
         index = build(batch)
-        rows = index.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(64))).withColumn("batch", F.lit(number))
+        rows = index.postings.withColumn("bucket", bucket_of("term")).withColumn("batch", F.lit(number))
+        frequencies = rows.groupBy("batch", "bucket", "term").agg(F.count("*").alias("df"))
+        frequencies.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{path}/frequencies")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{path}/postings")
         totals = index.totals.withColumn("batch", F.lit(number))
         totals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/totals")

@@ -12,11 +12,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
 from foliant.operators.bm25 import top_k
+from foliant.sources.scratch import once, version
 
 #: Query vectors sent out at a time.
 QUERY_BLOCK = 4096
@@ -86,6 +87,13 @@ def embed(documents: DataFrame, key: str, text: str = "text", dimensions: int =
     return held.select(key, at.alias("vector"))
 
 
+def kept(spark: SparkSession, path: str, shared: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and vector of the table at ``path``, made once for each state of its files, below the folder ``shared``."""
+    where = f"{shared}/vectors-{version(spark, path, key, text)}"
+    once(spark, where, lambda to: embed(spark.read.parquet(path), key, text).write.parquet(to))
+    return spark.read.parquet(where)
+
+
 #: Fixed value: what stands before a question that is embedded, for models that expect it.
 INSTRUCTION = "Represent this sentence for searching relevant passages: "
 

@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from foliant.functions.text import citations, claims, cosine, metric_tokens, softmax, squash, tokens
+from foliant.operators.bm25 import Index, build
 from foliant.operators.fusion import f1
 
 UNGROUNDED = 0.3
 
 
-def containment(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, doc_id: documents that hold an item's text verbatim.
+def containment(documents: DataFrame, items: DataFrame, index: Index | None = None) -> DataFrame:
+    """query_id, doc_id: documents that hold an item's text verbatim; ``index`` is theirs, if there is one.
 
     Candidates come from the item's rarest inner token (one equal-key join), so no
     pair without a shared token is looked at.  Items of fewer than three tokens
     have no inner token; their patterns go over every text in blocks of ``SHORT_ITEMS``."""
     short = F.size(_inner("text")) == 0
-    return _by_token(documents, items.where(~short)).unionByName(_by_scan(documents, items.where(short & (F.col("text") != ""))))
+    return _by_token(documents, items.where(~short), index).unionByName(_by_scan(documents, items.where(short & (F.col("text") != ""))))
 
 
 #: Items without an inner token that one pass over the texts looks for.
@@ -40,11 +41,9 @@ def _by_scan(documents: DataFrame, items: DataFrame) -> DataFrame:
     return held.select("doc_id", F.explode(hit).alias("_i")).select("_i.query_id", "doc_id")
 
 
-def _by_token(documents: DataFrame, items: DataFrame) -> DataFrame:
+def _by_token(documents: DataFrame, items: DataFrame, index: Index | None) -> DataFrame:
     terms = items.select("query_id", F.explode(F.array_distinct(_inner("text"))).alias("term"))
-    posted = documents.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    posted = posted.join(terms.select("term").distinct(), "term", "left_semi")
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    posted, df = (index or build(documents)).of_terms(terms.select("term").distinct())
     rare = terms.join(df, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("t")).select("query_id", F.col("t.term").alias("term"))
     pairs = rare.join(posted, "term").select("query_id", "doc_id")
     found = pairs.join(items.select("query_id", F.col("text").alias("_item")), "query_id").join(documents.select("doc_id", "text"), "doc_id")

@@ -56,7 +56,7 @@ def raw_query_fallback(spark, d):
     """Rewritten questions of which every third means nothing; those are asked as they were."""
     raw = R.items(spark, d)
     made = raw.withColumn("text", F.when(F.col("query_id") % 3 == 0, "zzqx qqzz").otherwise(F.col("text")))
-    found = lambda q: R.ranked(bm25.search(docs(spark, d), q, 3))
+    found = lambda q: R.ranked(bm25.search(R.index(spark, d), q, 3))
     return A.fallback(found(made), found(raw))
 
 

@@ -20,7 +20,7 @@ def docs(spark, d):
 
 
 def metrics(spark, d):
-    return E.ranking(bm25.search(docs(spark, d), R.items(spark, d)), E.containment(docs(spark, d), R.items(spark, d)))
+    return E.ranking(bm25.search(R.index(spark, d), R.items(spark, d)), E.containment(docs(spark, d), R.items(spark, d), R.index(spark, d)))
 
 
 def _metric(name):
@@ -35,7 +35,7 @@ METRICS = ("hit_at_k", "precision_at_k", "recall_at_k", "mrr_at_k", "ndcg_at_k",
 
 
 def gold_pairs(spark, d):
-    return E.containment(docs(spark, d), R.items(spark, d))
+    return E.containment(docs(spark, d), R.items(spark, d), R.index(spark, d))
 
 
 def retrieval_gap(spark, d):
@@ -48,7 +48,7 @@ def retrieval_gap(spark, d):
 
 def context_recall(spark, d):
     """First and last words of an item, and a phrase that no text has, as points; the five best documents as context."""
-    found = bm25.search(docs(spark, d), R.items(spark, d), 5).join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    found = bm25.search(R.index(spark, d), R.items(spark, d), 5).join(docs(spark, d).select("doc_id", "text"), "doc_id")
     context = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x")).select("query_id", F.array_join(F.transform("x", lambda v: v["text"]), "\n").alias("context"))
     words = F.split("text", " ")
     points = F.array(F.array_join(F.slice(words, 1, 4), "  "), F.array_join(F.slice(F.reverse(words), 1, 3), " "), F.lit("no such phrase"), F.lit(""))
@@ -90,7 +90,7 @@ def groundedness(spark, d):
 
 def _cited(spark, d):
     """Answers that cite ranks 1, 3 and 9 of their question; what was retrieved is the first five."""
-    found = bm25.search(docs(spark, d), R.items(spark, d), 10).join(docs(spark, d).select("doc_id", "source"), "doc_id")
+    found = bm25.search(R.index(spark, d), R.items(spark, d), 10).join(docs(spark, d).select("doc_id", "source"), "doc_id")
     cite = F.concat(F.lit("(files/"), F.upper("source"), F.lit(".txt, p."), F.col("doc_id").cast("string"), F.lit(")"))
     said = found.where("rank in (1, 3, 9)").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", cite.alias("c")))).alias("x"))
     said = said.select("query_id", F.array_join(F.transform("x", lambda v: v["c"]), " and ").alias("answer"))

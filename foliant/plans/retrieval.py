@@ -6,9 +6,19 @@ from pyspark.sql import functions as F
 
 from foliant.operators import bm25, dense, fusion
 from foliant.plans.text import mtok, tok, typed
+from foliant.sources.scratch import folder
 from foliant.sources.tables import table
 
 
+def index(spark, d):
+    """The saved index of the documents, made by the first query that needs it."""
+    return bm25.kept(spark, f"{d}/documents.parquet", folder(spark))
+
+
+def vectors(spark, d):
+    return dense.kept(spark, f"{d}/documents.parquet", folder(spark))
+
+
 def items(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -25,12 +35,12 @@ def bm25_stats(spark, d):
 
 
 def bm25_topk(spark, d):
-    return ranked(bm25.search(table(spark, d, "documents"), items(spark, d)))
+    return ranked(bm25.search(index(spark, d), items(spark, d)))
 
 
 def bm25_scoped(spark, d):
     documents = table(spark, d, "documents")
-    return ranked(bm25.search(documents, items(spark, d), scope=documents.where("source = 'src1'").select("doc_id")))
+    return ranked(bm25.search(index(spark, d), items(spark, d), scope=documents.where("source = 'src1'").select("doc_id")))
 
 
 def bm25_incremental(spark, d):
@@ -58,12 +68,11 @@ def dense_floor(spark, d):
 
 
 def _dense_text(spark, d):
-    corpus = dense.embed(table(spark, d, "documents"), "doc_id")
-    return dense.nearest(corpus, dense.embed(items(spark, d), "query_id"), exclude_self=False)
+    return dense.nearest(vectors(spark, d), dense.embed(items(spark, d), "query_id"), exclude_self=False)
 
 
 def hybrid(spark, d):
-    return fusion.rrf([(_dense_text(spark, d), 0.5), (bm25.search(table(spark, d, "documents"), items(spark, d)), 0.5)])
+    return fusion.rrf([(_dense_text(spark, d), 0.5), (bm25.search(index(spark, d), items(spark, d)), 0.5)])
 
 
 def embed_text(spark, d):
@@ -93,24 +102,24 @@ def multi_query_fuse(spark, d):
     )
     flat = variants.select((F.col("query_id") * 3 + F.col("variant")).alias("query_id"), "text")
     documents = table(spark, d, "documents")
-    sparse = bm25.search(documents, flat)
-    near = dense.nearest(dense.embed(documents, "doc_id"), dense.embed(flat, "query_id"), exclude_self=False)
+    sparse = bm25.search(index(spark, d), flat)
+    near = dense.nearest(vectors(spark, d), dense.embed(flat, "query_id"), exclude_self=False)
     each = fusion.rrf([(near, 0.5), (sparse, 0.5)])
     split = lambda v: each.where(F.pmod("query_id", F.lit(3)) == v).withColumn("query_id", F.expr("query_id div 3"))
     return ranked(fusion.rrf([(split(v), 1.0) for v in range(3)], most=20))
 
 
 def rerank_topk(spark, d):
-    return fusion.rerank(bm25.search(table(spark, d, "documents"), items(spark, d)), items(spark, d), table(spark, d, "documents"))
+    return fusion.rerank(bm25.search(index(spark, d), items(spark, d)), items(spark, d), table(spark, d, "documents"))
 
 
 def rerank_floor(spark, d):
-    return fusion.rerank(bm25.search(table(spark, d, "documents"), items(spark, d)), items(spark, d), table(spark, d, "documents"), floor=0.2)
+    return fusion.rerank(bm25.search(index(spark, d), items(spark, d)), items(spark, d), table(spark, d, "documents"), floor=0.2)
 
 
 def context_budget(spark, d):
     documents = table(spark, d, "documents")
-    found = bm25.search(documents, items(spark, d)).join(documents.select("doc_id", F.length("text").alias("_n")), "doc_id")
+    found = bm25.search(index(spark, d), items(spark, d)).join(documents.select("doc_id", F.length("text").alias("_n")), "doc_id")
     return fusion.within_budget(found, F.col("_n")).select("query_id", "doc_id", "rank", "used")
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is named (tests)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where none is named and all runs in one process (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -22,3 +27,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/foliant/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def version(spark: SparkSession, path: str, *more: str) -> str:
+    """A name for the state of the files of a table at ``path``: their names, lengths and times."""
+    at, system = _files(spark, path)
+    found = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(at)]
+    return hashlib.sha256(repr((sorted(found), more)).encode()).hexdigest()[:32]
+
+
+def once(spark: SparkSession, path: str, make: Callable[[str], None]) -> None:
+    """Have ``make`` write ``path`` if it isn't there: beside it first, then moved, so that no reader sees a part."""
+    at, system = _files(spark, path)
+    if system.exists(at):
+        return
+    beside = f"{path}-{uuid.uuid4().hex}"
+    make(beside)
+    made, _ = _files(spark, beside)
+    if system.exists(at) or not system.rename(made, at):  # another one was faster
+        system.delete(made, True)

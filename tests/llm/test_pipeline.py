@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import corpus_pipeline as pipeline
 from foliant.llm import queries
@@ -51,3 +52,54 @@ def test_run_is_registered_over_whole_tables(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     documents(spark, corpus()).where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    """Null and repeated ids, equal rows, a null and a text that change places, very long texts, columns with the operators' own names."""
+    twin = prose(321, 90)
+    near = [(None, edited(prose(654, 150), 0.004 * i, i), "en", None) for i in range(4)]
+    rows = corpus() + [(1000 + (r[0] or 0) if r[0] is not None else None, *r[1:]) for r in odd_rows()] + [(7, twin, None, "s"), (7, None, twin, "s"), (7, twin, None, "s"), (None, twin + " tail", None, None)] + near
+    docs = documents(spark, rows, extra=True)
+    columns, before = docs.columns, None
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "packing":
+            break
+        assert docs.columns == columns and docs.where("text is null").count() == 0
+        if name == "quality_rules":
+            want = Counter((r["doc_id"], r["text"], r["lang"]) for r in before.collect())
+            got = Counter((r["doc_id"], r["text"], r["lang"]) for r in docs.collect())
+            assert not got - want and got[(7, twin, None)] == 2 and (7, None, twin) not in got
+        if name == "near_dedup":
+            kept = [(r["doc_id"], r["text"]) for r in before.collect()]
+            groups = brute_groups([t for _, t in kept], 80, 5)
+            texts = [r["text"] for r in docs.collect()]
+            assert len(texts) == len(groups) and all(sum(t in {kept[i][1] for i in g} for t in texts) == 1 for g in groups)
+        if name == "secret_scan":
+            assert docs.count() == before.count()
+    assert docs.count() > 0
+
+
+def brute_groups(texts, percent, k):
+    """Classes of texts that are linked, by all pairs."""
+    sets, left = [shingles(t, k) for t in texts], list(range(len(texts)))
+    groups = []
+    while left:
+        group, edge = [left[0]], [left.pop(0)]
+        while edge:
+            i = edge.pop()
+            linked = [j for j in left if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+            left = [j for j in left if j not in linked]
+            group += linked
+            edge += linked
+        groups.append(group)
+    return groups
+
+
+def test_runs_do_not_take_each_other_s_tables(spark, tmp_path):
+    """Two results that are read late, after both runs."""
+    documents(spark, corpus()).write.parquet(f"{tmp_path}/documents.parquet")
+    one, two = pipeline.run(spark, str(tmp_path)), pipeline.run(spark, str(tmp_path))
+    assert sorted(map(tuple, one.select("doc_id", "start", "length", "ids_crc32").collect())) and one.count() == two.count()

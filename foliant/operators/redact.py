@@ -146,6 +146,17 @@ def scrub(text: str | None, threshold: float = THRESHOLD, persons: Persons = nam
     return "".join([*out, text[at:]])
 
 
+def matched(text: str | None) -> list[tuple[str, str]]:
+    """Entity and redacted part of every match of every pattern, before scores, checks and overlaps."""
+    return [(r.entity, m[r.group]) for r, pattern in _COMPILED for m in pattern.finditer(text or "") if m[r.group]]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("entity", StringType()), StructField("part", StringType())])))
+def candidates(s: pd.Series) -> pd.Series:
+    """What the patterns alone find in every text, in the order of the table of patterns."""
+    return s.map(lambda t: [{"entity": e, "part": p} for e, p in matched(t)])
+
+
 #: Only texts with a digit, an at sign or one of these words can hold anything that the default recognisers find.
 _HINTS = (
     "mrs?", "ms", "dr", "shri", "smt", "prof", "[sdwc]/o", "streets?", "roads?", "lanes?", "avenues?", "colony", "nagar", "sector", "villas?", "towers?", "apartments?", "locality", "estate", "bhawan", "society",

@@ -171,6 +171,18 @@ e AS (SELECT a.url AS src, b.url AS dst FROM pages a JOIN pages b ON b.page_id =
   UNION SELECT url, link FROM links)"""
 
 
+def _visible(html: str) -> str:
+    """Comments and hidden elements out, a line for each block, other tags out, references of the tables' pages resolved."""
+    t = f"regexp_replace({html}, '(?is)<!--.*?-->|<![^>]*>', '', 'g')"
+    for tag in sorted(web._Visible.SKIP):
+        t = rf"regexp_replace({t}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>', '', 'g')"
+    t = rf"regexp_replace({t}, '(?is)</?(?:{'|'.join(sorted(web._Visible.BLOCK))})(?:\s[^>]*)?/?>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '(?is)</?[a-z][^>]*>', '', 'g')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        t = f"replace({t}, '&{name};', '{char}')"
+    return t
+
+
 def _host(url: str) -> str:
     return f"lower(regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))"
 
@@ -179,7 +191,57 @@ def _path(url: str) -> str:
     return f"regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1)"
 
 
+def _chunk_ctes(size: int, overlap: int, target: int, words: bool = False, sentences: bool = False) -> str:
+    """The chunker as a tree of texts: cut level by level on the way down, joined level by level on the way up.
+
+    CTE chunks(doc_id, source, chunks): the joined pieces are folded one by one, with what is held and whether any of it is new."""
+    count = rf"(CASE WHEN {strip('@')} = '' THEN 0 ELSE len(string_split_regex({strip('@')}, '\s+')) END)"
+    measure = lambda x: count.replace("@", x) if words else f"length({x})"
+    joined = lambda x, sep: f"coalesce(list_sum(list_transform({x}, lambda z: {measure('z')})), 0) + {0 if words else len(sep)} * greatest(len({x}) - 1, 0)"
+    quoted = lambda sep: "'" + sep.replace("\n", "' || chr(10) || '") + "'"
+    levels = [(f"string_split(text, {quoted(sep)})", sep) for sep in C.SEPARATORS]
+    if sentences:
+        levels.insert(0, (r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))", " "))
+    out, keys = [f"n1 AS (SELECT doc_id, source, 1 AS k1, text FROM (SELECT doc_id, source, {strip('text')} AS text FROM documents) WHERE text <> '')"], ["doc_id", "source", "k1"]
+    for i, (split, _) in enumerate(levels, 1):
+        out.append(f"p{i} AS (SELECT *, CASE WHEN {measure('text')} > {size} THEN list_filter({split}, lambda x: {strip('x')} <> '') END AS parts FROM n{i})")
+        out.append(f"n{i + 1} AS (SELECT {', '.join(keys)}, unnest(range(len(l))) AS k{i + 1}, unnest(l) AS text FROM (SELECT *, CASE WHEN len(parts) > 1 THEN parts ELSE [text] END AS l FROM p{i}))")
+        keys.append(f"k{i + 1}")
+    n = len(levels) + 1
+    windows = f"CASE WHEN {measure('text')} <= {size} THEN [text] ELSE list_transform(range(0, length(text), {size - overlap}), lambda i: substring(text, (i + 1)::BIGINT, {size})) END"
+    out.append(f"c{n} AS (SELECT {', '.join(keys)}, {windows} AS chunks FROM n{n})")
+    for i in range(len(levels), 0, -1):
+        last, sep = keys.pop(), levels[i - 1][1]
+        on = ", ".join(keys)
+        too_long = f"len(a.held) > 0 AND {joined('list_append(a.held, x.p)', sep)} > {size}"
+        shut = lambda held, sep=sep: f"list_append(a.out, array_to_string({held}, {quoted(sep)}))"
+        carry = lambda held, sep=sep: f"coalesce({held}[nullif(list_filter(range(len({held}) + 1), lambda k: {joined(f'{held}[(k + 1):]', sep)} <= {overlap})[1], 0) + 1:], [])"
+        fits = lambda held, sep=sep: f"{held}[list_filter(range(len({held}) + 1), lambda k: {joined(f'list_append({held}[(k + 1):], x.p)', sep)} <= {size} OR k = len({held}))[1] + 1:]"
+        # a: what stands before piece x; b: after closing where x is too much; then x is added, and the target may close again.
+        step = f"{{'p': x.p, 'out': CASE WHEN {too_long} AND a.fresh > 0 THEN {shut('a.held')} ELSE a.out END, 'held': CASE WHEN {too_long} AND a.fresh > 0 THEN {carry('a.held')} ELSE a.held END, 'fresh': CASE WHEN {too_long} THEN 0 ELSE a.fresh END}}"
+        add = f"{{'p': a.p, 'out': a.out, 'held': list_append(CASE WHEN {too_long} THEN {fits('a.held')} ELSE a.held END, x.p), 'fresh': a.fresh + 1}}"
+        done = f"{joined('a.held', sep)} >= {target}"
+        end = f"{{'p': a.p, 'out': CASE WHEN {done} THEN {shut('a.held')} ELSE a.out END, 'held': CASE WHEN {done} THEN {carry('a.held')} ELSE a.held END, 'fresh': CASE WHEN {done} THEN 0 ELSE a.fresh END}}"
+        phases = [("step", step), ("add", add)] + ([("end", end)] if target < size else [])
+        # Each piece stands once for each phase, in order.
+        items = "flatten(list_transform(pieces, lambda p: [" + ", ".join(f"{{'ph': '{name}', 'p': p, 'out': []::VARCHAR[], 'held': []::VARCHAR[], 'fresh': 0}}" for name, _ in phases) + "]))"
+        with_phase = lambda body: body.replace("{'p':", "{'ph': x.ph, 'p':", 1)
+        fold = "CASE x.ph " + " ".join(f"WHEN '{name}' THEN {with_phase(body)}" for name, body in phases) + " END"
+        start = "{'ph': '', 'p': '', 'out': []::VARCHAR[], 'held': []::VARCHAR[], 'fresh': 0}"
+        out.append(f"g{i} AS (SELECT {on}, flatten(list(chunks ORDER BY {last})) AS pieces, count(*) AS n FROM c{i + 1} GROUP BY {on})")
+        out.append(f"f{i} AS (SELECT {on}, n, pieces, CASE WHEN n > 1 THEN list_reduce(list_prepend({start}, {items}), lambda a, x: {fold}) END AS r FROM g{i})")
+        out.append(f"c{i} AS (SELECT {on}, CASE WHEN n = 1 THEN pieces WHEN len(r.held) > 0 AND r.fresh > 0 THEN list_append(r.out, array_to_string(r.held, {quoted(sep)})) ELSE r.out END AS chunks FROM f{i})")
+    return ", ".join(out)
+
+
+_CHUNKS = f"""{_chunk_ctes(400, 80, 400)},
+chunks AS (SELECT source AS document_id, doc_id AS page_number, unnest(range(1, len(chunks) + 1))::INT AS chunk_number, unnest(chunks) AS content FROM c1)"""
+
 SQL = {
+    "chunk_documents": f"WITH {_CHUNKS} SELECT document_id || '_p' || page_number || '_c' || chunk_number AS chunk_id, document_id, page_number, chunk_number, content FROM chunks",
+    "chunk_stats": f"WITH {_CHUNKS} SELECT document_id, count(*) AS chunks, round(avg(length(content)), 4) AS mean_chars, median(length(content))::DOUBLE AS median_chars, max(length(content))::INT AS max_chars FROM chunks GROUP BY document_id",
+    "chunk_sentences": f"""WITH {_chunk_ctes(120, 20, 90, words=True, sentences=True)}, chunks AS (SELECT source, doc_id, unnest(range(1, len(chunks) + 1)) AS n, unnest(chunks) AS content FROM c1)
+SELECT source || '_p' || doc_id || '_c' || n AS chunk_id, len(string_split_regex(content, '\\s+'))::INT AS words, md5(content) AS content_md5 FROM chunks""",
     "text_sections": f"SELECT doc_id, (unnest(range(len(s))))::INT AS n, md5(unnest(s)) AS section_md5 FROM (SELECT doc_id, {_S} AS s FROM documents)",
     "greedy_pages": f"""
 WITH RECURSIVE s AS (SELECT doc_id, {_S} AS s FROM documents),
@@ -213,6 +275,9 @@ WITH c AS (SELECT 'sheet' || s_suppkey % 3 AS sheet, (s_suppkey // 12)::INT AS r
 r AS (SELECT sheet, row AS t, col AS l FROM c WHERE col = 0 AND row % 3 = 0),
 o AS (SELECT r.sheet, r.t + i AS row, r.l + j AS col, k.value AS fill FROM r JOIN c k ON k.sheet = r.sheet AND k.row = r.t AND k.col = r.l, (VALUES (0), (1)) AS a(i), (VALUES (0), (1)) AS b(j))
 SELECT sheet, row, col, coalesce(nullif(c.value, ''), o.fill) AS value FROM c FULL JOIN o USING (sheet, row, col)""",
+    "html_main_text": rf"""
+WITH t AS (SELECT page_id, {_visible('html')} AS t FROM pages), l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip("regexp_replace(x, '[ " + chr(92) + "t]+', ' ', 'g')")}), lambda x: x <> '') AS l FROM t)
+SELECT page_id, array_to_string(l, chr(10)) AS content FROM l""",
     "html_title": rf"SELECT page_id, coalesce(nullif({strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, ''), url) AS title FROM pages",
     "html_links": f"WITH {_LINKS} SELECT page_id, n, link FROM links",
     "site_document_id": """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import redact as R
+from foliant.operators.recognizers import RECOGNIZERS
 from foliant.sources.tables import table
 
 
@@ -17,6 +18,22 @@ def pii_detect(spark, d):
     return s.select("doc_id", "s.entity", "s.start", "s.end", F.round("s.score", 4).alias("score"))
 
 
+#: A lead that puts a label before some of a document's words and numbers, so that every labelled pattern has something to find.
+LEADS = (
+    "A/c No. 30123456789", "loan account no: 12345678901 and loan # AB12CD34", "Mr. Ram Nath Sharma, s/o Gopal Das, H.No. 12-B, Rose Villa", "Gandhi Nagar, Delhi - 110001", "UPI id: ravi.k@okbank vpa: x.y1@upi pay to: shop.a@bank",
+    "cheque no. 123456 dated 2024, Policy No: LIC-998877", "PAN ABCDE1234F GSTIN 22ABCDE1234F1Z5 IFSC SBIN0001234", "voter ABC1234567 tan ABCD12345E dl MH12 20200012345 passport K1234567", "application no. APP-2024-77 customer number: CUST-0042",
+    "card 4111 1111 1111 1111 ssn 123-45-6789 iban GB82 WEST 1234 5698 7654 32", "call +91 98765 43210 or (022) 2345 6789", "savings account number is 9876-5432-1098, emi a/c 11112222333",
+)
+
+
+def pii_candidates(spark, d):
+    """Matches of every pattern in documents that begin with labelled values, by entity."""
+    lead = F.get(F.array(*map(F.lit, LEADS)), (F.col("doc_id") % len(LEADS)).cast("int"))
+    one = docs(spark, d).select("doc_id", F.concat(lead, F.lit(" ; "), F.col("doc_id").cast("string"), F.lit(" .\n"), "text").alias("t"))
+    found = one.select("doc_id", F.explode(R.candidates("t")).alias("x"))
+    return found.groupBy("doc_id", "x.entity").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("x.part")), "|")).alias("parts_md5"))
+
+
 def pii_scrub(spark, d):
     return docs(spark, d).select("doc_id", F.md5(R.redact("text")).alias("text_md5"))
 
@@ -63,7 +80,7 @@ def context_carry(spark, d):
     return c.select("conv_id", "turn", "carry")
 
 
-QUERIES = {f.__name__: f for f in (pii_detect, pii_scrub, pii_redact_regex, pii_counts, pii_leak_rate, span_shadowing, span_rebase, context_carry)}
+QUERIES = {f.__name__: f for f in (pii_detect, pii_candidates, pii_scrub, pii_redact_regex, pii_counts, pii_leak_rate, span_shadowing, span_rebase, context_carry)}
 
 
 def fixed_sql(t: str) -> str:
@@ -78,7 +95,20 @@ _LEAK = " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in R.LEAKS)
 _RULE = """s AS (SELECT doc_id, unnest([{'entity': 'PHONE_NUMBER', 'start': doc_id % 7, 'end': doc_id % 7 + 12}, {'entity': 'PAN_NUMBER', 'start': doc_id % 7 + 2, 'end': doc_id % 7 + 12},
   {'entity': 'CREDIT_CARD', 'start': doc_id % 7 + 20, 'end': doc_id % 7 + 30}, {'entity': 'IFSC_CODE', 'start': doc_id % 7 + 25, 'end': doc_id % 7 + 36}]) AS x FROM documents)"""
 
+def _candidates() -> str:
+    """Every pattern over the same texts; a look-behind becomes a character that is matched and left out."""
+    parts = []
+    for entity, pattern, _, _, group, _, _ in RECOGNIZERS:
+        if pattern.startswith("(?<![\\w.])"):
+            pattern, group = "(?:^|[^\\w.])(" + pattern.removeprefix("(?<![\\w.])") + ")", 1
+        parts.append(f"SELECT doc_id, '{entity}' AS entity, unnest(regexp_extract_all(t, '(?ism){pattern}', {group})) AS part FROM leads")
+    return " UNION ALL ".join(parts)
+
+
+_LEADS = f"leads AS (SELECT doc_id, ({list(LEADS)})[doc_id % {len(LEADS)} + 1] || ' ; ' || doc_id || ' .' || chr(10) || text AS t FROM documents)"
+
 SQL = {
+    "pii_candidates": f"WITH {_LEADS}, m AS ({_candidates()}) SELECT doc_id, entity, count(*) AS n, md5(string_agg(part, '|' ORDER BY part)) AS parts_md5 FROM m WHERE part <> '' GROUP BY doc_id, entity",
     "pii_redact_regex": f"SELECT doc_id, md5({fixed_sql('text')}) AS text_md5 FROM documents",
     "pii_counts": " UNION ALL ".join(
         f"SELECT '{e}' AS entity, sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS spans, count_if(regexp_matches(text, '{p}'))::BIGINT AS documents FROM documents" for e, p in R.FIXED

@@ -135,7 +135,7 @@ def choice_parse(spark, d):
     """Turns answered by a letter in a sentence, by a choice's whole text in other case, by a letter beyond the choices, or not at all."""
     letter = F.char((F.lit(65) + F.col("turn") % 5).cast("int"))
     choices = F.array("role", F.substring("text", 1, 12), F.lit("None of These"))
-    reply = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("The answer is "), letter, F.lit("."))).when(F.col("conv_id") % 4 == 1, F.upper(F.substring("text", 1, 12)))
+    reply = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("The answer is "), letter, F.lit("."))).when(F.col("conv_id") % 4 == 1, F.translate(F.substring("text", 1, 12), LETTERS, LETTERS.upper()))
     reply = reply.when(F.col("conv_id") % 4 == 2, F.concat(F.lit("("), letter, F.lit(")"))).otherwise(F.lit("none  of these"))
     return table(spark, d, "conversations").select("conv_id", "turn", T.choice(reply, choices).alias("choice"))
 
@@ -269,7 +269,7 @@ w AS (SELECT id, reverse(digits) AS s, 0 AS i, 0 AS c FROM v0 WHERE regexp_full_
   UNION ALL SELECT id, s, i + 1, {_MULT}[c * 10 + {_PERM}[(i % 8) * 10 + s[i + 1]::INT + 1] + 1] FROM w WHERE i < length(s))
 SELECT v0.id AS doc_id, coalesce(w.c = 0, FALSE) AS valid FROM v0 LEFT JOIN w ON w.id = v0.id AND w.i = length(w.s)""",
     "choice_parse": rf"""
-WITH r AS (SELECT conv_id, turn, [role, substring(text, 1, 12), 'None of These'] AS choices, CASE conv_id % 4 WHEN 0 THEN 'The answer is ' || chr((65 + turn % 5)::INT) || '.' WHEN 1 THEN upper(substring(text, 1, 12))
+WITH r AS (SELECT conv_id, turn, [role, substring(text, 1, 12), 'None of These'] AS choices, CASE conv_id % 4 WHEN 0 THEN 'The answer is ' || chr((65 + turn % 5)::INT) || '.' WHEN 1 THEN translate(substring(text, 1, 12), '{LETTERS}', '{LETTERS.upper()}')
   WHEN 2 THEN '(' || chr((65 + turn % 5)::INT) || ')' ELSE 'none  of these' END AS reply FROM conversations),
 a AS (SELECT conv_id, turn, reply, choices, regexp_extract(reply, '(?:^|[^A-Za-z])([A-Z])(?:[^A-Za-z]|$)', 1) AS l FROM r),
 b AS (SELECT conv_id, turn, choices, CASE WHEN l <> '' THEN ascii(l) - ascii('A') END AS pos, list_position(list_transform(choices, lambda x: {squash('x')}), {squash('reply')}) - 1 AS t FROM a)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a table for each core, up to which it is spread.
+SPREAD_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores.
+    """``df`` over as many partitions as cores, if it is a small table of few row groups that would keep most cores idle.
 
-    A table of few row groups would else keep most cores idle.  Larger tables,
-    which are the ones that a shuffle would cost, already have more and stay as they are."""
+    Small is less than ``SPREAD_BYTES`` a core: a larger table is never shuffled for this, however many the cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from foliant.operators.redact import find, scrub
 
 TAIL = 120
+BACK = 400  # characters of released text that stay in view
 
 
 class StableScrubber:
@@ -20,10 +21,12 @@ class StableScrubber:
 
     The last ``tail`` characters are held back.  A cut never falls inside a span
     or a word, and is taken only if the scrubbed prefix is a prefix of the
-    scrubbed whole."""
+    scrubbed whole.  Of what has been released the last ``back`` characters stay
+    in view, for labels and context; so what is kept and scanned for a delta does
+    not grow with the text."""
 
-    def __init__(self, raw: str = "", emitted: str = "", consumed: int = 0, tail: int = TAIL):
-        self.raw, self.emitted, self.consumed, self.tail = raw, emitted, consumed, tail
+    def __init__(self, raw: str = "", emitted: str = "", consumed: int = 0, tail: int = TAIL, back: int = BACK):
+        self.raw, self.emitted, self.consumed, self.tail, self.back = raw, emitted, consumed, tail, back
 
     def feed(self, delta: str) -> str:
         self.raw += delta
@@ -54,8 +57,20 @@ class StableScrubber:
     def _release(self, done: str, cut: int) -> str:
         out = done[len(self.emitted) :]
         self.emitted, self.consumed = done, cut
+        if self.consumed > 2 * self.back:
+            self._forget()
         return out
 
+    def _forget(self) -> None:
+        """Let go of released text before the last ``back`` characters, at a space outside of spans, if the rest is read alike without it."""
+        start = self.consumed - self.back
+        start = next((s for _, s, e, _ in find(self.raw) if s < start < e), start)
+        while start > 0 and not self.raw[start - 1].isspace():
+            start -= 1
+        rest = scrub(self.raw[start : self.consumed])
+        if start > 0 and self.emitted.endswith(rest):
+            self.raw, self.emitted, self.consumed = self.raw[start:], rest, self.consumed - start
+
 
 def scrub_stream(tokens: DataFrame, tail: int = TAIL) -> DataFrame:
     """Scrubbed deltas of a stream of ``tokens(answer_id, seq, delta, is_last)``: answer_id, seq, text."""

@@ -49,6 +49,18 @@ def test_stream_equals_whole(step):
     assert out and out + s.flush() == R.scrub(text)
 
 
+@pytest.mark.parametrize("step", [3, 40, 211])
+def test_long_streams_equal_the_whole_and_keep_little(step):
+    """Ten thousand characters with secrets all along: the same text, and a state that doesn't grow."""
+    some = [t for t, _, _ in HIDDEN]
+    text = " ".join(f"{some[i % len(some)]} and so on, line {i} of many words without any meaning;" + ("\n" if i % 3 == 0 else "") for i in range(120))
+    s, out, most = StableScrubber(), "", 0
+    for i in range(0, len(text), step):
+        out += s.feed(text[i : i + step])
+        most = max(most, len(s.raw))
+    assert out + s.flush() == R.scrub(text) and len(text) > 8000 and most < 2000
+
+
 def test_backoff(spark):
     got = spark.createDataFrame([(n,) for n in (0, 1, 2, 5, 6, 80)], "n int").select(backoff(F.col("n"), 60.0)).collect()
     assert [r[0] for r in got] == [0.0, 60.0, 120.0, 900.0, 900.0, 900.0]

@@ -45,7 +45,7 @@ class Tiles:
     """Parameters of the method."""
 
     threshold: float = 0.95
-    block: int = 2048  # vectors of a block
+    block: int = 8192  # vectors of a block
     tile: int = 512  # rows of a tile
     steps: tuple[int, ...] = (8, 16, 32)  # dimensions after which a tile may stop
     most_axes: int = 6  # leading dimensions with cells

@@ -157,12 +157,13 @@ def candidates(s: pd.Series) -> pd.Series:
     return s.map(lambda t: [{"entity": e, "part": p} for e, p in matched(t)])
 
 
-#: Only texts with a digit, an at sign or one of these words can hold anything that the default recognisers find.
+#: Only texts with a digit of any script, an at sign or one of these words, in any case that Unicode knows, can hold anything
+#: that the default recognisers find.  A character that Java doesn't know yet may be a digit.
 _HINTS = (
     "mrs?", "ms", "dr", "shri", "smt", "prof", "[sdwc]/o", "streets?", "roads?", "lanes?", "avenues?", "colony", "nagar", "sector", "villas?", "towers?", "apartments?", "locality", "estate", "bhawan", "society",
     "layout", "chawl", "marg", "loan", "policy", "lic", "licen[cs]e", "endowment", "motor", "insurance", "application", "applicant", "customer", "proposal", "reference", "ref", "enquiry", "lead", "file",
 )
-HINT = rf"(?i)[0-9@]|(?:^|[^a-z0-9_])(?:{'|'.join((*_HINTS, *NAME_CUES, *GIVEN_NAMES))})(?:$|[^a-z0-9_])"
+HINT = rf"(?iu)[\p{{Nd}}\p{{Cn}}@]|(?:^|[^a-z0-9_])(?:{'|'.join((*_HINTS, *NAME_CUES, *GIVEN_NAMES))})(?:$|[^a-z0-9_])"
 
 
 def may_hold(text: Column) -> Column:

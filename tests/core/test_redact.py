@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,32 @@ def test_long_streams_equal_the_whole_and_keep_little(step):
 def test_backoff(spark):
     got = spark.createDataFrame([(n,) for n in (0, 1, 2, 5, 6, 80)], "n int").select(backoff(F.col("n"), 60.0)).collect()
     assert [r[0] for r in got] == [0.0, 60.0, 120.0, 900.0, 900.0, 900.0]
+
+
+DIGITS = ("0123456789", "०१२३४५६७८९", "٠١٢٣٤٥٦٧٨٩", "０１２３４５６７８９", "".join(chr(0x11F50 + i) for i in range(10)))
+ODD_CASE = {"s": "ſS", "k": "KK", "i": "İıI"}
+
+
+@pytest.mark.parametrize("text", ["Account number: १२३४५६७८९०", "A/C no. ٠١٢٣٤٥٦٧٨٩", "ſreference no: ABCDEFG", "streetſ Green Lane"])
+def test_columns_hide_what_the_function_hides(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(R.redact("t").alias("a"), F.size(R.detect("t")).alias("n")).first()
+    assert got["a"] == R.scrub(text) and max(got["n"], 0) == len(R.find(text))
+
+
+def test_no_text_with_a_finding_is_passed_by(spark):
+    """Whatever is found, the hint is true: in every script's digits and every case that the patterns take."""
+    r = random.Random(3)
+
+    def odd(text):
+        digits = r.choice(DIGITS)
+        out = "".join(digits[int(c)] if c in DIGITS[0] and r.random() < 0.8 else c for c in text)
+        out = "".join(r.choice(ODD_CASE[c.lower()]) if c.lower() in ODD_CASE and r.random() < 0.2 else c.swapcase() if r.random() < 0.1 else c for c in out)
+        return r.choice(("", " ", "é", "ß ", "\n", "𞓳")) + out + r.choice(("", ".", "é", "क"))
+
+    plain = [t for t, _, _ in HIDDEN] + ["borrower: Ram Kumar Gupta", "I am Kiran Sinha", "s/o Hari Singh", "14 Green streets near", "reference no: ABCD123", "policy number: LICABCDE", "file no ABCDEFG", "Dear Lisa Smith", "licence no: ABCDEF"]
+    texts = [odd(r.choice(plain)) for _ in range(4000)] + plain
+    found = [i for i, t in enumerate(texts) if R.find(t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    passed = {row["i"] for row in df.where(~R.may_hold(F.col("t"))).collect()}
+    assert len(found) > 1000 and not passed & set(found)

@@ -103,3 +103,16 @@ def test_history_limits(spark):
     talk = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", f" t{i} ") for i in range(8)] + [(1, 9, "system", "x"), (1, 10, "user", "  ")], "conv_id long, turn long, role string, text string")
     assert [r["turn"] for r in D.history(talk, 3).orderBy("turn").collect()] == [5, 6, 7]
     assert D.history(talk, 0).count() == 0 and D.history(talk, -1).count() == 8
+
+
+def test_a_state_is_told_from_the_files_of_all_folders(spark, tmp_path):
+    """A file that joins the innermost folder of a table with two partition columns is a new state."""
+    from foliant.sources.scratch import version
+
+    rows = spark.createDataFrame([(1, "one", 0, 0), (2, "two", 0, 1), (3, "three", 1, 0)], "doc_id long, text string, a int, b int")
+    path = str(tmp_path / "nested")
+    rows.write.partitionBy("a", "b").parquet(path)
+    before = version(spark, path, "text")
+    assert version(spark, path, "text") == before != version(spark, path, "other")
+    spark.createDataFrame([(4, "four")], "doc_id long, text string").write.mode("append").parquet(f"{path}/a=0/b=0")
+    assert version(spark, path, "text") != before

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op02_language, op03_fertility, op04_embeddings, op05_toxicity, op06_minhash, op07_packing, op08_hosts, op09_secrets, op10_mixture, op12_middle
+from . import op01_quality, op02_language, op03_fertility, op04_embeddings, op05_toxicity, op06_minhash, op07_packing, op08_hosts, op09_secrets, op10_mixture, op11_decontaminate, op12_middle
 
 QUERIES = {
     "op1_quality_ftrl": op01_quality.op1_quality_ftrl,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_host_reputation": op08_hosts.op8_host_reputation,
     "op9_secret_ownership": op09_secrets.op9_secret_ownership,
     "op10_mixture": op10_mixture.op10_mixture,
+    "op11_broadcast_decontamination": op11_decontaminate.op11_broadcast_decontamination,
     "op12_duckdb_middle": op12_middle.op12_duckdb_middle,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op6_minhash_bayes": op06_minhash.SQL,
     "op8_host_reputation": op08_hosts.SQL,
     "op9_secret_ownership": op09_secrets.SQL,
+    "op11_broadcast_decontamination": op11_decontaminate.SQL,
     "op12_duckdb_middle": op12_middle.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op02_language, op03_fertility, op04_embeddings, op05_toxicity, op06_minhash, op07_packing, op08_hosts, op09_secrets, op10_mixture, op11_decontaminate, op12_middle
+from . import op01_quality, op02_language, op03_fertility, op04_embeddings, op05_toxicity, op06_minhash, op07_packing, op08_hosts, op09_secrets, op10_mixture, op11_decontaminate, op12_middle, op13_phrases
 
 QUERIES = {
     "op1_quality_ftrl": op01_quality.op1_quality_ftrl,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixture": op10_mixture.op10_mixture,
     "op11_broadcast_decontamination": op11_decontaminate.op11_broadcast_decontamination,
     "op12_duckdb_middle": op12_middle.op12_duckdb_middle,
+    "op13_trie_collocations": op13_phrases.op13_trie_collocations,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op9_secret_ownership": op09_secrets.SQL,
     "op11_broadcast_decontamination": op11_decontaminate.SQL,
     "op12_duckdb_middle": op12_middle.SQL,
+    "op13_trie_collocations": op13_phrases.SQL,
 }

@@ -372,12 +372,12 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SQL = rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
-g AS (SELECT lang, k, array_to_string(w[s + 1 : s + k], ' ') AS phrase, count(*) AS f
+g AS MATERIALIZED (SELECT lang, k, array_to_string(w[s + 1 : s + k], ' ') AS phrase, lang || chr(9) || phrase AS key, count(*) AS f
   FROM (SELECT lang, w, k, unnest(range(len(w) - k + 1)) AS s FROM w, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k) GROUP BY ALL),
 c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS x FROM g WHERE k > 1 AND f >= 30),
-cuts AS (SELECT lang, phrase, a, j, array_to_string(x[1 : j], ' ') AS lp, array_to_string(x[j + 1 : k], ' ') AS rp FROM c, (VALUES (1), (2), (3)) AS t(j) WHERE j < k),
+cuts AS (SELECT lang, phrase, a, j, lang || chr(9) || array_to_string(x[1 : j], ' ') AS lp, lang || chr(9) || array_to_string(x[j + 1 : k], ' ') AS rp FROM c, (VALUES (1), (2), (3)) AS t(j) WHERE j < k),
 scored AS (SELECT q.lang, q.phrase, a, j, gl.f AS l, gr.f AS r, ((2000000::HUGEINT * a) // (gl.f + gr.f))::BIGINT AS score
-  FROM cuts q JOIN g gl ON gl.lang = q.lang AND gl.phrase = lp JOIN g gr ON gr.lang = q.lang AND gr.phrase = rp),
+  FROM cuts q JOIN g gl ON gl.key = lp JOIN g gr ON gr.key = rp),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 covered AS (SELECT lang, array_to_string(x[s + 1 : s + m], ' ') AS phrase, max(a) AS over
   FROM (SELECT lang, x, a, m, unnest(range(k - m + 1)) AS s FROM c, (VALUES (2), (3)) AS t(m) WHERE m < k) GROUP BY ALL),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from foliant.operators import bm25, dense, fusion
+from foliant.operators import bm25, dense, fusion, segments
 from foliant.plans.text import mtok, tok, typed
 from foliant.sources.scratch import folder
 from foliant.sources.tables import table
@@ -50,6 +52,24 @@ def bm25_incremental(spark, d):
     return ranked(bm25.top_k(bm25.score(index, bm25.query_terms(items(spark, d))), 10))
 
 
+def bm25_blockmax(spark, d):
+    """The first ten of every question by block bounds, over one segment."""
+    return ranked(segments.kept(spark, f"{d}/documents.parquet", folder(spark)).search(items(spark, d)))
+
+
+def bm25_segments(spark, d):
+    """Three adds, a delete, some documents again, and a compaction; the ranking of what is left."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    index = segments.SegmentedIndex(spark, f"{folder(spark)}/foliant/segments-{uuid.uuid4().hex}")
+    index.add(documents.where("doc_id % 3 = 0"))
+    index.add(documents.where("doc_id % 3 = 1"))
+    index.delete(documents.where("doc_id % 7 = 0"))
+    index.compact(all_of_them=True)
+    index.add(documents.where("doc_id % 3 = 2 OR doc_id % 14 = 0"))
+    index.delete(documents.where("doc_id % 11 = 0"))
+    return ranked(index.search(items(spark, d)))
+
+
 def _vectors(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").alias("scope"))
     return e, e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
@@ -124,7 +144,7 @@ def context_budget(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_stats, bm25_topk, bm25_scoped, bm25_incremental, knn_topk, knn_scoped, dense_floor, embed_text, rrf_fuse, rrf_weighted,
+    bm25_stats, bm25_topk, bm25_scoped, bm25_incremental, bm25_blockmax, bm25_segments, knn_topk, knn_scoped, dense_floor, embed_text, rrf_fuse, rrf_weighted,
     hybrid_retrieve, multi_query_fuse, rerank_topk, rerank_floor, context_budget,
 )}
 
@@ -190,6 +210,8 @@ SQL = {
     "bm25_topk": f"{_BM} {_TOP}",
     "bm25_scoped": f"{_BM} {first_k("(SELECT s.* FROM scores s JOIN documents USING (doc_id) WHERE source = 'src1')", 10)}",
     "bm25_incremental": f"{_BM} {_TOP}",
+    "bm25_blockmax": f"{_BM} {_TOP}",
+    "bm25_segments": f"WITH {bm25_ctes().replace('FROM documents', 'FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 3 = 2 OR doc_id % 7 <> 0 OR doc_id % 14 = 0)')} {_TOP}",
     "knn_topk": _knn(),
     "knn_scoped": _knn("AND a.label = b.label"),
     "dense_floor": f"SELECT * FROM ({_knn()}) WHERE score >= 0.5",

@@ -1,15 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their leading stems (the first few bytes), so inflected
-forms of one stem meet.  Of a bounded sample of labelled texts every term that
-a hundredth of them hold is kept, whatever their labels; TF-IDF vectors over them
-(counts times the log of the inverse share), of unit length, are the examples.  The index lists, per term, the examples that
-hold it; terms of many examples stand in one matrix instead.  Sums in single
-precision bound every cosine from above, up to a proven slack, and blocks of
-examples of similar content have their largest bound.  A text scores exactly the
-blocks that can hold one of its k neighbours: the neighbours are the exact ones.  Their
-votes, weighted by cosine, are calibrated against leave-one-out votes of the
-examples themselves; the nearest example and its cosine are the evidence.
+forms of one stem meet.  Every term that two texts of a bounded sample of labelled
+ones hold is kept, whatever their labels.  Weights are counts times the log of the
+inverse share, shrunk for terms of few examples, of which little is known;
+vectors of unit length are the examples.
+
+The examples are ordered by their commonest term, so that those of one language
+stand together, and cut into blocks.  The index has, for each term, its postings
+by block and the largest weight in each block.  A text sums these maxima to a
+bound of its cosine with any example of a block, and visits blocks by falling
+bound: the postings of its terms there are summed.  It stops when no bound left
+reaches the k-th cosine found; the postings of all other blocks are skipped, and
+the neighbours are the exact ones.  (Postings and maxima of terms that many
+examples hold are stored densely, as rows of zeros and weights.)  The votes of
+the neighbours, weighted by cosine, are calibrated against leave-one-out votes of
+the examples themselves; the nearest example and its cosine are the evidence.
 
 Edge cases: a null or empty text, or one without any kept term, has no
 neighbours and gets the calibrated rate of such examples; without labelled rows
@@ -25,7 +31,6 @@ import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +48,23 @@ class Toxicity:
     """Parameters of the method."""
 
     examples: int = 4096  # bound of the labelled sample
-    least_share: float = 0.01  # of the examples, and two of them, hold a kept term
+    least: int = 2  # examples that hold a kept term: one that a single example holds has no neighbour to tell
+    shrink: float = 10.0  # weights are multiplied by n / (n + shrink), n the examples that hold the term
     stems: tuple[int, ...] = (4, 6)  # bytes, of longer words
     block: int = 64  # examples
-    common: float = 1 / 16  # a term of more of the examples stands in the matrix
-    k: int = 9
+    common: float = 1 / 16  # a term of more of the examples is stored densely
+    round: int = 4  # blocks visited between two looks at the bounds
+    k: int = 15
     bins: int = 20  # of the calibration
     cut: float = 0.7
     seed: int = 9
     memo: int = 20_000  # answers that a worker keeps
 
 
+#: Rounding of sums of products, in a bound and in a cosine.
+_SLACK = 1e-8
+
+
 def terms(texts: tk.Texts, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of every term occurrence."""
     low = texts.lowered()
@@ -77,7 +88,7 @@ class Index:
     """Examples as postings in blocks, with the votes' calibration."""
 
     def __init__(self, kept: np.ndarray, idf: np.ndarray, packed: list[bytes], lead: np.ndarray, label: np.ndarray, ids: np.ndarray, p: Toxicity):
-        """``packed`` has the examples' terms and counts, ``lead`` the term of largest weight or -1."""
+        """``packed`` has the examples' terms and counts, ``lead`` the term that most examples hold or -1."""
         self.p, self.kept, self.idf = p, kept, idf
         some = np.flatnonzero(lead >= 0)
         order = some[np.lexsort((ids[some], lead[some]))]  # examples of one leading term stand together
@@ -91,7 +102,8 @@ class Index:
 
     def close(self) -> None:
         self.memo: OrderedDict[bytes, tuple[float, int, float]] = OrderedDict()
-        self.matrix: np.ndarray | None = None
+        self.dense: np.ndarray | None = None
+        self.visited = self.possible = 0  # blocks
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("p", "kept", "idf", "label", "ids", "packed", "blocks", "base", "rates")}
@@ -101,8 +113,8 @@ class Index:
         self.close()
 
     def open(self) -> None:
-        """Postings, vectors and matrix, made where they are used."""
-        if self.matrix is not None:
+        """Postings by term and block with their maxima, made where they are used."""
+        if self.dense is not None:
             return
         pairs = [unpacked(x) for x in self.packed]
         n = np.array([len(t) for t, _ in pairs], np.int64)
@@ -111,40 +123,22 @@ class Index:
         doc = np.repeat(np.arange(len(n)), n)
         self.weight = unit(self.term, np.concatenate([c for _, c in pairs]) if pairs else np.zeros(0), doc, len(n), self.idf)
         by = np.argsort(self.term, kind="stable")
-        self.doc, self.val = doc[by], self.weight[by]
-        self.first = np.searchsorted(self.term[by], np.arange(len(self.kept) + 1))
-        self.column = np.full(len(self.kept), -1, np.int32)  # of the matrix
-        often = np.flatnonzero(np.diff(self.first) > max(self.p.common * len(n), 1))
+        term, self.doc, self.val = self.term[by], doc[by].astype(np.int32), self.weight[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (term[1:] != term[:-1]) | (self.doc[1:] // self.p.block != self.doc[:-1] // self.p.block)
+        begin = np.flatnonzero(new)
+        self.begin = np.append(begin, len(by))  # of the postings of an entry, a term in a block
+        self.block, self.most = self.doc[begin] // self.p.block, np.maximum.reduceat(self.val, begin) if len(begin) else np.zeros(0)
+        self.entries = np.searchsorted(term[begin], np.arange(len(self.kept) + 1))  # of a term
+        holders = np.bincount(self.term, minlength=len(self.kept))
+        often = np.flatnonzero(holders > max(self.p.common * len(n), 1))
+        self.column = np.full(len(self.kept), -1, np.int32)  # of the dense postings
         self.column[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), len(n)), np.float32)
+        self.dense, self.tops = np.zeros((len(n), len(often))), np.zeros((len(often), self.blocks))
         for c, t in enumerate(often.tolist()):
-            self.matrix[c, self.doc[self.first[t] : self.first[t + 1]]] = self.val[self.first[t] : self.first[t + 1]]
-    @property
-    def post(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per term: its examples and weights, its blocks and where they begin."""
-        self.open()
-        found = {}
-        for t in np.flatnonzero(np.diff(self.first)).tolist():
-            doc = self.doc[self.first[t] : self.first[t + 1]]
-            block, begin = np.unique(doc // self.p.block, return_index=True)
-            found[t] = (doc, self.val[self.first[t] : self.first[t + 1]], block, np.append(begin, len(doc)))
-        return found
-
-    def sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosines of ``vectors`` and all examples, in single precision: common terms from the matrix, the others from their postings."""
-        self.open()
-        q = np.zeros((len(vectors), len(self.matrix)), np.float32)
-        for i, (term, weight) in enumerate(vectors):
-            c = self.column[term]
-            q[i, c[c >= 0]] = weight[c >= 0]
-        out = q @ self.matrix
-        for i, (term, weight) in enumerate(vectors):
-            rare = np.flatnonzero(self.column[term] < 0)
-            a, b = self.first[term[rare]], self.first[term[rare] + 1]
-            at = ranges(a, b)
-            if len(at):
-                out[i] += np.bincount(self.doc[at], self.val[at] * np.repeat(weight[rare], b - a), minlength=out.shape[1])
-        return out
+            e = slice(self.entries[t], self.entries[t + 1])
+            at = slice(self.begin[e.start], self.begin[e.stop])
+            self.dense[self.doc[at], c], self.tops[c, self.block[e]] = self.val[at], self.most[e]
 
     def calibrate(self, votes: np.ndarray) -> None:
         """Mean outcome by equal steps of the examples' votes, made monotone (pool adjacent violators)."""
@@ -166,32 +160,51 @@ class Index:
         t, _, weight, bounds = vectorise(*terms(texts, self.p), texts.n, self.kept, self.idf)
         return [(t[a:b], weight[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1, about: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k nearest examples, as (-cosine, example), exactly; ``about`` are the sums."""
+    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
+        """The k nearest examples, as (-cosine, example), exactly."""
         if not len(term) or not self.blocks:
             return []
-        about = self.sums([(term, weight)])[0] if about is None else about
-        slack = 2.0**-23 * (len(term) + 8)  # rounding of a sum of so many positive numbers, below 1 in all
-        if without >= 0:
-            about[without] = 0
-        k = min(self.p.k, len(about))
-        least = np.partition(about, -k)[-k] - 2 * slack - 1e-8  # no less than this has a neighbour's sum
-        most = np.maximum.reduceat(about, np.arange(0, len(about), self.p.block))
-        at = ranges(visit := np.flatnonzero((most > 0) & (most >= least)) * self.p.block, np.minimum(visit + self.p.block, len(about)))
-        at = at[(about[at] > 0) & (about[at] >= least)]
-        if not len(at):
-            return []
-        query = np.zeros(len(self.kept))
-        query[term] = weight
-        i, j = self.bounds[at], self.bounds[at + 1]
-        row = ranges(i, j)
-        score = np.add.reduceat(self.weight[row] * query[self.term[row]], np.cumsum(j - i) - (j - i)).round(9)
-        hit = np.flatnonzero(score > 0)
-        return sorted(zip((-score[hit]).tolist(), at[hit].tolist(), strict=True))[: self.p.k]
-
-    def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1, about: np.ndarray | None = None) -> tuple[float, int, float]:
+        self.open()
+        column = self.column[term]
+        common, rare = column >= 0, np.flatnonzero(column < 0)
+        query = np.zeros(len(self.tops))
+        query[column[common]] = weight[common]
+        first, last = self.entries[term[rare]], self.entries[term[rare] + 1]
+        entry, factor = ranges(first, last), np.repeat(weight[rare], last - first)
+        where = self.block[entry]
+        bound = query @ self.tops + np.bincount(where, self.most[entry] * factor, minlength=self.blocks) + _SLACK
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > _SLACK]
+        self.possible += len(order)
+        score = np.zeros(len(self.label))
+        least, at = _SLACK, 0
+        while at < len(order) and bound[order[at]] >= least:
+            visit = order[at : at + self.p.round]
+            visit = visit[bound[visit] >= least]
+            at += len(visit)
+            self.visited += len(visit)
+            for b in visit.tolist():
+                rows = slice(b * self.p.block, (b + 1) * self.p.block)
+                score[rows] = self.dense[rows] @ query
+            chosen = np.zeros(self.blocks, bool)
+            chosen[visit] = True
+            mine = np.flatnonzero(chosen[where])
+            if len(mine):
+                a, b = self.begin[entry[mine]], self.begin[entry[mine] + 1]
+                posting = ranges(a, b)
+                score += np.bincount(self.doc[posting], self.val[posting] * np.repeat(factor[mine], b - a), minlength=len(score))
+            if without >= 0:
+                score[without] = 0
+            if len(score) > self.p.k:
+                least = max(np.partition(score, -self.p.k)[-self.p.k], _SLACK)
+        hit = np.flatnonzero(score >= least - _SLACK)
+        cosine = score[hit].round(9)
+        hit, cosine = hit[cosine > 0], cosine[cosine > 0]
+        return sorted(zip((-cosine).tolist(), hit.tolist(), strict=True))[: self.p.k]
+
+    def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, int, float]:
         """Cosine-weighted vote, nearest example and its cosine; (nan, -1, 0) without neighbours."""
-        best = self.nearest(term, weight, without, about)
+        best = self.nearest(term, weight, without)
         if not best:
             return (float(self.base) if without >= 0 else float("nan")), -1, 0.0
         cosine, at = -np.array([c for c, _ in best]), [i for _, i in best]
@@ -204,9 +217,8 @@ class Index:
             some = vectors[i : i + self.p.block]
             keys = [hashlib.blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() for t, w in some]
             new = {k: v for k, v in zip(keys, some, strict=True) if k not in self.memo}
-            sums = self.sums(list(new.values())) if new else []
             found = {k: self.memo[k] for k in keys if k not in new}
-            found |= {k: self.vote(*v, about=c) for (k, v), c in zip(new.items(), sums, strict=True)}
+            found |= {k: self.vote(*v) for k, v in new.items()}
             self.memo.update(found)
             while len(self.memo) > self.p.memo:
                 self.memo.popitem(last=False)
@@ -256,20 +268,20 @@ def fit(known: DataFrame, p: Toxicity) -> Index:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
     total = known.count()
-    least = max(2, ceil(p.least_share * total))
     counts = known.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    chosen = counts.where(f"n >= {least}").toArrow()
+    chosen = counts.where(f"n >= {p.least}").toArrow()
     kept = chosen.column("term").to_numpy().view(tk.U)
     order = np.argsort(kept)
     kept = kept[order]
-    idf = np.log((total + 1) / (chosen.column("n").to_numpy()[order] + 0.5))
+    holders = chosen.column("n").to_numpy()[order]
+    idf = np.log((total + 1) / (holders + 0.5)) * holders / (holders + p.shrink)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, texts in tk.pieces(batch.column(1)):
-                t, tf, weight, bounds = vectorise(*terms(texts, p), texts.n, kept, idf)
+                t, tf, _, bounds = vectorise(*terms(texts, p), texts.n, kept, idf)
                 cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-                lead = [int(t[a + np.argmax(weight[a:b])]) if b > a else -1 for a, b in cuts]
+                lead = [int(t[a + np.argmax(holders[t[a:b]])]) if b > a else -1 for a, b in cuts]
                 columns = [batch.column(0).slice(i, texts.n), batch.column(2).slice(i, texts.n), pa.array(lead, pa.int64()), pa.array([packed(t[a:b], tf[a:b]) for a, b in cuts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "lead", "packed"])
 
@@ -291,10 +303,8 @@ def own_votes(spark: SparkSession, index: Index) -> np.ndarray:
         index.open()
         for batch in batches:
             n = batch.column(0).to_numpy()
-            votes = []
-            for m in np.split(n, range(index.p.block, len(n), index.p.block)):
-                own = [(index.term[a:b], index.weight[a:b]) for a, b in zip(index.bounds[m], index.bounds[m + 1], strict=True)]
-                votes += [index.vote(*v, without=i, about=c)[0] for i, v, c in zip(m.tolist(), own, index.sums(own), strict=True)]
+            own = [(i, index.bounds[i], index.bounds[i + 1]) for i in n.tolist()]
+            votes = [index.vote(index.term[a:b], index.weight[a:b], without=i)[0] for i, a, b in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["n", "vote"])
 
     parts = spark.sparkContext.defaultParallelism

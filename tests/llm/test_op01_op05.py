@@ -59,11 +59,11 @@ def test_sparse_dot_product_equals_vectors(spark):
 
 def test_toxicity_neighbours_are_exact(spark):
     docs, labels = corpus(spark, lambda t: t + " idiot clown moron")
-    p = x.Toxicity(block=7, k=5, least_share=0.0)
+    p = x.Toxicity(block=7, k=5, least=1)
     index = x.fit(examples(docs, labels, "toxic", F.lit(True), p.examples, p.seed), p)
+    index.open()
     dense = np.zeros((len(index.ids), len(index.kept)))
-    for t, (doc, val, _, _) in index.post.items():
-        dense[doc, t] = val
+    dense[np.repeat(np.arange(len(index.ids)), np.diff(index.bounds)), index.term] = index.weight
     for at, t in tk.pieces(pa.array([prose(i, 40) + " clown" * (i % 3) for i in range(60)])):
         for term, weight in index.vectors(t):
             query = np.zeros(len(index.kept))
@@ -76,6 +76,34 @@ def test_toxicity_neighbours_are_exact(spark):
     assert out.loc[99].score > 0.7 and out.loc[99].cosine > 0 and out.loc[4].score < 0.3 and np.isnan(out.loc[4].evidence)
 
 
+def languages(n):
+    """Texts of four vocabularies, each with its own common words."""
+    r = np.random.RandomState(3)
+    for i in range(n):
+        common, rare = [f"c{i % 4}x{j}" for j in range(6)], [f"r{i % 4}x{j}" for j in range(400)]
+        yield " ".join([common[j] for j in r.zipf(1.6, 30) % 6] + [rare[j] for j in r.randint(0, 400, 25)] + ["idiot"] * (i % 9 == 0))
+
+
+def test_toxicity_skips_blocks(spark):
+    """Postings of blocks whose bound can't reach the k-th cosine are left alone, and the neighbours are those of all pairs."""
+    rows = list(enumerate(languages(900)))
+    known = documents(spark, rows).selectExpr("doc_id", "text", "int(doc_id % 9 = 0) AS label")
+    p = x.Toxicity(block=16, k=5, round=2)
+    index = x.fit(known, p)
+    index.open()
+    dense = np.zeros((len(index.ids), len(index.kept)))
+    dense[np.repeat(np.arange(len(index.ids)), np.diff(index.bounds)), index.term] = index.weight
+    for _, t in tk.pieces(pa.array(list(languages(120))[::-1])):
+        for term, weight in index.vectors(t):
+            cosine = np.round(dense[:, term] @ weight, 9)
+            best = sorted(((-c, i) for i, c in enumerate(cosine.tolist()) if c > 0))[: p.k]
+            got = index.nearest(term, weight)
+            assert np.allclose([c for c, _ in got], [c for c, _ in best], atol=2e-9) and {i for _, i in got} == {i for _, i in best}
+    assert 0 < index.visited < 0.6 * 120 * index.blocks
+    holders = np.bincount(index.term, minlength=len(index.kept))
+    assert (holders < 9).sum() > 100  # terms of less than a hundredth of the examples are kept
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = corpus(spark, str, 8)
     index = x.fit(examples(docs, labels.where("false"), "toxic", F.lit(True), 10, 1), x.Toxicity())
@@ -85,7 +113,7 @@ def test_toxicity_without_labels(spark):
 def test_toxicity_keeps_clean_examples_and_all_terms(spark):
     """A clean text finds its clean example, and a toxic text without a word of the toxic class its toxic one."""
     docs, labels = corpus(spark, lambda t: t + " idiot clown moron")
-    p = x.Toxicity(least_share=0.0)
+    p = x.Toxicity(least=1)
     index = x.fit(examples(docs, labels, "toxic", F.lit(True), p.examples, p.seed), p)
     assert len(index.ids) == 160 and (index.label == 0).sum() == 120
     got = x.score(documents(spark, [(7, prose(7, 60)), (8, prose(8, 60))]), index).toPandas().set_index("doc_id")
@@ -163,7 +191,7 @@ def test_ftrl_steps_against_python():
 def test_toxicity_end_to_end_against_python(spark):
     """Terms, TF-IDF, cosine, neighbours and votes of whole texts recomputed from strings."""
     docs, labels = corpus(spark, lambda t: t + " idiot clown clown moron", 60)
-    p = x.Toxicity(block=7, k=4, least_share=0.05)
+    p = x.Toxicity(block=7, k=4, least=3, shrink=5.0)
     index = x.fit(examples(docs, labels, "toxic", F.lit(True), p.examples, p.seed), p)
     known = {r["doc_id"]: r["text"] for r in docs.collect()}
     toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
@@ -174,7 +202,7 @@ def test_toxicity_end_to_end_against_python(spark):
 
     counts = {i: terms(t) for i, t in known.items()}
     df = Counter(t for c in counts.values() for t in c)
-    kept = {t: math.log((60 + 1) / (n + 0.5)) for t, n in df.items() if n >= 3}
+    kept = {t: math.log((60 + 1) / (n + 0.5)) * n / (n + 5) for t, n in df.items() if n >= 3}
 
     def vector(c):
         v = {t: n * kept[t] for t, n in c.items() if t in kept}

@@ -6,16 +6,18 @@ ones hold is kept, whatever their labels.  Weights are counts times the log of t
 inverse share, shrunk for terms of few examples, of which little is known;
 vectors of unit length are the examples.
 
-The examples are ordered by their commonest term, so that those of one language
-stand together, and cut into blocks.  The index has, for each term, its postings
-by block and the largest weight in each block.  A text sums these maxima to a
-bound of its cosine with any example of a block, and visits blocks by falling
+The examples are ordered by their leading common term, so that those of one
+language stand together, and cut into blocks.  The index has, for each term, its
+postings by block and the largest weight in each block.  A text sums these maxima
+to a bound of its cosine with any example of a block, and visits blocks by falling
 bound: the postings of its terms there are summed.  It stops when no bound left
-reaches the k-th cosine found; the postings of all other blocks are skipped, and
-the neighbours are the exact ones.  (Postings and maxima of terms that many
-examples hold are stored densely, as rows of zeros and weights.)  The votes of
-the neighbours, weighted by cosine, are calibrated against leave-one-out votes of
-the examples themselves; the nearest example and its cosine are the evidence.
+reaches the k-th cosine found; the postings of all other blocks are skipped.
+Postings of common terms are stored densely by block, so that the texts of a batch
+that visit a block share one product; sums are in single precision, up to a proven
+slack, and what can be a neighbour is scored in double.  The neighbours are the
+exact ones.  Their votes, weighted by cosine, are
+calibrated against leave-one-out votes of the examples themselves; the nearest
+example and its cosine are the evidence.
 
 Edge cases: a null or empty text, or one without any kept term, has no
 neighbours and gets the calibrated rate of such examples; without labelled rows
@@ -52,8 +54,8 @@ class Toxicity:
     shrink: float = 10.0  # weights are multiplied by n / (n + shrink), n the examples that hold the term
     stems: tuple[int, ...] = (4, 6)  # bytes, of longer words
     block: int = 64  # examples
-    common: float = 1 / 16  # a term of more of the examples is stored densely
-    round: int = 4  # blocks visited between two looks at the bounds
+    common: float = 1 / 16  # a term of more of the examples is common
+    round: int = 8  # blocks visited between two looks at the bounds
     k: int = 15
     bins: int = 20  # of the calibration
     cut: float = 0.7
@@ -61,8 +63,9 @@ class Toxicity:
     memo: int = 20_000  # answers that a worker keeps
 
 
-#: Rounding of sums of products, in a bound and in a cosine.
-_SLACK = 1e-8
+def slack(terms: int) -> float:
+    """Rounding of a sum of so many positive numbers, below 1 in all, in single precision."""
+    return 2.0**-23 * (terms + 8)
 
 
 def terms(texts: tk.Texts, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +91,7 @@ class Index:
     """Examples as postings in blocks, with the votes' calibration."""
 
     def __init__(self, kept: np.ndarray, idf: np.ndarray, packed: list[bytes], lead: np.ndarray, label: np.ndarray, ids: np.ndarray, p: Toxicity):
-        """``packed`` has the examples' terms and counts, ``lead`` the term that most examples hold or -1."""
+        """``packed`` has the examples' terms and counts, ``lead`` the common term of largest weight or -1."""
         self.p, self.kept, self.idf = p, kept, idf
         some = np.flatnonzero(lead >= 0)
         order = some[np.lexsort((ids[some], lead[some]))]  # examples of one leading term stand together
@@ -102,8 +105,8 @@ class Index:
 
     def close(self) -> None:
         self.memo: OrderedDict[bytes, tuple[float, int, float]] = OrderedDict()
-        self.dense: np.ndarray | None = None
-        self.visited = self.possible = 0  # blocks
+        self.entries: np.ndarray | None = None
+        self.visited = self.asked = 0  # blocks visited, and blocks in all, by the texts so far
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("p", "kept", "idf", "label", "ids", "packed", "blocks", "base", "rates")}
@@ -114,7 +117,7 @@ class Index:
 
     def open(self) -> None:
         """Postings by term and block with their maxima, made where they are used."""
-        if self.dense is not None:
+        if self.entries is not None:
             return
         pairs = [unpacked(x) for x in self.packed]
         n = np.array([len(t) for t, _ in pairs], np.int64)
@@ -130,16 +133,56 @@ class Index:
         self.begin = np.append(begin, len(by))  # of the postings of an entry, a term in a block
         self.block, self.most = self.doc[begin] // self.p.block, np.maximum.reduceat(self.val, begin) if len(begin) else np.zeros(0)
         self.entries = np.searchsorted(term[begin], np.arange(len(self.kept) + 1))  # of a term
-        holders = np.bincount(self.term, minlength=len(self.kept))
-        often = np.flatnonzero(holders > max(self.p.common * len(n), 1))
+        often = np.flatnonzero(np.bincount(self.term, minlength=len(self.kept)) > max(self.p.common * len(n), 1))
+        self.spread = np.zeros(len(self.kept))  # weights of one text by term, zero between uses
         self.column = np.full(len(self.kept), -1, np.int32)  # of the dense postings
         self.column[often] = np.arange(len(often))
-        self.dense, self.tops = np.zeros((len(n), len(often))), np.zeros((len(often), self.blocks))
+        self.dense, self.tops = np.zeros((len(n), len(often)), np.float32), np.zeros((len(often), self.blocks), np.float32)
         for c, t in enumerate(often.tolist()):
             e = slice(self.entries[t], self.entries[t + 1])
             at = slice(self.begin[e.start], self.begin[e.stop])
             self.dense[self.doc[at], c], self.tops[c, self.block[e]] = self.val[at], self.most[e]
 
+    def sums(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> np.ndarray:
+        """Cosines of ``vectors`` and the examples of the blocks that they visit, in single precision; 0 for all others."""
+        self.open()
+        query, rare = np.zeros((len(vectors), self.dense.shape[1]), np.float32), []
+        for i, (term, weight) in enumerate(vectors):
+            column = self.column[term]
+            query[i, column[column >= 0]] = weight[column >= 0]
+            own = np.flatnonzero(column < 0)
+            first, last = self.entries[term[own]], self.entries[term[own] + 1]
+            entry = ranges(first, last)
+            rare.append((entry, np.repeat(weight[own], last - first), self.block[entry]))
+        room = np.array([2 * slack(len(term)) for term, _ in vectors])[:, None]
+        bound = (query @ self.tops).astype(np.float64)
+        for i, (entry, factor, block) in enumerate(rare):
+            bound[i] += np.bincount(block, self.most[entry] * factor, minlength=self.blocks)
+        some, bound = bound > 0, bound + room
+        score, seen = np.zeros((len(vectors), len(self.label)), np.float32), np.zeros(bound.shape, bool)
+        least = np.zeros((len(vectors), 1))
+        k, first = min(self.p.k, len(self.label)), min(self.p.round, self.blocks)
+        self.asked += bound.size
+        while (due := some & ~seen & (bound >= least)).any():
+            if not seen.any():  # the best blocks give the threshold
+                due &= bound >= np.partition(bound, -first, axis=1)[:, [-first]]
+            for b in np.flatnonzero(due.any(0)).tolist():
+                who, rows = np.flatnonzero(due[:, b]), slice(b * self.p.block, (b + 1) * self.p.block)
+                score[who, rows] = query[who] @ self.dense[rows].T
+            for i in np.flatnonzero(due.any(1)).tolist():
+                entry, factor, block = rare[i]
+                mine = np.flatnonzero(due[i][block])
+                a, z = self.begin[entry[mine]], self.begin[entry[mine] + 1]
+                posting = ranges(a, z)
+                if len(posting):
+                    score[i] += np.bincount(self.doc[posting], self.val[posting] * np.repeat(factor[mine], z - a), minlength=score.shape[1])
+                if without is not None:
+                    score[i, without[i]] = 0
+            seen |= due
+            least = np.partition(score, -k, axis=1)[:, [-k]] - room
+        self.visited += int(seen.sum())
+        return score
+
     def calibrate(self, votes: np.ndarray) -> None:
         """Mean outcome by equal steps of the examples' votes, made monotone (pool adjacent violators)."""
         p = self.p
@@ -160,53 +203,28 @@ class Index:
         t, _, weight, bounds = vectorise(*terms(texts, self.p), texts.n, self.kept, self.idf)
         return [(t[a:b], weight[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
-        """The k nearest examples, as (-cosine, example), exactly."""
+    def nearest(self, term: np.ndarray, weight: np.ndarray, about: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k nearest examples, as (-cosine, example), exactly; ``about`` are the sums."""
         if not len(term) or not self.blocks:
             return []
-        self.open()
-        column = self.column[term]
-        common, rare = column >= 0, np.flatnonzero(column < 0)
-        query = np.zeros(len(self.tops))
-        query[column[common]] = weight[common]
-        first, last = self.entries[term[rare]], self.entries[term[rare] + 1]
-        entry, factor = ranges(first, last), np.repeat(weight[rare], last - first)
-        where = self.block[entry]
-        bound = query @ self.tops + np.bincount(where, self.most[entry] * factor, minlength=self.blocks) + _SLACK
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > _SLACK]
-        self.possible += len(order)
-        score = np.zeros(len(self.label))
-        least, at = _SLACK, 0
-        while at < len(order) and bound[order[at]] >= least:
-            visit = order[at : at + self.p.round]
-            visit = visit[bound[visit] >= least]
-            at += len(visit)
-            self.visited += len(visit)
-            for b in visit.tolist():
-                rows = slice(b * self.p.block, (b + 1) * self.p.block)
-                score[rows] = self.dense[rows] @ query
-            chosen = np.zeros(self.blocks, bool)
-            chosen[visit] = True
-            mine = np.flatnonzero(chosen[where])
-            if len(mine):
-                a, b = self.begin[entry[mine]], self.begin[entry[mine] + 1]
-                posting = ranges(a, b)
-                score += np.bincount(self.doc[posting], self.val[posting] * np.repeat(factor[mine], b - a), minlength=len(score))
-            if without >= 0:
-                score[without] = 0
-            if len(score) > self.p.k:
-                least = max(np.partition(score, -self.p.k)[-self.p.k], _SLACK)
-        hit = np.flatnonzero(score >= least - _SLACK)
-        cosine = score[hit].round(9)
-        hit, cosine = hit[cosine > 0], cosine[cosine > 0]
-        return sorted(zip((-cosine).tolist(), hit.tolist(), strict=True))[: self.p.k]
-
-    def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, int, float]:
-        """Cosine-weighted vote, nearest example and its cosine; (nan, -1, 0) without neighbours."""
-        best = self.nearest(term, weight, without)
+        about = self.sums([(term, weight)])[0] if about is None else about
+        k = min(self.p.k, len(about))
+        at = np.flatnonzero((about > 0) & (about >= np.partition(about, -k)[-k] - 2 * slack(len(term)) - 1e-8))
+        if not len(at):
+            return []
+        self.spread[term] = weight
+        i, j = self.bounds[at], self.bounds[at + 1]
+        row = ranges(i, j)
+        score = np.add.reduceat(self.weight[row] * self.spread[self.term[row]], np.cumsum(j - i) - (j - i)).round(9)
+        self.spread[term] = 0
+        hit = np.flatnonzero(score > 0)
+        return sorted(zip((-score[hit]).tolist(), at[hit].tolist(), strict=True))[: self.p.k]
+
+    def vote(self, term: np.ndarray, weight: np.ndarray, about: np.ndarray | None = None, alone: float = float("nan")) -> tuple[float, int, float]:
+        """Cosine-weighted vote, nearest example and its cosine; (``alone``, -1, 0) without neighbours."""
+        best = self.nearest(term, weight, about)
         if not best:
-            return (float(self.base) if without >= 0 else float("nan")), -1, 0.0
+            return alone, -1, 0.0
         cosine, at = -np.array([c for c, _ in best]), [i for _, i in best]
         return float(cosine @ self.label[at] / cosine.sum()), at[0], float(cosine[0])
 
@@ -217,8 +235,9 @@ class Index:
             some = vectors[i : i + self.p.block]
             keys = [hashlib.blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() for t, w in some]
             new = {k: v for k, v in zip(keys, some, strict=True) if k not in self.memo}
+            sums = self.sums(list(new.values())) if new and self.blocks else [None] * len(new)
             found = {k: self.memo[k] for k in keys if k not in new}
-            found |= {k: self.vote(*v) for k, v in new.items()}
+            found |= {k: self.vote(*v, about=c) for (k, v), c in zip(new.items(), sums, strict=True)}
             self.memo.update(found)
             while len(self.memo) > self.p.memo:
                 self.memo.popitem(last=False)
@@ -279,9 +298,10 @@ def fit(known: DataFrame, p: Toxicity) -> Index:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, texts in tk.pieces(batch.column(1)):
-                t, tf, _, bounds = vectorise(*terms(texts, p), texts.n, kept, idf)
+                t, tf, weight, bounds = vectorise(*terms(texts, p), texts.n, kept, idf)
                 cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-                lead = [int(t[a + np.argmax(holders[t[a:b]])]) if b > a else -1 for a, b in cuts]
+                common = weight * (holders[t] > p.common * total)
+                lead = [int(t[a + np.argmax(common[a:b])]) if b > a else -1 for a, b in cuts]
                 columns = [batch.column(0).slice(i, texts.n), batch.column(2).slice(i, texts.n), pa.array(lead, pa.int64()), pa.array([packed(t[a:b], tf[a:b]) for a, b in cuts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "lead", "packed"])
 
@@ -303,8 +323,10 @@ def own_votes(spark: SparkSession, index: Index) -> np.ndarray:
         index.open()
         for batch in batches:
             n = batch.column(0).to_numpy()
-            own = [(i, index.bounds[i], index.bounds[i + 1]) for i in n.tolist()]
-            votes = [index.vote(index.term[a:b], index.weight[a:b], without=i)[0] for i, a, b in own]
+            votes = []
+            for m in np.split(n, range(index.p.block, len(n), index.p.block)):
+                own = [(index.term[a:b], index.weight[a:b]) for a, b in zip(index.bounds[m], index.bounds[m + 1], strict=True)]
+                votes += [index.vote(*v, about=c, alone=float(index.base))[0] for v, c in zip(own, index.sums(own, m.tolist()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["n", "vote"])
 
     parts = spark.sparkContext.defaultParallelism

@@ -54,7 +54,8 @@ class Toxicity:
     shrink: float = 10.0  # weights are multiplied by n / (n + shrink), n the examples that hold the term
     stems: tuple[int, ...] = (4, 6)  # bytes, of longer words
     block: int = 64  # examples
-    common: float = 1 / 16  # a term of more of the examples is common
+    common: float = 1 / 32  # a term of more of the examples is common
+    batch: int = 256  # texts scored together
     round: int = 8  # blocks visited between two looks at the bounds
     k: int = 15
     bins: int = 20  # of the calibration
@@ -231,8 +232,8 @@ class Index:
     def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int | None, float]]:
         """Calibrated score, evidence (id of the nearest example) and its cosine of each vector."""
         out = []
-        for i in range(0, len(vectors), self.p.block):
-            some = vectors[i : i + self.p.block]
+        for i in range(0, len(vectors), self.p.batch):
+            some = vectors[i : i + self.p.batch]
             keys = [hashlib.blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() for t, w in some]
             new = {k: v for k, v in zip(keys, some, strict=True) if k not in self.memo}
             sums = self.sums(list(new.values())) if new and self.blocks else [None] * len(new)
@@ -344,9 +345,7 @@ def score(documents: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",
         index = model.value
         index.rates = rates
         for batch in batches:
-            rows = []
-            for _, texts in tk.pieces(batch.column(len(keep))):
-                rows += index.scores(index.vectors(texts))
+            rows = index.scores([v for _, texts in tk.pieces(batch.column(len(keep))) for v in index.vectors(texts)])
             s, e, c = zip(*rows, strict=True) if rows else ((), (), ())
             columns = [pa.array(np.round(np.array(s, float), 6)), pa.array(e, pa.int64()), pa.array(np.round(np.array(c, float), 6))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "score", "evidence", "cosine"])

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.sources.scratch import written
+
+#: Boilerplate lines that are sent to every task; more are dealt to SALTS tasks each.
+BROADCAST_LINES = 200_000
+SALTS = 32
+
 #: Money amounts and labelled fields are never boilerplate.
 PROTECTED = r"(?:₹|Rs\.?|INR|\$|€|£)\s?[0-9]|(?:^|[^0-9A-Za-z_])[0-9][0-9,]*\.[0-9]{1,2}(?:$|[^0-9A-Za-z_])|[:|]"
 
@@ -42,11 +48,19 @@ def boilerplate(pages: DataFrame, group: str, page: str, text: str, share: float
     return found.where(enough & (F.length("line") >= least_chars) & ~F.col("line").rlike(PROTECTED)).drop("_total")
 
 
+def _marked(every: DataFrame, drop: DataFrame) -> DataFrame:
+    """``every`` line with _drop.  A boilerplate line stands on most pages, so equal lines never meet in one task."""
+    if drop.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        return every.join(F.broadcast(drop), ["group", "_low"], "left")
+    salted = every.withColumn("_salt", F.pmod(F.xxhash64("page", "n"), F.lit(SALTS)))
+    copies = drop.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["group", "_low", "_salt"], "left").drop("_salt")
+
+
 def without_boilerplate(pages: DataFrame, group: str, page: str, text: str, share: float = 0.6, floor_share: float = 0.15, floor_chars: int = 0, **limits) -> DataFrame:
     """group, page, text, removed.  A page that would lose nearly everything stays as it was."""
-    drop = boilerplate(pages, group, page, text, share, **limits).select("group", F.col("line").alias("_low"))
-    every = lines(pages, group, page, text).withColumn("_low", F.lower("line"))
-    marked = every.join(drop.withColumn("_drop", F.lit(True)), ["group", "_low"], "left")
+    drop = written(boilerplate(pages, group, page, text, share, **limits).select("group", F.col("line").alias("_low"), F.lit(True).alias("_drop")), "boilerplate")
+    marked = _marked(lines(pages, group, page, text).withColumn("_low", F.lower("line")), drop)
     parts = marked.groupBy("group", "page").agg(F.array_sort(F.collect_list(F.struct("n", "line", F.coalesce("_drop", F.lit(False)).alias("gone")))).alias("l"))
     joined = lambda a: F.array_join(F.transform(a, lambda x: x["line"]), "\n")
     whole, kept = joined(F.col("l")), joined(F.filter("l", lambda x: ~x["gone"]))

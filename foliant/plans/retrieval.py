@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from foliant.operators import bm25, dense, fusion, segments
+from foliant.operators import bm25, cells, dense, fusion, segments
 from foliant.plans.text import mtok, tok, typed
 from foliant.sources.scratch import folder
 from foliant.sources.tables import table
@@ -79,6 +79,12 @@ def knn_topk(spark, d):
     return ranked(dense.nearest(*_vectors(spark, d)))
 
 
+def knn_cells(spark, d):
+    """The rows of ``knn_topk`` by the saved index of cells."""
+    queries = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return ranked(cells.kept(spark, f"{d}/embeddings.parquet", folder(spark)).search(queries))
+
+
 def knn_scoped(spark, d):
     return ranked(dense.nearest(*_vectors(spark, d), scoped=True))
 
@@ -144,7 +150,7 @@ def context_budget(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_stats, bm25_topk, bm25_scoped, bm25_incremental, bm25_blockmax, bm25_segments, knn_topk, knn_scoped, dense_floor, embed_text, rrf_fuse, rrf_weighted,
+    bm25_stats, bm25_topk, bm25_scoped, bm25_incremental, bm25_blockmax, bm25_segments, knn_topk, knn_cells, knn_scoped, dense_floor, embed_text, rrf_fuse, rrf_weighted,
     hybrid_retrieve, multi_query_fuse, rerank_topk, rerank_floor, context_budget,
 )}
 
@@ -213,6 +219,7 @@ SQL = {
     "bm25_blockmax": f"{_BM} {_TOP}",
     "bm25_segments": f"WITH {bm25_ctes().replace('FROM documents', 'FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 3 = 2 OR doc_id % 7 <> 0 OR doc_id % 14 = 0)')} {_TOP}",
     "knn_topk": _knn(),
+    "knn_cells": _knn(),
     "knn_scoped": _knn("AND a.label = b.label"),
     "dense_floor": f"SELECT * FROM ({_knn()}) WHERE score >= 0.5",
     "embed_text": f"""{_BM}, {dense_ctes()}

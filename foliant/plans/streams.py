@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from foliant.plans import dialogue
 from foliant.sources.scratch import folder, written
 from foliant.sources.tables import table
 from foliant.streaming import state as S
+from foliant.streaming import typed as T
 
 
 def events(spark, d):
@@ -30,6 +32,33 @@ def stream_scrub(spark, d):
     return held.select("answer_id", F.md5(F.array_join(F.transform("x", lambda v: v["text"]), "")).alias("text_md5"))
 
 
+def in_parts(spark, parts, job):
+    """What ``job`` gives of a stream whose rows come in ``parts``; it is stopped after each and goes on from its checkpoint."""
+    source, sink = (f"{folder(spark)}/foliant/{what}-{uuid.uuid4().hex}" for what in ("arriving", "streamed"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        out = job(spark.readStream.schema(part.schema).parquet(source))
+        out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
+def stream_summaries(spark, d):
+    """Turns to fold into summaries, of conversations whose middle turns come late."""
+    talk = table(spark, d, "conversations")
+    late = F.col("turn") % 3 == 1
+    return in_parts(spark, [talk.where(~late), talk.where(late)], lambda s: T.summary_turns(s, trigger=4, keep=3)).select("conv_id", F.col("turn").cast(talk.schema["turn"].dataType))
+
+
+def stream_cooldown(spark, d):
+    """The rows of ``cooldown_backoff``, of a stream that is stopped half-way."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    calls = events(spark, d).select(F.col("user_id").alias("provider"), F.col("event_id").alias("call_id"), at.alias("at"), (F.col("event_type") == "error").alias("failed"), F.lit(20.0).alias("base"))
+    half = calls.agg(F.expr("(min(at) + max(at)) div 2")).first()[0]
+    parts = [calls.where(F.col("at") < half), calls.where(F.col("at") >= half)]
+    out = in_parts(spark, parts, lambda s: T.cooldowns(s.withColumn("at", F.col("at") / 1e6), most=1e18))
+    return out.select(F.col("call_id").alias("event_id"), F.col("provider").alias("user_id"), "failures", "cooldown_s")
+
+
 def cooldown_backoff(spark, d):
     e = S.failure_runs(events(spark, d), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
     return e.where("failures > 0").select("event_id", "user_id", "failures", S.backoff(F.col("failures"), 20.0).alias("cooldown_s"))
@@ -60,9 +89,10 @@ def events_session(spark, d):
     return w.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (stream_scrub, cooldown_backoff, quota_errors, stream_commit, events_tumbling, events_session)}
+QUERIES = {f.__name__: f for f in (stream_scrub, stream_summaries, stream_cooldown, cooldown_backoff, quota_errors, stream_commit, events_tumbling, events_session)}
 
 SQL = {
+    "stream_summaries": dialogue.SQL["summary_overflow"],
     "cooldown_backoff": """
 WITH i AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events),
 f AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failures FROM i)
@@ -79,3 +109,4 @@ WITH g AS (SELECT user_id, ts, (coalesce(ts - lag(ts) OVER w >= INTERVAL '30 min
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""",
 }
+SQL["stream_cooldown"] = SQL["cooldown_backoff"].replace("least(900.0, 20.0 * pow(2, least(failures, 40) - 1))", "20.0 * pow(2, least(failures, 40) - 1)")

@@ -139,8 +139,13 @@ def scrub(text: str | None, threshold: float = THRESHOLD, persons: Persons = nam
     """The text with every span as <ENTITY>."""
     if not text:
         return text
+    return replaced(text, find(text, threshold, persons))
+
+
+def replaced(text: str, spans: list[tuple[str, int, int, float]]) -> str:
+    """The text with ``spans``, in order and apart, as <ENTITY>."""
     out, at = [], 0
-    for entity, start, end, _ in find(text, threshold, persons):
+    for entity, start, end, _ in spans:
         out += [text[at:start], f"<{entity}>"]
         at = end
     return "".join([*out, text[at:]])

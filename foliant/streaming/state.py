@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foliant.operators.redact import find, scrub
+from foliant.operators.redact import find, replaced, scrub
 
 TAIL = 120
 BACK = 400  # characters of released text that stay in view
@@ -33,7 +33,8 @@ class StableScrubber:
         limit = len(self.raw) - self.tail
         if limit <= self.consumed:
             return ""
-        full, spans = scrub(self.raw), find(self.raw)
+        spans = find(self.raw)
+        full = replaced(self.raw, spans)
         cut = limit
         for _ in range(4):
             cut = next((s for _, s, e, _ in spans if s < cut < e), cut)
@@ -47,7 +48,9 @@ class StableScrubber:
             cut -= 1
         return ""
 
-    def flush(self) -> str:
+    def flush(self, delta: str = "") -> str:
+        """What is left to release, after a last ``delta``."""
+        self.raw += delta
         done = scrub(self.raw) or ""
         if not done.startswith(self.emitted):
             self.emitted, self.consumed = done, len(self.raw)
@@ -73,16 +76,22 @@ class StableScrubber:
 
 
 def scrub_stream(tokens: DataFrame, tail: int = TAIL) -> DataFrame:
-    """Scrubbed deltas of a stream of ``tokens(answer_id, seq, delta, is_last)``: answer_id, seq, text."""
+    """Scrubbed deltas of a stream of ``tokens(answer_id, seq, delta, is_last)``: answer_id, seq, text.
+
+    Deltas of an answer that come in one micro-batch are scrubbed together, under the number of the last of them: each scan
+    costs the text in view, so one for every delta would cost that text once for every few characters."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         raw, emitted, consumed = state.get if state.exists else ("", "", 0)
         s, out, ended = StableScrubber(raw, emitted, consumed, tail), [], False
         rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, delta, last in zip(rows["seq"], rows["delta"], rows["is_last"], strict=True):
-            text = s.feed(delta or "")
-            if last:
-                text, ended = text + s.flush(), True
+        together: list[str] = []
+        for n, (seq, delta, last) in enumerate(zip(rows["seq"], rows["delta"], rows["is_last"], strict=True), 1):
+            together.append(delta or "")
+            if not last and n < len(rows):
+                continue
+            text = s.flush("".join(together)) if last else s.feed("".join(together))
+            together, ended = [], ended or bool(last)
             if text:
                 out.append((key[0], seq, text))
         if ended:

@@ -78,7 +78,8 @@ def route_order(spark, d):
     k = F.col("conv_id") + F.col("turn")
     available = F.when(k % 2 == 0, F.array(*map(F.lit, ("nvidia", "groq", "local")))).otherwise(F.array(F.lit("gemini"), F.lit("nvidia")))
     cooling = F.when(k % 3 == 0, F.array(F.lit("nvidia"))).otherwise(F.array().cast("array<string>"))
-    return _asked(spark, d).select("conv_id", "turn", F.array_join(D.provider_order(D.intent(F.col("q")), available, cooling), ",").alias("providers"))
+    named = _asked(spark, d).select("conv_id", "turn", D.intent(F.col("q")).alias("intent"))
+    return named.select("conv_id", "turn", F.array_join(D.provider_order(F.col("intent"), available, cooling), ",").alias("providers"))
 
 
 def refusal_flag(spark, d):

@@ -109,12 +109,16 @@ def current(log: DataFrame, key: str, *order: str, removed: Column, cleared: Col
 def replaced_by(registry: DataFrame, incoming: DataFrame) -> DataFrame:
     """document_id, by: entries whose chunks go when ``incoming(document_id, filename)`` comes in.
 
-    An entry goes if it has the id, or the file name under an older id."""
-    new = incoming.select(F.col("document_id").alias("by"), "filename")
-    old = registry.select("document_id", "filename")
-    same_name = old.join(new, "filename").select("document_id", "by")
-    same_id = old.join(new.select("by"), F.col("document_id") == F.col("by")).select("document_id", "by")
-    return same_name.union(same_id).distinct()
+    An entry goes if it has the id, or the file name under an older id.  Pairs are as many as names are shared, so they are
+    never compared with each other: they differ by how they are made, except for ids that have several names."""
+    new = incoming.select(F.col("document_id").alias("by"), "filename").distinct()
+    old = registry.select("document_id", "filename").distinct()
+    same_id = old.select("document_id").distinct().join(new.select(F.col("by").alias("document_id")).distinct(), "document_id", "left_semi").select("document_id", F.col("document_id").alias("by"))
+    names = written(old.groupBy("document_id").agg(F.min("filename").alias("filename"), F.count("*").alias("_names")), "registry-names")
+    other = F.col("document_id") != F.col("by")
+    one = names.where("_names = 1").join(new, "filename").where(other).select("document_id", "by")
+    several = old.join(names.where("_names > 1").select("document_id"), "document_id", "left_semi").join(new, "filename").where(other).select("document_id", "by").distinct()
+    return one.union(several).union(same_id)
 
 
 def restored(registry: DataFrame, chunks: DataFrame) -> DataFrame:

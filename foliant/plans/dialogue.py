@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.operators import bm25
 from foliant.operators import dialogue as D
 from foliant.plans import retrieval as R
 from foliant.plans.text import strip, typed
@@ -89,7 +88,7 @@ def refusal_flag(spark, d):
 
 def _ranked(spark, d):
     docs = table(spark, d, "documents")
-    found = bm25.search(R.index(spark, d), R.items(spark, d), 6)
+    found = R.best(spark, d, 6)
     page = F.when(F.col("doc_id") % 5 == 0, F.lit("n/a")).otherwise((F.col("doc_id") % 3).cast("string"))
     return found.join(docs.select("doc_id", "source", F.col("text").alias("content")), "doc_id").select(
         "query_id", "rank", "score", F.col("source").alias("document_id"), page.alias("page_number"), F.concat("source", F.lit(".txt")).alias("filename"), "content"

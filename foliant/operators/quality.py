@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.sources.pairs import paired
 from foliant.sources.scratch import written
 
 #: Boilerplate lines that are sent to every task; more are dealt to SALTS tasks each.
@@ -110,13 +111,13 @@ def replaced_by(registry: DataFrame, incoming: DataFrame) -> DataFrame:
     """document_id, by: entries whose chunks go when ``incoming(document_id, filename)`` comes in.
 
     An entry goes if it has the id, or the file name under an older id.  Pairs are as many as names are shared, so they are
-    never compared with each other: they differ by how they are made, except for ids that have several names."""
-    new = incoming.select(F.col("document_id").alias("by"), "filename").distinct()
+    never compared with each other, but made of blocks: they differ by how they are made, except for ids that have several names."""
+    new = written(incoming.select("filename", F.col("document_id").alias("by")).distinct(), "registry-new")
     old = registry.select("document_id", "filename").distinct()
     same_id = old.select("document_id").distinct().join(new.select(F.col("by").alias("document_id")).distinct(), "document_id", "left_semi").select("document_id", F.col("document_id").alias("by"))
     names = written(old.groupBy("document_id").agg(F.min("filename").alias("filename"), F.count("*").alias("_names")), "registry-names")
     other = F.col("document_id") != F.col("by")
-    one = names.where("_names = 1").join(new, "filename").where(other).select("document_id", "by")
+    one = paired(names.where("_names = 1").drop("_names"), new, ["filename"]).where(other).select("document_id", "by")
     several = old.join(names.where("_names > 1").select("document_id"), "document_id", "left_semi").join(new, "filename").where(other).select("document_id", "by").distinct()
     return one.union(several).union(same_id)
 
